@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import exact_dedup, knn_join, lm_score, quality_cnn, simhash, toxicity
+from .common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,14 +21,43 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def _judged(scored: DataFrame, mod: int, held: int) -> DataFrame:
+    return scored.select("doc_id", (remainder("doc_id", mod) == held).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = quality_cnn.train(docs, _table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    return _judged(quality_cnn.scores(docs, net), 4, 2)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"), tau=4, shingle=4)
 
 
+def op8_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    return _judged(toxicity.scores(docs, model), 3, 1)
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.lm_scores(_table(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_quality": op2_quality,
         "op3_simhash": op3_simhash,
+        "op8_knn_join": op8_knn_join,
+        "op9_toxicity": op9_toxicity,
+        "op10_lm_score": op10_lm_score,
     }
 
 
@@ -41,4 +72,11 @@ def oracle_sql() -> dict[str, str]:
                  g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
             SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
             FROM d JOIN g ON d.t = g.t""",
+        "op8_knn_join": """
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+                       WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+                 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+                       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+                 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+            SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
     }
