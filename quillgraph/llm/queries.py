@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, knn_join, lm_score, quality_cnn, simhash, toxicity
+from . import exact_dedup, knn_join, lm_score, mixing, pii, quality_cnn, sentencepiece_codec, simhash, token_counts, toxicity
 from .common import remainder
 
+#: Where the vocabulary of the public tokenizer lies; a parameter of the environment, read on the driver only.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+#: Domains of the labelled table and their wanted shares of the mix.
+DOMAINS = ["prose", "junk", "toxic"]
+WEIGHTS = {"prose": 0.93, "junk": 0.02, "toxic": 0.05}
+PII_KEY = "an example key; give your own"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -35,6 +42,31 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"), tau=4, shingle=4)
 
 
+def domain_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and domain of the labelled table: toxic rows first, then by quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "prose").when(F.col("quality") == 0, "junk")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = mixing.train(docs, domain_labels(_table(spark, sf_dir, "labels")), DOMAINS)
+    return mixing.rates(docs, model, WEIGHTS)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(_table(spark, sf_dir, "documents"), sentencepiece_codec.load(TOKENIZER))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = sentencepiece_codec.encoded_lengths(_table(spark, sf_dir, "documents"), sentencepiece_codec.load(TOKENIZER))
+    return token_counts.context_limits(token_counts.histogram(lengths))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op8_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_join.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
@@ -55,6 +87,10 @@ def queries() -> dict[str, Query]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_quality": op2_quality,
         "op3_simhash": op3_simhash,
+        "op4_mixing": op4_mixing,
+        "op5_sentencepiece": op5_sentencepiece,
+        "op6_token_counts": op6_token_counts,
+        "op7_pii": op7_pii,
         "op8_knn_join": op8_knn_join,
         "op9_toxicity": op9_toxicity,
         "op10_lm_score": op10_lm_score,
