@@ -1 +1 @@
-
+"""DataFrame operators over notes and their graph."""

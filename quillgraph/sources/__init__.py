@@ -1 +1 @@
-
+"""Readers and writers: note trees, articles, dashboards, news tables."""

@@ -1 +1 @@
-
+"""Refreshing the index as notes arrive."""
