@@ -32,8 +32,9 @@ TYPE_WORDS = (
 PREVIEW = 2000
 SUMMARY_LENGTH = {"query": 400, "execute": 300, "news": 400}  #: characters of the body that stand in for a summary
 
+# The patterns of a header and of a section below a heading.
 _HEADER = r"(?s)^---\s*\n(.*?)\n---\s*\n(.*)$"
-_SECTION = r"(?im)^#{{1,6}}\s*{name}\s*\n((?s:.*?))(?=^#{{1,6}}\s|\z)"
+_SECTION = r"(?im)^#{{1,6}}\s*{name}\s*\n((?s:.*?))(?=\n#{{1,6}}\s|\z)"
 
 
 def split_header(raw: Column) -> Column:

@@ -18,7 +18,7 @@ FOLDER_TYPES = {
 def read_notes(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """One row for each .md file under root: rel_path, file_name, raw (line ends as \\n), size_bytes, mtime.
 
-    Files that are no valid UTF-8 are left out.  ``recursive`` false reads the top level only.
+    Files that are no valid UTF-8 are left out, and so is all below folders whose names begin with '.' or '_'.  ``recursive`` false reads the top level only.
     """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).load(root)
