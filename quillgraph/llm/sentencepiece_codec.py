@@ -43,11 +43,16 @@ class Model:
     dummy_prefix: bool
     longest: int
     splits: bool  # no piece holds a space after another character
+    words_end: bool = False  # no piece holds ASCII punctuation after a Latin letter or digit
     _pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
+    _states: dict[str, list[tuple[float, str, str]]] = field(default_factory=dict)  # at most one a piece or character
     _memory: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.unseen = min(self.scores.values(), default=0.0) - 10  # the score of an unknown character
+
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_pairs": {}, "_memory": {}}
+        return self.__dict__ | {"_pairs": {}, "_states": {}, "_memory": {}}
 
 
 def load(path: str) -> Model:
@@ -68,74 +73,99 @@ def load(path: str) -> Model:
         unknown=next(i for i, p in enumerate(m.pieces) if p.type == kind.UNKNOWN),
         silent=frozenset(i for i, p in enumerate(m.pieces) if p.type == kind.CONTROL),
         bpe=m.trainer_spec.model_type == 2, dummy_prefix=m.normalizer_spec.add_dummy_prefix,
-        longest=max(len(p) for p, _, _ in plain), splits=not any(SPACE in p.lstrip(SPACE) for p, _, _ in plain))
-
+        longest=max(len(p) for p, _, _ in plain), splits=not any(SPACE in p.lstrip(SPACE) for p, _, _ in plain),
+        words_end=not any(re.search(f"[{_LETTER}][{_MARK}]", p) for p, _, _ in plain))
 
-def _merged(model: Model, text: str) -> list[str]:
-    """Merge a few characters by rank: the best-scored neighbours first, the leftmost among equals."""
-    parts = list(text)
-    while len(parts) > 1:
-        rank, at = max(((model.scores.get(parts[i] + parts[i + 1], -np.inf), -i) for i in range(len(parts) - 1)))
-        if rank == -np.inf:
-            break
-        parts[-at:-at + 2] = [parts[-at] + parts[-at + 1]]
-    return parts
 
+def _states(model: Model, piece: str) -> list[tuple[float, str, str]]:
+    """What merging a piece's characters by rank goes through: (rank of the next merge, first and last part) each time.
 
-def _valid(model: Model, before: str, piece: str) -> bool:
-    known = model._pairs.get((before, piece))
+    The best-ranked neighbours merge first, the leftmost among equals.  The list is empty for a piece that its own
+    characters do not merge to.
+    """
+    known = model._states.get(piece)
     if known is None:
-        if len(model._pairs) > 400_000:
-            model._pairs.clear()
-        known = model._pairs[before, piece] = _merged(model, before + piece) == ([before, piece] if before else [piece])
+        parts, known = list(piece), []
+        while True:
+            rank, at = min(((-model.scores.get(parts[i] + parts[i + 1], -np.inf), i) for i in range(len(parts) - 1)), default=(np.inf, 0))
+            known.append((rank, parts[0], parts[-1]))
+            if rank == np.inf:
+                break
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        known = model._states[piece] = known if len(parts) == 1 else []
     return known
 
 
+def _valid(model: Model, before: str, piece: str) -> bool:
+    """Whether two pieces, merged again from their characters, come out as they are.
+
+    Until a merge crosses their boundary each side merges as if alone; the next merge overall is the better of the
+    two sides' next, the left one's among equals.  One crosses when it is better than both.
+    """
+    if len(model._pairs) > 400_000:
+        model._pairs.clear()
+    left, right = _states(model, before) if before else [(np.inf, "", "")], _states(model, piece)
+    i = j = 0
+    fine = bool(right)
+    while fine and before:
+        (a, _, x), (b, y, _) = left[i], right[j]
+        across = -model.scores.get(x + y, -np.inf)
+        if across < a and across <= b:
+            fine = False
+        elif a == b == np.inf:
+            break
+        elif a <= b:
+            i += 1
+        else:
+            j += 1
+    model._pairs[before, piece] = fine
+    return fine
+
+
 def viterbi(model: Model, text: str) -> Iterator[list[str]]:
     """Pieces of an escaped text, given out in lists as soon as they are final."""
-    width, known, bpe = model.longest, model.scores, model.bpe
-    unseen = min(known.values(), default=0.0) - 10
-    base, before = 0, ""  # the committed boundary, and the piece that ends there
-    arrive: list[str] = []  # pieces arriving at base + 1, base + 2, ...
-    weight: list[float] = [0.0]  # of the best paths to base, base + 1, ... (unigram)
+    width, known, bpe, pairs = model.longest, model.scores, model.bpe, model._pairs
+    base = 0  # the committed boundary
+    arrive: list[str] = [""]  # pieces arriving at base, base + 1, ...
+    weight: list[float] = [0.0]  # of the best paths there (unigram)
     for i in range(1, len(text) + 1):
         if bpe:
-            for j in range(max(base, i - width), i):
+            for j in range(i - width if i - width > base else base, i):
                 piece = text[j:i]
-                if (piece in known or j == i - 1) and _valid(model, arrive[j - base - 1] if j > base else before, piece):
-                    arrive.append(piece)
-                    break
-            else:
-                raise AssertionError("no piece arrives")
+                if piece in known:
+                    before = arrive[j - base]
+                    valid = pairs.get((before, piece))
+                    if valid or (valid is None and _valid(model, before, piece)):
+                        break
+            arrive.append(piece)  # the last one is a single character, known or not
         else:
             best, choice = -np.inf, ""
             for j in range(max(base, i - width), i):
                 piece = text[j:i]
-                score = known.get(piece, unseen if j == i - 1 else None)
+                score = known.get(piece, model.unseen if j == i - 1 else None)
                 if score is not None and weight[j - base] + score > best:
                     best, choice = weight[j - base] + score, piece
             arrive.append(choice)
             weight.append(best)
-        if len(arrive) >= 4 * width and len(arrive) % width == 0:
+        if len(arrive) > 4 * width and i % width == 0:
             live = set(range(i - base - width + 1, i - base + 1))
             while len(live) > 1 and (last := max(live)) > 0:
                 live.remove(last)
-                live.add(last - len(arrive[last - 1]))
+                live.add(last - len(arrive[last]))
             meet = max(live) if len(live) == 1 else 0
             if meet > 0:
-                done = _trace(arrive, meet)
-                yield done
-                before, base = done[-1], base + meet
+                yield _trace(arrive, meet)
+                base += meet
                 arrive, weight = arrive[meet:], weight[meet:]
-    if arrive:
-        yield _trace(arrive, len(arrive))
+    if len(arrive) > 1:
+        yield _trace(arrive, len(arrive) - 1)
 
 
 def _trace(arrive: list[str], at: int) -> list[str]:
     out = []
     while at > 0:
-        out.append(arrive[at - 1])
-        at -= len(out[-1])
+        out.append(arrive[at])
+        at -= len(arrive[at])
     return out[::-1]
 
 
@@ -153,10 +183,18 @@ def _ids(model: Model, parts: Iterator[list[str]]) -> list[int]:
     return out
 
 
-_SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_MARK, _LETTER = r"!-/:-@\[-`{-~", "0-9A-Za-zÀ-ɏ"  #: ASCII punctuation; Latin letters and digits
+_PART = re.compile(f"{SPACE}*[{_MARK}]*(?:[^{_MARK}{SPACE}]*[^{_MARK}{_LETTER}{SPACE}][{_MARK}]+)*[^{_MARK}{SPACE}]+|{SPACE}*[{_MARK}]+|{SPACE}+")
+
+
+def segments(model: Model, text: str) -> list[str]:
+    """An escaped text cut before spaces and, in models where no piece goes on from a Latin letter or digit to ASCII punctuation,
+    between these: no piece spans these boundaries, so all paths meet in them."""
+    return (_PART if model.words_end else _WORD).findall(text)
 
 
-def encode(model: Model, text: str, remember: int = 250_000) -> list[int]:
+def encode(model: Model, text: str, remember: int = 400_000) -> list[int]:
     """Ids of a text.  Where no piece spans a space, the boundary before a space is a meeting point of all paths, so
     the ids between two such points depend on nothing else; the last ``remember`` of them are kept."""
     if not text:
@@ -165,7 +203,7 @@ def encode(model: Model, text: str, remember: int = 250_000) -> list[int]:
     if not model.splits or not model.bytes_:  # successive unknowns join across spaces without byte pieces
         return _ids(model, viterbi(model, whole))
     memory, out = model._memory, []
-    for segment in _SEGMENT.findall(whole):
+    for segment in segments(model, whole):
         ids = memory.get(segment)
         if ids is None:
             ids = tuple(_ids(model, viterbi(model, segment)))
