@@ -132,15 +132,20 @@ def _gradients(net: Network, bodies: list[bytes], labels: np.ndarray) -> list[np
         d_tops.sum(axis=0).astype(np.float32), features.T.astype(np.float32) @ d_hidden, d_hidden.sum(axis=0), hidden.T @ d_logit, d_logit.sum(keepdims=True)]
 
 
-def fit(bodies: list[bytes], labels: list[int], epochs: int = 6, batch: int = 24, rate: float = 4e-3, seed: int = 7) -> Network | float:
-    """A fitted network, or a constant probability where the sample is empty or holds one label only."""
+def fit(bodies: list[bytes], labels: list[int], epochs: int = 6, batch: int = 24, rate: float = 4e-3, least_steps: int = 300, seed: int = 7) -> Network | float:
+    """A fitted network, or a constant probability where the sample is empty or holds one label only.
+
+    Small samples are gone over more often, until there are ``least_steps`` steps.
+    """
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return float((y.sum() + 0.5) / (len(y) + 1))
     net, r = start(seed), np.random.default_rng(seed)
     first = [np.zeros_like(a) for a in net.arrays()]
     second = [np.zeros_like(a) for a in net.arrays()]
-    step, steps = 0, epochs * -(-len(y) // batch)
+    each = -(-len(y) // batch)
+    epochs = max(epochs, -(-least_steps // each))
+    step, steps = 0, epochs * each
     for _ in range(epochs):
         order = r.permutation(len(y))
         for i in range(0, len(y), batch):
