@@ -49,8 +49,8 @@ class Weights:
         return out
 
 
-def fit(rows: list[np.ndarray], labels: list[int], epochs: int = 5, alpha: float = 0.5, beta: float = 1.0, l1: float = 16.0, l2: float = 0.02,
-        least_rows: int = 8, weight: float = 8.0, seed: int = 3) -> Weights:
+def fit(rows: list[np.ndarray], labels: list[int], epochs: int = 5, alpha: float = 3.0, beta: float = 1.0, l1: float = 30.0, l2: float = 0.02,
+        least_rows: int = 8, weight: float = 10.0, seed: int = 3) -> Weights:
     """FTRL-proximal, one row at a time.  An empty sample gives score 0.5 everywhere, one label alone its share.
 
     A feature of fewer than ``least_rows`` rows of the sample is left out: it could only learn its rows by heart.
