@@ -88,13 +88,15 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: float = 256.0, i
     """Columns query_id, rank (from 1), vec_id and score: each query row's k best other rows by integer inner product.
 
     Vectors of fewer components count as filled up with zeros.  Ties go to the smaller vec_id.  Fewer rows come back
-    where there are fewer candidates.  Rows that repeat an id are one candidate each; an own row is any of the
-    query's id.  Sums must lie within 2**62.  Pivots and summaries are at most ``most_pivots`` rows, which bounds what
+    where there are fewer candidates.  Of rows that repeat an id one counts, that of the smallest bytes.  Sums must lie within 2**62.  Pivots and summaries are at most ``most_pivots`` rows, which bounds what
     is collected and broadcast.
     """
     spark = vectors.sparkSession
     every = materialise(quantise(vectors, query, scale, id_col, vector_col), "vectors")
-    n, asked, dim, top = every.agg(F.count("*"), F.count_if("asks"), F.max("dim"), F.max("top")).first()
+    n, asked, dim, top, ids = every.agg(F.count("*"), F.count_if("asks"), F.max("dim"), F.max("top"), F.count_distinct("vec_id")).first()
+    if n > ids:
+        every = materialise(every.groupBy("vec_id").agg(F.min("v").alias("v"), F.bool_or("asks").alias("asks")), "vectors")
+        n, asked = every.agg(F.count("*"), F.count_if("asks")).first()
     empty = "query_id long, rank int, vec_id long, score long"
     if not n or not asked:
         return spark.createDataFrame([], empty)

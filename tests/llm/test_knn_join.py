@@ -32,5 +32,7 @@ def test_few_rows_and_large_values(spark):
     df = spark.createDataFrame([(0, [1e6, -1e6]), (5, [1e6, 1e6]), (7, [-1e6, 3.0])], "vec_id long, embedding array<double>")
     got = {tuple(x) for x in top_k(df, F.col("vec_id") % 5 == 0).select("query_id", "rank", "vec_id").collect()}
     assert got == {(0, 1, 5), (0, 2, 7), (5, 1, 0), (5, 2, 7)}
+    twice = df.unionByName(df)
+    assert {tuple(x) for x in top_k(twice, F.col("vec_id") % 5 == 0).select("query_id", "rank", "vec_id").collect()} == got
     assert top_k(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
     assert top_k(df.filter("vec_id = 0"), F.col("vec_id") % 5 == 0).count() == 0
