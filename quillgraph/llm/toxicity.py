@@ -60,8 +60,10 @@ def fit(rows: list[np.ndarray], labels: list[int], epochs: int = 5, alpha: float
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
         return Weights(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(share / (1 - share))))
-    coords, held = np.unique(np.concatenate(rows), return_counts=True)
-    coords = coords[held >= min(least_rows, len(rows) // 2)]
+    held = np.zeros(1 << SPACE_BITS, np.int32)
+    for r in rows:
+        held[r] += 1  # a row's features are distinct
+    coords = np.flatnonzero(held >= max(1, min(least_rows, len(rows) // 2)))
     rows = [np.intersect1d(r, coords, assume_unique=True) for r in rows]
     places = [np.searchsorted(coords, r) for r in rows]
     z, n = np.zeros(len(coords)), np.zeros(len(coords))
@@ -101,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, label_col: str = "to
 
     kind = sample.schema["_id"].dataType.simpleString()
     got = sorted((r["_id"], r["label"], bytes(r["found"])) for r in sample.mapInArrow(run, f"_id {kind}, label int, found binary").collect())
-    return fit([np.frombuffer(x[2], np.int32).astype(np.int64) for x in got], [x[1] for x in got], epochs)
+    return fit([np.frombuffer(x[2], np.int32) for x in got], [x[1] for x in got], epochs)  # views of what was collected
 
 
 def scores(docs: DataFrame, model: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
