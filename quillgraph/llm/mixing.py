@@ -166,10 +166,11 @@ def mixed(docs: DataFrame, drawn: DataFrame, repeat: bool = True, id_col: str =
 
     Rows of a null id stay once.  Columns are as they were.
     """
-    plan = drawn.filter(F.col("copies") != 1).groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(plan, docs[id_col] == plan["_id"], "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    key, times = "_mixing_id", "_mixing_copies"
+    plan = drawn.filter(F.col("copies") != 1).groupBy(F.col(id_col).alias(key)).agg(F.max("copies").alias(times))
+    joined = docs.join(plan, docs[id_col] == plan[key], "left").withColumn(times, F.coalesce(times, F.lit(1)))
     if repeat:
-        joined = joined.withColumn("_copies", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies"))).otherwise(F.array().cast("array<int>"))))
+        joined = joined.withColumn(times, F.explode(F.when(F.col(times) > 0, F.sequence(F.lit(1), F.col(times))).otherwise(F.array().cast("array<int>"))))
     else:
-        joined = joined.filter(F.col("_copies") > 0)
-    return joined.drop("_id", "_copies")
+        joined = joined.filter(F.col(times) > 0)
+    return joined.drop(key, times)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1024  #: lengths of a block
+BLOCK = 128  #: lengths of a block
 
 
 def histogram(lengths: DataFrame, length_col: str = "length") -> DataFrame:
