@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 BLOCK = 128  #: lengths of a block
 
 
@@ -28,6 +30,7 @@ def context_limits(hist: DataFrame) -> DataFrame:
     (L - l) * docs_over.  A quantile q is the first limit whose share_within is at least q.  An empty histogram
     gives an empty result.
     """
+    hist = materialise(hist, "histogram")  # it is read twice below; the texts are encoded once
     h = hist.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / BLOCK).alias("block"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each BLOCK lengths
