@@ -14,6 +14,7 @@ import os
 import pickle
 import tempfile
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -228,6 +229,10 @@ def exact_groups(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text", budget: int = 64 << 20) -> DataFrame:
-    """docs without the rows that exact_groups() drops; columns as they were."""
-    gone = exact_groups(docs, keep, id_col, text_col, budget).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """docs without the rows that exact_groups() drops; columns as they were.
+
+    A row is told by its id and its text, so rows that share an id but not a text are decided on one by one.
+    """
+    gone = exact_groups(docs, keep, id_col, text_col, budget).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_digest")).distinct()
+    digest = F.sha2(F.translate(F.coalesce(docs[text_col], F.lit("")), ascii_uppercase, ascii_lowercase), 256)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (digest == gone["_digest"]), "left_anti")

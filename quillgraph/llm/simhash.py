@@ -271,6 +271,10 @@ def near_groups(docs: DataFrame, tau: int = 4, shingle: int = 4, id_col: str = "
 
 
 def drop_near_copies(docs: DataFrame, tau: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the one with the smallest id.  Rows of a null id stay."""
-    gone = near_groups(docs, tau, shingle, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
+    """docs with one document of each component: the one with the smallest id.  Rows of a null id stay.
+
+    Rows that share an id are one document: they stay together where one of them stays.
+    """
+    mine = near_groups(docs, tau, shingle, id_col, text_col).filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_gone"))
+    gone = mine.agg(F.max(F.col(id_col) == F.col("component_id")).alias("stays")).filter(~F.col("stays")).select("_gone")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -42,3 +42,8 @@ def test_empty_table_and_repeated_rows(spark):
     assert exact_groups(empty).count() == 0
     rows = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, "b")], "doc_id long, text string")
     assert all(r["kept"] and r["group_size"] == 2 for r in exact_groups(rows).collect())
+
+
+def test_rows_that_share_an_id_are_told_by_their_texts(spark):
+    docs = spark.createDataFrame([(5, "A", 0), (5, "b", 1), (7, "a", 2), (None, "b", 3), (8, None, 4), (9, "", 5)], "doc_id long, text string, _gone int")
+    assert sorted(r["_gone"] for r in drop_exact_copies(docs).collect()) == [1, 2, 5]

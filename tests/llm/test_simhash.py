@@ -81,3 +81,8 @@ def test_groups_of_documents(spark):
     left = s.drop_near_copies(docs)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} >= {1, 3, 8, None, 7}
     assert s.near_groups(docs.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_stay_together(spark):
+    docs = spark.createDataFrame([(3, "one two three four five", 0), (5, "one two three four five", 1), (5, "six seven", 2), (6, "six seven", 3)], "doc_id long, text string, _gone int")
+    assert sorted(r["_gone"] for r in s.drop_near_copies(docs).collect()) == [0, 1, 2]
