@@ -44,15 +44,20 @@ class Model:
     longest: int
     splits: bool  # no piece holds a space after another character
     words_end: bool = False  # no piece holds ASCII punctuation after a Latin letter or digit
-    _pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
+    _pairs: dict[str, dict[str, bool]] = field(default_factory=dict)  # of each piece: whether it may follow another
     _states: dict[str, list[tuple[float, str, str]]] = field(default_factory=dict)  # at most one a piece or character
     _memory: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        self.reach: dict[str, int] = {}  # of the last two characters: the longest piece that ends in them
+        for piece in self.scores:
+            if len(piece) > self.reach.get(piece[-2:], 1):
+                self.reach[piece[-2:]] = len(piece)
+        self._pairs, self._held = {piece: {} for piece in self.scores}, 0
         self.unseen = min(self.scores.values(), default=0.0) - 10  # the score of an unknown character
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_pairs": {}, "_states": {}, "_memory": {}}
+        return self.__dict__ | {"_pairs": {piece: {} for piece in self.scores}, "_held": 0, "_states": {}, "_memory": {}}
 
 
 def load(path: str) -> Model:
@@ -102,8 +107,10 @@ def _valid(model: Model, before: str, piece: str) -> bool:
     Until a merge crosses their boundary each side merges as if alone; the next merge overall is the better of the
     two sides' next, the left one's among equals.  One crosses when it is better than both.
     """
-    if len(model._pairs) > 400_000:
-        model._pairs.clear()
+    if model._held >= 400_000:
+        for pairs in model._pairs.values():
+            pairs.clear()
+        model._held = 0
     left, right = _states(model, before) if before else [(np.inf, "", "")], _states(model, piece)
     i = j = 0
     fine = bool(right)
@@ -118,26 +125,31 @@ def _valid(model: Model, before: str, piece: str) -> bool:
             i += 1
         else:
             j += 1
-    model._pairs[before, piece] = fine
+    model._pairs[piece][before] = fine
+    model._held += 1
     return fine
 
 
 def viterbi(model: Model, text: str) -> Iterator[list[str]]:
     """Pieces of an escaped text, given out in lists as soon as they are final."""
-    width, known, bpe, pairs = model.longest, model.scores, model.bpe, model._pairs
+    width, known, bpe, pairs, reach = model.longest, model.scores, model.bpe, model._pairs, model.reach
     base = 0  # the committed boundary
     arrive: list[str] = [""]  # pieces arriving at base, base + 1, ...
     weight: list[float] = [0.0]  # of the best paths there (unigram)
     for i in range(1, len(text) + 1):
         if bpe:
-            for j in range(i - width if i - width > base else base, i):
+            first = i - reach.get(text[i - 2:i], 1) if i > 1 else 0
+            for j in range(i - 1, (first if first > base else base) - 1, -1):  # short pieces are the more frequent
                 piece = text[j:i]
-                if piece in known:
+                follows = pairs.get(piece)
+                if follows is not None:
                     before = arrive[j - base]
-                    valid = pairs.get((before, piece))
+                    valid = follows.get(before)
                     if valid or (valid is None and _valid(model, before, piece)):
                         break
-            arrive.append(piece)  # the last one is a single character, known or not
+            else:
+                piece = text[i - 1]  # an unknown character
+            arrive.append(piece)
         else:
             best, choice = -np.inf, ""
             for j in range(max(base, i - width), i):
