@@ -10,9 +10,15 @@ known suffix, multiplying its backoff weight in:
 
 so every state's probabilities sum to one.  Scoring is one left-to-right traversal that carries the state.
 
-What is broadcast has proven bounds, whatever the corpus: words, contexts and arcs are kept by their share of the N
-learning tokens, and at most 1/share of each can reach it.  Words under the share are scored by the base distribution
-through a join on the full table of counts, which stays distributed; they lead the automaton to its root.
+lm_scores() counts all n-grams of the learning rows and keeps every arc that occurs twice, whatever the corpus.  Nothing
+of the model is collected or broadcast.  Texts are coded once into chunks of token hashes.  A chunk asks for its
+different n-grams, dealt by ranges of their 63-bit hashes to buckets that add up the learning counts and answer every
+chunk in its own order; the first chunk that holds an n-gram adds its share to the n-gram's context, a second round of
+questions returns these sums, which give the backoff weights, and the chunk scores its texts.  What is shuffled is one
+packed row for each chunk and bucket; both grow in number, not in size, with the corpus.
+
+learn() and score_texts() are the same model as an automaton on the driver, for corpora whose n-grams fit there; their
+shares bound it for others.
 """
 
 from __future__ import annotations
@@ -23,6 +29,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -259,8 +267,193 @@ def score_texts(docs: DataFrame, model: Automaton, counts: DataFrame, id_col: st
         F.lit(model.total).cast("long").alias("train_tokens"), (F.col("plain") + more).alias("base_score"), (F.col("score") + more).alias("score"))
 
 
+# --- all n-grams, by questions and answers between chunks and buckets
+
+_KEYS = 2_000_000  #: questions a bucket
+_CODED = "rows array<long>, ids array<{kind}>, learn array<boolean>, sizes array<int>, skips array<int>, words binary, codes binary, tokens long"
+_ASKED = "bucket int, chunk long, keys binary, n binary"
+_ANSWERED = "chunk long, bucket int, n binary, first binary, words long"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Bytes of 64-bit numbers by place, so that sorted keys and small counts compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(b: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _join(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[_unpacked(b, kind) for b in column.to_pylist()]])
+
+
+def code_texts(docs: DataFrame, learning: Column, order: int, id_col: str, text_col: str, most: int = 500_000) -> DataFrame:
+    """Chunks of about ``most`` tokens: different token hashes (odd), a code for each token, and the rows they belong to.
+
+    A longer text is cut into segments that repeat the order - 1 tokens before them (skips).
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, end = xxhash.xxh64_intdigest, xxhash.xxh64_intdigest(END) | 1
+        held: list[tuple] = []
+        size, id_type = 0, None
+
+        def flush() -> pa.RecordBatch:
+            words, codes = np.unique(np.concatenate([x[4] for x in held]), return_inverse=True)
+            column = lambda i, t: pa.array([[x[i] for x in held]], pa.list_(t))
+            return pa.RecordBatch.from_arrays(
+                [column(0, pa.int64()), column(1, id_type), column(2, pa.bool_()), pa.array([[len(x[4]) for x in held]], pa.list_(pa.int32())), column(3, pa.int32()),
+                 pa.array([_packed(words)]), pa.array([codes.astype(np.int32).tobytes()]), pa.array([sum(len(x[4]) - x[3] for x in held if x[2])], pa.int64())],
+                names=["rows", "ids", "learn", "sizes", "skips", "words", "codes", "tokens"])
+
+        for batch in batches:
+            id_type = batch.column("id").type
+            for part in pieces(batch, 1 << 20):
+                for row, i, learn, text in zip(part.column("row").to_pylist(), part.column("id").to_pylist(), part.column("learn").to_pylist(), lowered(part.column("body"))):
+                    words = text.split()
+                    h = np.fromiter(map(digest, words), np.uint64, len(words)) | np.uint64(1)
+                    h = np.append(h, np.uint64(end))
+                    for a in range(0, len(h), most):
+                        skip = min(a, order - 1)
+                        held.append((row, i, learn, skip, h[a - skip:a + most]))
+                        size += len(held[-1][4])
+                        if size >= most:
+                            yield flush()
+                            held, size = [], 0
+        if held:
+            yield flush()
+
+    source = texts(docs, id_col, text_col, F.coalesce(learning, F.lit(False)).alias("learn"), F.monotonically_increasing_id().alias("row"))
+    coded = source.mapInArrow(run, _CODED.format(kind=kind)).withColumn("chunk", F.monotonically_increasing_id())
+    return materialise(coded, "coded")
+
+
+class _Chunk:
+    """A chunk's different n-grams of all orders (keys, sorted), and at[k - 1][i], the key that ends at token i (-1: none)."""
+
+    def __init__(self, row: dict, order: int) -> None:
+        h = _unpacked(row["words"], np.uint64)[np.frombuffer(row["codes"], np.int32)]
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        age = np.arange(len(h)) - np.repeat(self.starts, self.sizes)
+        self.fresh = age >= np.repeat(np.array(row["skips"], np.int64), self.sizes)
+        self.learnt = self.fresh & np.repeat(np.array(row["learn"], bool), self.sizes)
+        grams, valid = [h], [np.arange(len(h))]
+        for k in range(2, order + 1):
+            g = np.zeros_like(h)
+            x = grams[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ np.uint64(k))
+            x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+            g[1:] = (x ^ x >> np.uint64(32)) & ~np.uint64(1)
+            grams.append(g)
+            valid.append(np.flatnonzero(age >= k - 1))
+        self.keys, found = np.unique(np.concatenate([g[v] for g, v in zip(grams, valid)]), return_inverse=True)
+        self.at, self.order = [], np.zeros(len(self.keys), np.int8)
+        self.context = np.full(len(self.keys), -1, np.int64)
+        for k, v in enumerate(valid):
+            at = np.full(len(h), -1, np.int64)
+            at[v], found = found[:len(v)], found[len(v):]
+            self.order[at[v]] = k + 1
+            if k:
+                self.context[at[v]] = self.at[-1][v - 1]
+            self.at.append(at)
+
+    def counts(self) -> np.ndarray:
+        out = np.zeros(len(self.keys), np.int64)
+        for at in self.at:
+            out += np.bincount(at[self.learnt & (at >= 0)], minlength=len(out))
+        return out
+
+
+def _questions(chunk: int, keys: np.ndarray, n: np.ndarray, buckets: int) -> tuple[list, ...]:
+    to = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
+    spans = list(zip(cuts, [*cuts[1:], len(keys)]))
+    return [int(to[a]) for a, _ in spans], [chunk] * len(spans), [_packed(keys[a:z]) for a, z in spans], [_packed(n[a:z]) for a, z in spans]
+
+
+def _asked(columns: tuple[list, ...]) -> dict:
+    return {n: pa.array(c, t) for n, c, t in zip(("bucket", "chunk", "keys", "n"), columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))}
+
+
+def _answers(asked: DataFrame, kind: type, name: str) -> DataFrame:
+    """For each question the sum of n over all chunks, whether this chunk is the first with some, and the bucket's different words."""
+
+    def solve(table: pa.Table) -> pa.Table:
+        keys, n = _join(table["keys"], np.uint64), _join(table["n"], kind)
+        different, at = np.unique(keys, return_inverse=True)
+        whole = np.bincount(at, weights=n, minlength=len(different)).astype(kind)  # exact below 2**53
+        some = np.flatnonzero(n > 0)[::-1]
+        first = np.full(len(different), -1, np.int64)
+        first[at[some]] = some
+        mine = np.zeros(len(keys), np.uint8)
+        mine[first[first >= 0]] = 1
+        cuts = np.cumsum([0, *[len(b) // 8 for b in table["keys"].to_pylist()]]).tolist()
+        spans = list(zip(cuts, cuts[1:]))
+        words = int(((first >= 0) & (different & np.uint64(1) == 1)).sum())
+        return pa.table({
+            "chunk": table["chunk"], "bucket": table["bucket"], "n": pa.array([_packed(whole[at[a:z]]) for a, z in spans], pa.binary()),
+            "first": pa.array([mine[a:z].tobytes() for a, z in spans], pa.binary()), "words": pa.array([words] + [0] * (len(spans) - 1), pa.int64())})
+
+    return materialise(asked.groupBy("bucket").applyInArrow(solve, _ANSWERED), name)
+
+
 def lm_scores(docs: DataFrame, learning: Column, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of all rows by the automaton of the rows for which ``learning`` is true; see score_texts()."""
-    rows = docs.filter(learning)
-    counts = materialise(count_words(rows, text_col), "words")
-    return score_texts(docs, learn(rows, counts, order, text_col=text_col), counts, id_col, text_col)
+    """id_col, n_tokens, n_known, train_tokens, base_score and score for every row, by all n-grams of the rows for which
+    ``learning`` is true that occur twice or more.
+
+    Null and empty texts hold the end token alone.  Scores are log10.  Repeated rows are scored each; null ids stay
+    null; an empty table gives an empty result; without learning rows every token has probability one.
+    """
+    coded = code_texts(docs, learning, order, id_col, text_col)
+    total, held = coded.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))).first()
+    buckets = max(8, -(-held // 4 * order // _KEYS))
+
+    def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                c = _Chunk(row, order)
+                yield pa.RecordBatch.from_pydict(_asked(_questions(row["chunk"], c.keys, c.counts(), buckets)))
+
+    counted = _answers(coded.mapInArrow(first_round, _ASKED), np.int64, "counted")
+    distinct = counted.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    norm = total + 0.5 * (distinct + 1)
+
+    def known(left: pa.Table, right: pa.Table) -> tuple[dict, _Chunk, np.ndarray, np.ndarray]:
+        row, right = left.to_pylist()[0], right.sort_by("bucket")
+        return row, _Chunk(row, order), _join(right["n"], np.int64), np.frombuffer(b"".join(right["first"].to_pylist()), np.uint8) > 0
+
+    def second_round(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, c, n, mine = known(left, right)
+        arcs = mine & (n >= 2) & (c.order > 1)
+        sums = np.bincount(c.context[arcs], weights=n[arcs] - DISCOUNT, minlength=len(n))
+        ask = (n >= 2) & (c.order < order)
+        return pa.table(_asked(_questions(row["chunk"], c.keys[ask], sums[ask], buckets)))
+
+    summed = _answers(coded.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(second_round, _ASKED), np.float64, "summed")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def last_round(left: pa.Table, right: pa.Table) -> pa.Table:
+        later = pc.field("later")
+        row, c, n, _ = known(left, right.filter(~later))
+        ask = (n >= 2) & (c.order < order)
+        back = np.ones(len(n))
+        back[ask] = np.maximum(1e-12, 1 - _join(right.filter(later).sort_by("bucket")["n"], np.float64) / n[ask])
+        own = np.where(n >= 2, (n - DISCOUNT) / np.maximum(n[c.context], 1), 0.0)
+        base = (n[c.at[0]] + 0.5) / norm
+        p = base.copy()
+        for k in range(1, order):
+            i = np.flatnonzero(c.at[k] >= 0)
+            p[i] = own[c.at[k][i]] + back[c.at[k - 1][i - 1]] * p[i]
+        add = lambda x: np.add.reduceat(np.where(c.fresh, x, 0), c.starts)
+        return pa.table({
+            "row": pa.array(row["rows"], pa.int64()), "id": pa.array(row["ids"], left.schema.field("ids").type.value_type), "n_tokens": add(np.ones(len(p), np.int64)),
+            "n_known": add((n[c.at[0]] > 0).astype(np.int64)), "base_score": add(np.log10(base)), "score": add(np.log10(p))})
+
+    both = counted.select("chunk", "bucket", "n", "first", F.lit(False).alias("later")).unionByName(summed.select("chunk", "bucket", "n", "first", F.lit(True).alias("later")))
+    scored = coded.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(last_round, f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return scored.groupBy("row").agg(F.first("id").alias(id_col), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")]).select(
+        id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -70,3 +70,33 @@ def test_empty_tables_and_no_learning_rows(spark):
     docs = spark.createDataFrame(rows()[:5], "doc_id long, text string")
     assert lm_score.lm_scores(docs.limit(0), F.lit(True)).count() == 0
     assert {r["score"] for r in lm_score.lm_scores(docs, F.lit(False)).collect()} == {0.0}
+
+
+def test_all_ngrams_that_occur_twice_count_whatever_the_corpus(spark):
+    """As by the automaton without shares; a passage that is rare in a larger corpus is no row of single words."""
+    passage = " ".join(f"rare{i}" for i in range(30))
+    filler = [(1000 + i, " ".join(f"w{(i * 31 + j * j * 7) % 997}" for j in range(500))) for i in range(80)]
+    docs = spark.createDataFrame([*rows(), *filler, (200, passage), (201, passage), (202, "held out " + passage)], "doc_id long, text string")
+    learning = F.coalesce(F.col("doc_id"), F.lit(0)) != 202
+    got = {r["doc_id"]: r for r in lm_score.lm_scores(docs, learning).collect()}
+    counts = lm_score.count_words(docs.filter(learning)).cache()
+    whole = lm_score.learn(docs.filter(learning), counts, 3, 0.0, 0.0, 0.0)
+    for r in lm_score.score_texts(docs, whole, counts).collect():
+        g = got.pop(r["doc_id"])
+        assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == (r["n_tokens"], r["n_known"], r["train_tokens"])
+        assert g["score"] == pytest.approx(r["score"]) and g["base_score"] == pytest.approx(r["base_score"])
+        if r["doc_id"] == 202:
+            assert g["score"] > g["base_score"] + 60
+    assert not got
+
+
+def test_long_texts_are_cut_without_loss(spark):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string")
+    coded = lm_score.code_texts(docs, F.lit(True), 3, "doc_id", "text", most=7).collect()
+    assert sum(r["tokens"] for r in coded) == sum(len(tokens(t)) for _, t in rows())
+    grams = Counter()
+    for r in coded:
+        c = lm_score._Chunk(r.asDict(), 3)
+        grams.update(dict(zip(c.keys.tolist(), c.counts().tolist())))
+    want = Counter(tuple(t[i:i + k]) for t in (tokens(x) for _, x in rows()) for k in (1, 2, 3) for i in range(len(t) - k + 1))
+    assert sorted(n for n in grams.values() if n) == sorted(want.values())
