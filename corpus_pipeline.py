@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import exact_dedup, mixing, quality_cnn, sentencepiece_codec, simhash
+from quillgraph.llm import exact_dedup, jaccard, mixing, quality_cnn, sentencepiece_codec, simhash
 from quillgraph.llm.common import materialise, remainder
 from quillgraph.llm.queries import DOMAINS, TOKENIZER, WEIGHTS, domain_labels
 
@@ -25,10 +25,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each group of close fingerprints stays; the first half of near_copies()."""
     return simhash.drop_near_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: close fingerprints, or Jaccard similarity of five-word shingles of 0.8 or more."""
+    return jaccard.drop_similar(materialise(near(spark, docs, sf_dir), "close"), least=0.8, size=5)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are kept at the rates that meet the domains' target weights; none is repeated."""
     labels = domain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -41,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(docs, sentencepiece_codec.load(TOKENIZER))
 
 
-STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("sentencepiece", encode)]
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near_copies), ("mixing", mix), ("sentencepiece", encode)]
 
 #: Trained models and a subword vocabulary are no SQL; tests hold run() against brute force instead.
 ORACLE_SQL = None
