@@ -35,10 +35,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are kept at the rates that meet the domains' target weights; none is repeated."""
+    """Rows are kept at the rates that meet the domains' target weights; none is repeated.
+
+    The domains are learnt from the labelled rows of the whole table, since the stages before drop most of the junk.
+    """
     labels = domain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    model = mixing.train(docs, labels, DOMAINS)
-    return mixing.mixed(docs, mixing.rates(docs, model, WEIGHTS), repeat=False)
+    model = mixing.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels, DOMAINS)
+    return mixing.mixed(docs, mixing.rates(docs, model, WEIGHTS, most=1.0), repeat=False)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ posterior, so nothing that grows with the corpus is collected or carried from st
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -119,7 +120,7 @@ def solve(members: DataFrame, targets: list[float], step: float = 0.7, ridge: fl
     """Gradients (one list of numbers for each iteration) that lead the expected totals to ``targets`` (tokens).
 
     Stops when every domain that has tokens is within ``tolerance`` of its target, relative to the larger of its
-    target and its mass, or after ``iterations``.
+    target and its mass, or, with a warning, after ``iterations``.
     """
     k = len(targets)
     masses = members.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col("p")[i]) for i in range(k)]).first()
@@ -133,18 +134,23 @@ def solve(members: DataFrame, targets: list[float], step: float = 0.7, ridge: fl
         got = members.select("p", (F.col("tokens") * r).alias("w")).agg(*[F.sum(F.col("w") * F.col("p")[i]) for i in range(k)]).first()
         residual = (np.array([float(x) for x in got]) - np.array(targets)) / total
         if (np.abs(residual) <= tolerance * np.maximum(np.array(targets) / total, share)).all():
-            break
+            return steps
         steps.append((residual / np.maximum(share, 1e-6)).tolist())
+    warnings.warn(f"mixing: targets {[round(t) for t in targets]} not met after {iterations} steps; the last residuals are {np.round(residual * total).tolist()} tokens", RuntimeWarning, stacklevel=2)
     return steps
 
 
-def rates(docs: DataFrame, model: Domains, weights: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
+def rates(docs: DataFrame, model: Domains, weights: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 11,
+          most: float | None = None) -> DataFrame:
     """id_col, tokens, one column p_<domain> each, rate and copies for every row.
 
     ``weights`` are the domains' wanted shares of the mix (normalised here).  ``budget`` is the mix's tokens; by
     default as many as leave the heaviest domain's tokens as they are.  copies is rate rounded up or down at random, by a
     hash of the id, with expectation rate; rows that repeat an id get the same.  Null and empty texts count one token.
     A null id is hashed as a value of its own.  An empty table gives an empty result.
+
+    With ``most`` no rate is above it: a domain whose tokens do not suffice is left out of the targets and stays at what
+    it has, the others keep their shares among themselves, and the budget falls until all rates fit.
     """
     members = materialise(memberships(docs, model, id_col, text_col), "members")
     wanted = np.array([weights.get(n, 0.0) for n in model.names], float)
@@ -154,7 +160,16 @@ def rates(docs: DataFrame, model: Domains, weights: dict[str, float], budget: fl
         mass = members.agg(F.sum(F.col("tokens") * F.col("p")[heavy])).first()[0] or 0.0
         budget = float(mass) / wanted[heavy]
     step, ridge = 0.7, 1e-3
-    rate = _rate(solve(members, (wanted * budget).tolist(), step, ridge), step, ridge)
+    if most is None:
+        rate = _rate(solve(members, (wanted * budget).tolist(), step, ridge), step, ridge)
+    else:
+        masses = members.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i]), F.lit(0.0)) for i in range(len(wanted))]).first()
+        while True:
+            rate = _rate(solve(members, np.minimum(wanted * budget, most * np.array(masses, float)).tolist(), step, ridge), step, ridge)
+            top = members.agg(F.max(rate)).first()[0] or 0.0
+            if top <= most:
+                break
+            budget *= most / top * 0.999
     u = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     out = members.select("id", "tokens", "p", rate.alias("rate")).select(
         F.col("id").alias(id_col), "tokens", *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(model.names)], "rate", F.floor(F.col("rate") + u).cast("int").alias("copies"))

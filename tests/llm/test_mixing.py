@@ -59,3 +59,30 @@ def test_empty_tables(spark):
     assert m.mixed(docs, m.rates(docs, fitted, {"a": 1.0})).count() == 0
     even = m.rates(table(spark), fitted, {"a": 1.0, "b": 1.0, "c": 1.0})
     assert even.filter(F.abs(F.col("p_a") - 1 / 3) > 1e-6).count() == 0
+
+
+def test_stage_learns_from_the_whole_table_and_no_rate_is_cut(spark, tmp_path, monkeypatch):
+    """No labelled junk is left by the stages before; prose stays and toxic rows are thinned to their share."""
+    import corpus_pipeline
+
+    words = {"prose": "river stone field walks", "junk": "### *** %%% @@@", "toxic": "idiot moron stupid fool"}
+    kinds = [("prose", "junk", "toxic")[0 if i % 10 < 6 else 1 if i % 10 < 8 else 2] for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join([words[k]] * (2 + i % 3))) for i, k in enumerate(kinds)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(k != "junk"), int(k == "toxic")) for i, k in enumerate(kinds)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, rates = [], m.rates
+    monkeypatch.setattr(m, "rates", lambda *a, **b: seen.append(rates(*a, **b)) or seen[-1])
+    left = docs.filter(~F.col("doc_id").isin([i for i, k in enumerate(kinds) if k == "junk"]))
+    kept = corpus_pipeline.mix(spark, left, str(tmp_path)).collect()
+    drawn = seen[0].collect()
+    assert all(r["rate"] <= 1 and r["copies"] <= 1 for r in drawn)
+    got = {n: sum(r["tokens"] * r[f"p_{n}"] * r["rate"] for r in drawn) for n in words}
+    assert got["toxic"] / got["prose"] == pytest.approx(0.05 / 0.93, rel=0.25)
+    assert sum(kinds[r["doc_id"]] == "prose" for r in kept) >= 0.9 * kinds.count("prose")
+
+
+def test_unmet_targets_are_reported(spark):
+    df = spark.createDataFrame([(1, 10, [1.0, 0.0]), (2, 10, [0.9, 0.1])], "id long, tokens long, p array<double>")
+    with pytest.warns(RuntimeWarning, match="not met"):
+        m.solve(df, [1.0, 19.0], iterations=3)
