@@ -18,7 +18,9 @@ DATE = r"(?<![0-9A-Za-z.\-/])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z\-/])"
 ADDRESS = r"(?<![0-9A-Za-z.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9A-Za-z])"
 SOCIAL = r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])"
+#: A whole run of digit groups, up to what is a date, a social security number or a phone; _card() looks for the cards in it.
+CARD = (r"(?<![0-9A-Za-z])(?=[0-9](?:[ \-]?[0-9]){12})[0-9]++(?![0-9A-Za-z])"
+        rf"(?:[ \-](?!{DATE}|{SOCIAL}|{PHONE})[0-9]++(?![0-9A-Za-z]))*+")
 KINDS = {"mail": MAIL, "date": DATE, "address": ADDRESS, "social": SOCIAL, "phone": PHONE, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 _FIRST_DAY, _DAYS = "1900-01-01", (17, 4297)  #: 17 * 4297 days reach to 2099-12-31
@@ -83,11 +85,41 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    def changed(d: Column) -> Column:
-        body = _permuted(F.substring(d, F.lit(1), F.length(d) - 1), "card", key)
-        return _let(body, lambda b: _filled(m, F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string"))))
+    """Of the run's groups, from the left, the most that follow one another, hold 13 to 19 digits and pass Luhn are a card."""
+    def changed(t: Column) -> Column:
+        def made(d: Column) -> Column:
+            body = _permuted(F.substring(d, F.lit(1), F.length(d) - 1), "card", key)
+            return _let(body, lambda b: _filled(t, F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0"))) % 10) % 10).cast("string"))))
 
-    return _let(_digits(m), lambda d: F.when(_luhn(d) % 10 == 0, changed(d)).otherwise(m))
+        return _let(_digits(t), made)
+
+    def ends(groups: Column) -> Column:
+        """For each group the number of groups of the card that begins there, or 0."""
+        def reach(i: Column) -> Column:
+            span = lambda k: F.array_join(F.transform(F.slice(groups, i, k), _digits), "")
+            fits = lambda k: _let(span(k), lambda d: F.when(F.length(d).between(13, 19), _luhn(d) % 10 == 0).otherwise(False))
+            return F.coalesce(F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.size(groups) - i + 1, F.lit(19))), fits)), F.lit(0))
+
+        return F.transform(F.sequence(F.lit(1), F.size(groups)), reach)
+
+    def cards(n: Column) -> Column:
+        """Structs (at, to) of the cards, none over another."""
+        kind = "array<struct<at:int,to:int>>"
+        add = lambda s, i: F.when((F.element_at(n, i) > 0) & ~F.exists(s, lambda c: c["to"] >= i), F.concat(
+            s, F.array(F.struct(i.alias("at"), (i + F.element_at(n, i) - 1).alias("to"))).cast(kind))).otherwise(s)
+        return F.aggregate(F.sequence(F.lit(1), F.size(n)), F.array().cast(kind), add)
+
+    def shown(groups: Column, found: Column) -> Column:
+        def one(i: Column) -> Column:
+            mine = F.filter(found, lambda c: (c["at"] <= i) & (c["to"] >= i))
+            whole = F.array_join(F.slice(groups, i, F.element_at(mine, 1)["to"] - i + 1), "")
+            return F.when(F.size(mine) == 0, F.element_at(groups, i)).when(F.element_at(mine, 1)["at"] < i, "").otherwise(_let(whole, changed))
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.size(groups)), one), "")
+
+    # groups with the separator before them
+    return _let(F.regexp_extract_all(m, F.lit("[ \\-]?[0-9]+"), F.lit(0)), lambda g: _let(
+        ends(g), lambda n: F.when(F.exists(n, lambda x: x > 0), _let(cards(n), lambda c: shown(g, c))).otherwise(m)))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -156,7 +188,7 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", out_col: st
     empty.  The text is scanned whole, in one pass of a pattern that cannot run away on long tokens.
     """
     body, found, new = F.col(text_col), "_found_values", "_new_values"
-    some = body.rlike("[0-9]{2}|@")
+    some = body.rlike("[0-9]|@")
     with_found = docs.withColumn(found, F.when(some, F.regexp_extract_all(body, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     with_new = with_found.withColumn(new, F.transform(F.col(found), lambda m: pseudonym(m, key)))
     joined = F.array_join(F.zip_with(F.split(body, ANY, -1), F.concat(F.col(new), F.array(F.lit(""))), lambda t, v: F.concat(t, v)), "")

@@ -94,3 +94,20 @@ def test_the_network_is_a_permutation(spark):
     all_pairs = spark.range(17 * 23).select((F.col("id") % 17).alias("l"), F.floor(F.col("id") / 17).alias("r"))
     out = all_pairs.select(pii.feistel(F.col("l"), F.col("r"), F.lit(17), F.lit(23), F.lit("d"), KEY).alias("s"))
     assert out.distinct().count() == 17 * 23
+
+
+def test_single_digit_addresses_and_cards_beside_other_numbers(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    want = {
+        "see 8.8.8.8": f"see {brute('8.8.8.8')}",
+        f"{spaced} 123 end": f"{brute(spaced)} 123 end",
+        f"12 {card}": f"12 {brute(card)}",
+        f"1234 {spaced}": f"1234 {brute(spaced)}",
+        f"{spaced} {card} 7": f"{brute(spaced)} {brute(card)} 7",
+        f"{card} 555-123-4567": f"{brute(card)} {brute('555-123-4567')}",
+        f"{card} 2024-02-29 {card} 12ab": f"{brute(card)} {brute('2024-02-29')} {brute(card)} 12ab",
+        "1 " * 3000: "1 " * 3000,
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymised(df, KEY).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
