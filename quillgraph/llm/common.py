@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,26 +17,38 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one for a local master (tests).
+
+    A cluster without that setting is an error: its executors would write to disks of their own.
+    """
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         there = spark.sparkContext.getCheckpointDir()
     if not there:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         there = f"file://{tempfile.mkdtemp(prefix='quillgraph-')}"
         spark.sparkContext.setCheckpointDir(there)
     return there
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
-    A lost executor then costs a re-read, never a recomputation.  The tables go when the driver's Python ends.
+    With ``by`` the table is bucketed by that column, so that joins and groups by it do not shuffle it again.  A lost
+    executor then costs a re-read, never a recomputation.  The tables go when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
+    unique = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quillgraph/{unique}"
     if not _written:
         atexit.register(_clean)
     _written[path] = spark
+    if by:
+        table = unique.replace("-", "_")
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(table)
+        return spark.table(table)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

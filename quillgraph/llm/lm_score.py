@@ -12,10 +12,11 @@ so every state's probabilities sum to one.  Scoring is one left-to-right travers
 
 lm_scores() counts all n-grams of the learning rows and keeps every arc that occurs twice, whatever the corpus.  Nothing
 of the model is collected or broadcast.  Texts are coded once into chunks of token hashes.  A chunk asks for its
-different n-grams, dealt by ranges of their 63-bit hashes to buckets that add up the learning counts and answer every
-chunk in its own order; the first chunk that holds an n-gram adds its share to the n-gram's context, a second round of
-questions returns these sums, which give the backoff weights, and the chunk scores its texts.  What is shuffled is one
-packed row for each chunk and bucket; both grow in number, not in size, with the corpus.
+different words and pairs, dealt by ranges of their hashes to buckets that add up the learning counts and answer every
+chunk in its own order.  Longer n-grams are asked for only where both their parts occur twice.  The first chunk that
+holds an arc adds its share to the arc's context; these sums are asked for in the next round and give the backoff
+weights.  In the last round every chunk walks its tokens through the states, order by order.  What is shuffled is one
+packed row for each chunk and bucket, never a text or its codes; both grow in number, not in size, with the corpus.
 
 learn() and score_texts() are the same model as an automaton on the driver, for corpora whose n-grams fit there; their
 shares bound it for others.
@@ -23,14 +24,17 @@ shares bound it for others.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -270,55 +274,69 @@ def score_texts(docs: DataFrame, model: Automaton, counts: DataFrame, id_col: st
 # --- all n-grams, by questions and answers between chunks and buckets
 
 _KEYS = 2_000_000  #: questions a bucket
-_CODED = "rows array<long>, ids array<{kind}>, learn array<boolean>, sizes array<int>, skips array<int>, words binary, codes binary, tokens long"
-_ASKED = "bucket int, chunk long, keys binary, n binary"
-_ANSWERED = "chunk long, bucket int, n binary, first binary, words long"
+_SPARE_BITS = 22  #: a key collides with any other with a chance of 2**-22 at most
+_CODED = "rows array<long>, ids array<{kind}>, learn array<boolean>, sizes array<int>, skips array<int>, words binary, codes binary, tokens long, learnt long"
+_ASKED = "kind int, bucket int, chunk long, keys binary, n binary"
+_ANSWERED = "kind int, bucket int, chunk long, n binary, mine binary, words long"
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """Bytes of 64-bit numbers by place, so that sorted keys and small counts compress."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers by place of their bytes, compressed: the high places are nearly all equal."""
+    top = int(x.max(initial=0))
+    width = max(1, -(-top.bit_length() // 8))
+    planes = np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.compress(planes.tobytes(), 1)
 
 
-def _unpacked(b: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(kind).ravel()
+def _unpack(b: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(b[1:]), np.uint8).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :b[0]] = planes.T
+    return out.view(np.uint64).ravel()
 
 
-def _join(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *[_unpacked(b, kind) for b in column.to_pylist()]])
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *[_unpack(b) for b in column.to_pylist()]])
 
 
-def code_texts(docs: DataFrame, learning: Column, order: int, id_col: str, text_col: str, most: int = 500_000) -> DataFrame:
-    """Chunks of about ``most`` tokens: different token hashes (odd), a code for each token, and the rows they belong to.
+def code_texts(docs: DataFrame, learning: Column, order: int, id_col: str, text_col: str, most: int = 2_000_000) -> DataFrame:
+    """Chunks of about ``most`` tokens: hashes of the different tokens, a code for each token, and the rows they belong to.
 
-    A longer text is cut into segments that repeat the order - 1 tokens before them (skips).
+    Codes go by frequency, so that most fit a byte.  A longer text is cut into segments that repeat the order - 1
+    tokens before them (skips).  The table is bucketed by chunk: later rounds bring the answers to the chunks, not the
+    chunks to the answers.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, end = xxhash.xxh64_intdigest, xxhash.xxh64_intdigest(END) | 1
         held: list[tuple] = []
+        index: defaultdict[bytes, int] = defaultdict(count().__next__)
         size, id_type = 0, None
 
         def flush() -> pa.RecordBatch:
-            words, codes = np.unique(np.concatenate([x[4] for x in held]), return_inverse=True)
+            found = np.concatenate([x[4] for x in held])
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
+            by = np.argsort(-np.bincount(found, minlength=len(index)), kind="stable")
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            index.clear()
+            index.default_factory = count().__next__
             column = lambda i, t: pa.array([[x[i] for x in held]], pa.list_(t))
             return pa.RecordBatch.from_arrays(
                 [column(0, pa.int64()), column(1, id_type), column(2, pa.bool_()), pa.array([[len(x[4]) for x in held]], pa.list_(pa.int32())), column(3, pa.int32()),
-                 pa.array([_packed(words)]), pa.array([codes.astype(np.int32).tobytes()]), pa.array([sum(len(x[4]) - x[3] for x in held if x[2])], pa.int64())],
-                names=["rows", "ids", "learn", "sizes", "skips", "words", "codes", "tokens"])
+                 pa.array([hashes[by].tobytes()]), pa.array([_pack(rank[found])]), pa.array([len(found)], pa.int64()), pa.array([sum(len(x[4]) - x[3] for x in held if x[2])], pa.int64())],
+                names=["rows", "ids", "learn", "sizes", "skips", "words", "codes", "tokens", "learnt"])
 
         for batch in batches:
             id_type = batch.column("id").type
             for part in pieces(batch, 1 << 20):
                 for row, i, learn, text in zip(part.column("row").to_pylist(), part.column("id").to_pylist(), part.column("learn").to_pylist(), lowered(part.column("body"))):
-                    words = text.split()
-                    h = np.fromiter(map(digest, words), np.uint64, len(words)) | np.uint64(1)
-                    h = np.append(h, np.uint64(end))
-                    for a in range(0, len(h), most):
+                    words = [*text.split(), END]
+                    for a in range(0, len(words), most):
                         skip = min(a, order - 1)
-                        held.append((row, i, learn, skip, h[a - skip:a + most]))
-                        size += len(held[-1][4])
+                        some = words[a - skip:a + most]
+                        held.append((row, i, learn, skip, np.fromiter(map(index.__getitem__, some), np.int64, len(some))))
+                        size += len(some)
                         if size >= most:
                             yield flush()
                             held, size = [], 0
@@ -327,77 +345,124 @@ def code_texts(docs: DataFrame, learning: Column, order: int, id_col: str, text_
 
     source = texts(docs, id_col, text_col, F.coalesce(learning, F.lit(False)).alias("learn"), F.monotonically_increasing_id().alias("row"))
     coded = source.mapInArrow(run, _CODED.format(kind=kind)).withColumn("chunk", F.monotonically_increasing_id())
-    return materialise(coded, "coded")
+    return materialise(coded, "coded", by="chunk")
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
 
 
 class _Chunk:
-    """A chunk's different n-grams of all orders (keys, sorted), and at[k - 1][i], the key that ends at token i (-1: none)."""
+    """A chunk's different n-grams, order by order.
+
+    Of order k: at[k][i] is the n-gram that ends at token i (-1: none), hashes[k], its place by hash (rank[k]: the
+    order in which it is asked for), context[k] (the n-gram of order k - 1 that it begins with) and n[k], the corpus's
+    count once it is known.  From order 3 on only n-grams are kept whose first and last parts occur twice, as no other
+    can.
+    """
 
-    def __init__(self, row: dict, order: int) -> None:
-        h = _unpacked(row["words"], np.uint64)[np.frombuffer(row["codes"], np.int32)]
+    def __init__(self, row: dict) -> None:
+        words, codes = np.frombuffer(row["words"], np.uint64), _unpack(row["codes"]).astype(np.int64)
         self.sizes = np.array(row["sizes"], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        age = np.arange(len(h)) - np.repeat(self.starts, self.sizes)
-        self.fresh = age >= np.repeat(np.array(row["skips"], np.int64), self.sizes)
+        self.age = np.arange(len(codes)) - np.repeat(self.starts, self.sizes)
+        self.fresh = self.age >= np.repeat(np.array(row["skips"], np.int64), self.sizes)
         self.learnt = self.fresh & np.repeat(np.array(row["learn"], bool), self.sizes)
-        grams, valid = [h], [np.arange(len(h))]
-        for k in range(2, order + 1):
-            g = np.zeros_like(h)
-            x = grams[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ np.uint64(k))
-            x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-            x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-            g[1:] = (x ^ x >> np.uint64(32)) & ~np.uint64(1)
-            grams.append(g)
-            valid.append(np.flatnonzero(age >= k - 1))
-        self.keys, found = np.unique(np.concatenate([g[v] for g, v in zip(grams, valid)]), return_inverse=True)
-        self.at, self.order = [], np.zeros(len(self.keys), np.int8)
-        self.context = np.full(len(self.keys), -1, np.int64)
-        for k, v in enumerate(valid):
-            at = np.full(len(h), -1, np.int64)
-            at[v], found = found[:len(v)], found[len(v):]
-            self.order[at[v]] = k + 1
-            if k:
-                self.context[at[v]] = self.at[-1][v - 1]
-            self.at.append(at)
-
-    def counts(self) -> np.ndarray:
-        out = np.zeros(len(self.keys), np.int64)
-        for at in self.at:
-            out += np.bincount(at[self.learnt & (at >= 0)], minlength=len(out))
-        return out
-
-
-def _questions(chunk: int, keys: np.ndarray, n: np.ndarray, buckets: int) -> tuple[list, ...]:
-    to = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        self.chunk, self.words, self.codes = row["chunk"], words, codes
+        self.at, self.hashes, self.context = {1: codes}, {1: _mix(words)}, {1: np.zeros(len(words), np.int64)}
+        self.rank = {1: np.argsort(self.hashes[1])}
+        self.n: dict[int, np.ndarray] = {}
+        self.mine: dict[int, np.ndarray] = {}
+        self.arcs: dict[int, np.ndarray] = {}
+
+    def grow(self, k: int) -> None:
+        i = np.flatnonzero(self.age >= k - 1)
+        before, now = self.at[k - 1][i - 1], self.at[k - 1][i]
+        if k > 2:
+            twice = self.n[k - 1] >= 2
+            fine = (before >= 0) & (now >= 0)
+            fine[fine] = twice[before[fine]] & twice[now[fine]]
+            i, before = i[fine], before[fine]
+        found, different = pd.factorize(before * len(self.words) + self.codes[i])
+        self.at[k] = np.full(len(self.codes), -1, np.int64)
+        self.at[k][i] = found
+        self.context[k], last = np.divmod(different, max(1, len(self.words)))
+        self.hashes[k] = _mix(self.hashes[k - 1][self.context[k]] * np.uint64(0x9E3779B97F4A7C15) + (self.words[last] ^ np.uint64(k)))
+        self.rank[k] = np.argsort(self.hashes[k])
+
+    def counts(self, k: int) -> np.ndarray:
+        at = self.at[k]
+        return np.bincount(at[self.learnt & (at >= 0)], minlength=len(self.hashes[k]))
+
+    def contexts(self, k: int) -> np.ndarray:
+        """The n-grams of order k with a token after them that occur twice, in the order in which they are asked for."""
+        some = np.zeros(len(self.hashes[k]), bool)
+        before = self.at[k][np.flatnonzero(self.age >= k) - 1]
+        some[before[before >= 0]] = True
+        some &= self.n[k] >= 2
+        return self.rank[k][some[self.rank[k]]]
+
+    def shares(self, k: int) -> np.ndarray:
+        """4 * (n - DISCOUNT), a whole number, of the arcs of order k + 1 that are this chunk's to report, summed by context."""
+        arcs = self.mine[k + 1] & (self.n[k + 1] >= 2)
+        return np.bincount(self.context[k + 1][arcs], weights=4 * self.n[k + 1][arcs] - int(4 * DISCOUNT), minlength=len(self.hashes[k])).astype(np.int64)
+
+
+def _questions(c: _Chunk, kind: int, hashes: np.ndarray, n: np.ndarray, bits: int, buckets: int) -> list[dict]:
+    """Rows of sorted keys of so many bits, each range of keys for one bucket; keys are sent as steps from one to the next."""
+    keys = hashes >> np.uint64(64 - bits)
+    to = ((keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
-    spans = list(zip(cuts, [*cuts[1:], len(keys)]))
-    return [int(to[a]) for a, _ in spans], [chunk] * len(spans), [_packed(keys[a:z]) for a, z in spans], [_packed(n[a:z]) for a, z in spans]
+    return [{"kind": kind, "bucket": int(to[a]), "chunk": c.chunk, "keys": _pack(np.diff(keys[a:z], prepend=np.uint64(0))), "n": _pack(n[a:z])} for a, z in zip(cuts, [*cuts[1:], len(keys)])]
 
 
-def _asked(columns: tuple[list, ...]) -> dict:
-    return {n: pa.array(c, t) for n, c, t in zip(("bucket", "chunk", "keys", "n"), columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))}
+_ASKED_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
 
 
-def _answers(asked: DataFrame, kind: type, name: str) -> DataFrame:
-    """For each question the sum of n over all chunks, whether this chunk is the first with some, and the bucket's different words."""
+def _answers(asked: DataFrame, name: str) -> DataFrame:
+    """For each question the sums of n over all chunks, whether this chunk is the first with some, and the bucket's different keys with some."""
 
     def solve(table: pa.Table) -> pa.Table:
-        keys, n = _join(table["keys"], np.uint64), _join(table["n"], kind)
-        different, at = np.unique(keys, return_inverse=True)
-        whole = np.bincount(at, weights=n, minlength=len(different)).astype(kind)  # exact below 2**53
+        each = [np.cumsum(_unpack(b)) for b in table["keys"].to_pylist()]
+        n = _joined(table["n"])
+        cuts = np.cumsum([0, *map(len, each)]).tolist()
+        at, different = pd.factorize(np.concatenate(each))
+        whole = np.bincount(at, weights=n, minlength=len(different)).astype(np.uint64)  # exact below 2**53
         some = np.flatnonzero(n > 0)[::-1]
         first = np.full(len(different), -1, np.int64)
         first[at[some]] = some
-        mine = np.zeros(len(keys), np.uint8)
-        mine[first[first >= 0]] = 1
-        cuts = np.cumsum([0, *[len(b) // 8 for b in table["keys"].to_pylist()]]).tolist()
+        mine = np.zeros(len(n), bool)
+        mine[first[first >= 0]] = True
         spans = list(zip(cuts, cuts[1:]))
-        words = int(((first >= 0) & (different & np.uint64(1) == 1)).sum())
         return pa.table({
-            "chunk": table["chunk"], "bucket": table["bucket"], "n": pa.array([_packed(whole[at[a:z]]) for a, z in spans], pa.binary()),
-            "first": pa.array([mine[a:z].tobytes() for a, z in spans], pa.binary()), "words": pa.array([words] + [0] * (len(spans) - 1), pa.int64())})
-
-    return materialise(asked.groupBy("bucket").applyInArrow(solve, _ANSWERED), name)
+            "kind": table["kind"], "bucket": table["bucket"], "chunk": table["chunk"], "n": pa.array([_pack(whole[at[a:z]]) for a, z in spans], pa.binary()),
+            "mine": pa.array([np.packbits(mine[a:z]).tobytes() for a, z in spans], pa.binary()), "words": pa.array([int((first >= 0).sum())] + [0] * (len(spans) - 1), pa.int64())})
+
+    return materialise(asked.groupBy("kind", "bucket").applyInArrow(solve, _ANSWERED), name)
+
+
+def _restored(left: pa.Table, right: pa.Table, order: int) -> _Chunk:
+    """The chunk with all that has been answered so far; kind 2 k holds counts of order k, 2 k + 1 the arcs' sums of its contexts."""
+    c = _Chunk(left.to_pylist()[0])
+    for k in range(1, order + 1):
+        rows = right.filter(pc.equal(right["kind"], 2 * k)).sort_by("bucket")
+        if k > 1:
+            c.grow(k)
+        n = _joined(rows["n"])
+        if len(n) != len(c.hashes[k]):
+            return c  # not asked for yet
+        c.n[k], c.mine[k] = np.empty(len(n), np.int64), np.zeros(len(n), bool)
+        c.n[k][c.rank[k]] = n
+        sizes = [len(_unpack(b)) for b in rows["n"].to_pylist()]
+        c.mine[k][c.rank[k]] = np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(b, np.uint8), count=s) > 0 for b, s in zip(rows["mine"].to_pylist(), sizes)]])
+    for k in range(1, order):
+        rows = right.filter(pc.equal(right["kind"], 2 * k + 1)).sort_by("bucket")
+        if len(rows):
+            c.arcs[k] = np.zeros(len(c.n[k]))
+            c.arcs[k][c.contexts(k)] = _joined(rows["n"]) / 4
+    return c
 
 
 def lm_scores(docs: DataFrame, learning: Column, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -408,52 +473,57 @@ def lm_scores(docs: DataFrame, learning: Column, order: int = 3, id_col: str = "
     null; an empty table gives an empty result; without learning rows every token has probability one.
     """
     coded = code_texts(docs, learning, order, id_col, text_col)
-    total, held = coded.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))).first()
-    buckets = max(8, -(-held // 4 * order // _KEYS))
+    total, held = coded.agg(F.coalesce(F.sum("learnt"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    bits = min(62, max(40, int(held * order).bit_length() + _SPARE_BITS))
+    buckets = max(8, -(-held // _KEYS))
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                c = _Chunk(row, order)
-                yield pa.RecordBatch.from_pydict(_asked(_questions(row["chunk"], c.keys, c.counts(), buckets)))
-
-    counted = _answers(coded.mapInArrow(first_round, _ASKED), np.int64, "counted")
-    distinct = counted.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+                c = _Chunk(batch.slice(i, 1).to_pylist()[0])
+                for k in range(1, min(order, 2) + 1):
+                    if k > 1:
+                        c.grow(k)
+                    yield pa.RecordBatch.from_pylist(_questions(c, 2 * k, c.hashes[k][c.rank[k]], c.counts(k)[c.rank[k]], bits, buckets), _ASKED_ARROW)
+
+    def later_round(k: int):
+        """Asks for the arcs' sums of the contexts of order k and, below the highest order, for the counts of order k + 2."""
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            c = _restored(left, right, k + 1)
+            contexts = c.contexts(k)
+            asked = _questions(c, 2 * k + 1, c.hashes[k][contexts], c.shares(k)[contexts], bits, buckets)
+            if k + 2 <= order:
+                c.grow(k + 2)
+                asked += _questions(c, 2 * k + 4, c.hashes[k + 2][c.rank[k + 2]], c.counts(k + 2)[c.rank[k + 2]], bits, buckets)
+            return pa.Table.from_pylist(asked, _ASKED_ARROW)
+        return run
+
+    known = _answers(coded.mapInArrow(first_round, _ASKED), "counted")
+    distinct = known.filter("kind = 2").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     norm = total + 0.5 * (distinct + 1)
-
-    def known(left: pa.Table, right: pa.Table) -> tuple[dict, _Chunk, np.ndarray, np.ndarray]:
-        row, right = left.to_pylist()[0], right.sort_by("bucket")
-        return row, _Chunk(row, order), _join(right["n"], np.int64), np.frombuffer(b"".join(right["first"].to_pylist()), np.uint8) > 0
-
-    def second_round(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, c, n, mine = known(left, right)
-        arcs = mine & (n >= 2) & (c.order > 1)
-        sums = np.bincount(c.context[arcs], weights=n[arcs] - DISCOUNT, minlength=len(n))
-        ask = (n >= 2) & (c.order < order)
-        return pa.table(_asked(_questions(row["chunk"], c.keys[ask], sums[ask], buckets)))
-
-    summed = _answers(coded.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(second_round, _ASKED), np.float64, "summed")
+    known = known.drop("words")
+    for k in range(1, order):
+        asked = coded.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(later_round(k), _ASKED)
+        known = known.unionByName(_answers(asked, f"answered-{k}").drop("words"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def last_round(left: pa.Table, right: pa.Table) -> pa.Table:
-        later = pc.field("later")
-        row, c, n, _ = known(left, right.filter(~later))
-        ask = (n >= 2) & (c.order < order)
-        back = np.ones(len(n))
-        back[ask] = np.maximum(1e-12, 1 - _join(right.filter(later).sort_by("bucket")["n"], np.float64) / n[ask])
-        own = np.where(n >= 2, (n - DISCOUNT) / np.maximum(n[c.context], 1), 0.0)
-        base = (n[c.at[0]] + 0.5) / norm
+        c = _restored(left, right, order)
+        base = (c.n[1][c.codes] + 0.5) / norm
         p = base.copy()
-        for k in range(1, order):
-            i = np.flatnonzero(c.at[k] >= 0)
+        for k in range(2, order + 1):
+            own = np.append(np.where(c.n[k] >= 2, (c.n[k] - DISCOUNT) / np.maximum(c.n[k - 1][c.context[k]], 1), 0.0), 0.0)  # the last: no arc
+            back = np.append(np.ones(len(c.n[k - 1])), 1.0)
+            met = c.contexts(k - 1)
+            back[met] = np.maximum(1e-12, 1 - c.arcs[k - 1][met] / c.n[k - 1][met]) if len(met) else 1.0
+            i = np.flatnonzero(c.age >= k - 1)
             p[i] = own[c.at[k][i]] + back[c.at[k - 1][i - 1]] * p[i]
         add = lambda x: np.add.reduceat(np.where(c.fresh, x, 0), c.starts)
+        row = left.select(["rows", "ids"]).to_pylist()[0]
         return pa.table({
             "row": pa.array(row["rows"], pa.int64()), "id": pa.array(row["ids"], left.schema.field("ids").type.value_type), "n_tokens": add(np.ones(len(p), np.int64)),
-            "n_known": add((n[c.at[0]] > 0).astype(np.int64)), "base_score": add(np.log10(base)), "score": add(np.log10(p))})
+            "n_known": add((c.n[1][c.codes] > 0).astype(np.int64)), "base_score": add(np.log10(base)), "score": add(np.log10(p))})
 
-    both = counted.select("chunk", "bucket", "n", "first", F.lit(False).alias("later")).unionByName(summed.select("chunk", "bucket", "n", "first", F.lit(True).alias("later")))
-    scored = coded.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(last_round, f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double")
+    scored = coded.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(last_round, f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double")
     return scored.groupBy("row").agg(F.first("id").alias(id_col), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")]).select(
         id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 from zlib import crc32
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,10 +94,50 @@ def test_all_ngrams_that_occur_twice_count_whatever_the_corpus(spark):
 def test_long_texts_are_cut_without_loss(spark):
     docs = spark.createDataFrame(rows(), "doc_id long, text string")
     coded = lm_score.code_texts(docs, F.lit(True), 3, "doc_id", "text", most=7).collect()
-    assert sum(r["tokens"] for r in coded) == sum(len(tokens(t)) for _, t in rows())
+    assert sum(r["learnt"] for r in coded) == sum(len(tokens(t)) for _, t in rows())
     grams = Counter()
     for r in coded:
-        c = lm_score._Chunk(r.asDict(), 3)
-        grams.update(dict(zip(c.keys.tolist(), c.counts().tolist())))
+        c = lm_score._Chunk(r.asDict())
+        for k in (1, 2, 3):
+            if k > 1:
+                c.n[k - 1] = np.full(len(c.hashes[k - 1]), 2)
+                c.grow(k)
+            grams.update(dict(zip(c.hashes[k].tolist(), c.counts(k).tolist())))
     want = Counter(tuple(t[i:i + k]) for t in (tokens(x) for _, x in rows()) for k in (1, 2, 3) for i in range(len(t) - k + 1))
     assert sorted(n for n in grams.values() if n) == sorted(want.values())
+
+
+def brute_scores(texts, learn, order, discount=0.75):
+    """A dictionary backoff model: log10 of every text's probability."""
+    n = Counter(tuple(t[i:i + k]) for t, l in zip(texts, learn) if l for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    total, distinct = sum(c for g, c in n.items() if len(g) == 1), sum(len(g) == 1 for g in n)
+    kept = Counter()
+    for g, c in n.items():
+        if len(g) > 1 and c >= 2:
+            kept[g[:-1]] += c - discount
+
+    def p(context, w):
+        if not context:
+            return (n[w,] + 0.5) / (total + 0.5 * (distinct + 1))
+        lower = p(context[1:], w)
+        if n[context] < 2:
+            return lower
+        c = n[*context, w]
+        return max(c - discount, 0) * (c >= 2) / n[context] + max(1e-12, 1 - kept[context] / n[context]) * lower
+
+    return [sum(math.log10(p(tuple(t[max(0, i - order + 1):i]), w)) for i, w in enumerate(t)) for t in texts]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_equal_a_dictionary_backoff_model(spark, order, monkeypatch):
+    """On few tokens a chunk and few keys a bucket too; ids repeat, and the table has columns of the operator's own names."""
+    every = [*rows(), (7, "the cat sat on the mat"), (7, "the cat sat on the mat")]
+    docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in every], "doc_id long, text string, row long, chunk string, n long").repartition(5)
+    learning = F.coalesce(F.col("doc_id"), F.lit(0)) % 4 != 1
+    monkeypatch.setattr(lm_score, "_KEYS", 50)
+    got = lm_score.lm_scores(docs, learning, order).collect()
+    texts = [tokens(t) for _, t in every]
+    want = brute_scores(texts, [(i or 0) % 4 != 1 for i, _ in every], order)
+    key = lambda x: (-1 if x[0] is None else x[0], x[1])
+    for (i, p), (j, q) in zip(sorted(((r["doc_id"], r["score"]) for r in got), key=key), sorted(((i, p) for (i, _), p in zip(every, want)), key=key), strict=True):
+        assert i == j and p == pytest.approx(q, rel=1e-9)
