@@ -2,13 +2,14 @@
 
 A classifier fitted on the labelled table gives every document a posterior over domains.  Each document then gets a
 non-negative rate (its expected number of copies) so that the expected tokens of every domain, sum(tokens * p_k *
-rate), meet their targets.  The rates solve a least-squares problem,
+rate), meet their targets.  The rates solve the least-squares problem
 
-    minimise  1/2 sum_k m_k ((sum_d tokens_d p_dk rate_d - target_k) / (total m_k))^2
-              + ridge/2 sum_d (tokens_d / total) (rate_d - 1)^2,      rate >= 0,
+    minimise  sum_k (sum_d tokens_d p_dk rate_d - target_k)^2,      0 <= rate <= most,
 
-m_k being domain k's share, by projected gradient with steps scaled by the tokens.  An iteration is one aggregate over
-all documents that returns one number for each domain; a document's rate is the replay of these few numbers on its own
+by projected gradient from rates of one.  A step moves every rate along its own posterior and is scaled by the inverse
+of the k x k Gram matrix sum(tokens p p') over the rows that no bound holds, so that a step without a row at its bound
+meets the targets at once; rates stay as near to one as the targets let them.  An iteration is one aggregate over all
+documents that returns k + k * k numbers; a document's rate is the replay of the steps (k numbers each) on its own
 posterior, so nothing that grows with the corpus is collected or carried from step to step.
 """
 
@@ -107,85 +108,146 @@ def memberships(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_co
     return texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, tokens long, p array<double>")
 
 
-def _rate(steps: list[list[float]], step: float, ridge: float) -> Column:
-    """The rate after these gradient steps, as an expression of p."""
-    if not steps:
-        return F.lit(1.0)
-    pushes = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps])
-    dot = lambda g: F.aggregate(F.zip_with(F.col("p"), g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(pushes, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.lit(step) * (dot(g) + F.lit(ridge) * (r - 1))))
+@dataclass
+class Steps:
+    """Steps of the solver: rate <- clip(rate - p . push, 0, most), from rate 1 on."""
+
+    pushes: list[np.ndarray]
+    most: float
+
+    def replay(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rates of rows of posteriors, and which of them the last step has moved freely."""
+        rate, free = np.ones(len(p)), np.ones(len(p), bool)
+        for push in self.pushes:
+            wanted = rate - p @ push
+            rate = np.clip(wanted, 0, self.most)
+            free = wanted == rate
+        return rate, free
+
+
+def _posteriors(column: pa.Array, k: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+
+
+def totals(members: DataFrame, steps: Steps, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens of each domain at these rates, and the Gram matrix of the rows that moved freely.
+
+    The steps travel with the function, not in the plan's text, so every iteration runs the same compiled code.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(k + k * k)
+        for batch in batches:
+            p, tokens = _posteriors(batch.column("p"), k), batch.column("tokens").to_numpy().astype(float)
+            rate, free = steps.replay(p)
+            sums[:k] += (tokens * rate) @ p
+            sums[k:] += (p[free] * tokens[free, None]).T.dot(p[free]).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["at", "x"])
+
+    found = np.zeros(k + k * k)
+    for r in members.select("tokens", "p").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+        found[r["at"]] = r["x"]
+    return found[:k], found[k:].reshape(k, k)
 
 
-def solve(members: DataFrame, targets: list[float], step: float = 0.7, ridge: float = 1e-3, iterations: int = 40, tolerance: float = 2e-3) -> list[list[float]]:
-    """Gradients (one list of numbers for each iteration) that lead the expected totals to ``targets`` (tokens).
+def solve(members: DataFrame, wanted: np.ndarray, budget: float | None = None, most: float = np.inf, iterations: int = 40, tolerance: float = 1e-3) -> Steps:
+    """Steps that lead the expected totals to ``wanted`` (shares that sum to one) of ``budget`` tokens.
 
-    Stops when every domain that has tokens is within ``tolerance`` of its target, relative to the larger of its
-    target and its mass, or, with a warning, after ``iterations``.
+    Without a budget it is as many tokens as the heaviest domain has for its share.  Under a bound ``most`` it is as
+    many as that domain keeps, and a domain whose tokens do not suffice is left out of the targets.  Ends when every domain
+    is within ``tolerance`` of its target, relative to the larger of target and mass, or, with a warning that names
+    the residuals, when steps no longer help.
     """
-    k = len(targets)
-    masses = members.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col("p")[i]) for i in range(k)]).first()
-    total = float(masses[0] or 0)
-    if not total:
-        return []
-    share = np.array([float(x) for x in masses[1:]]) / total
-    steps: list[list[float]] = []
+    k, heavy = len(wanted), int(wanted.argmax())
+    steps = Steps([], most)
+    masses, gram = totals(members, steps, k)
+    if not masses.sum():
+        return steps
+
+    def residual(got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bounded = budget is None and np.isfinite(most)
+        targets = wanted * (budget or (got if bounded else masses)[heavy] / wanted[heavy])
+        short = most * masses < targets if np.isfinite(most) else np.zeros(k, bool)
+        return np.where(short, 0.0, got - targets), np.maximum(np.maximum(targets, masses), 1e-9)
+
+    got, scale = masses, 1.0
     for _ in range(iterations):
-        r = _rate(steps, step, ridge)
-        got = members.select("p", (F.col("tokens") * r).alias("w")).agg(*[F.sum(F.col("w") * F.col("p")[i]) for i in range(k)]).first()
-        residual = (np.array([float(x) for x in got]) - np.array(targets)) / total
-        if (np.abs(residual) <= tolerance * np.maximum(np.array(targets) / total, share)).all():
+        off, size = residual(got)
+        if (np.abs(off) <= tolerance * size).all():
             return steps
-        steps.append((residual / np.maximum(share, 1e-6)).tolist())
-    warnings.warn(f"mixing: targets {[round(t) for t in targets]} not met after {iterations} steps; the last residuals are {np.round(residual * total).tolist()} tokens", RuntimeWarning, stacklevel=2)
+        push = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ off
+        following = Steps([*steps.pushes, scale * push], most)
+        then, moved = totals(members, following, k)
+        if (np.abs(residual(then)[0]) / size).max() < (np.abs(off) / size).max():
+            steps, got, gram, scale = following, then, moved, min(1.0, 2 * scale)
+        elif scale < 1e-3:
+            break
+        else:
+            scale /= 4
+    off, size = residual(got)
+    if (np.abs(off) > tolerance * size).any():
+        warnings.warn(f"mixing: targets not met after {len(steps.pushes)} steps; the residuals are {np.round(off).tolist()} of {np.round(got).tolist()} tokens", RuntimeWarning, stacklevel=2)
     return steps
 
 
+def _draw(id_column: Column, seed: int) -> Column:
+    """A number from 0 to 1 by a hash of the id; a null id is hashed as a value of its own."""
+    return F.pmod(F.xxhash64(F.coalesce(id_column.cast("string"), F.lit("null")), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def fitted(docs: DataFrame, model: Domains, weights: dict[str, float], budget: float | None = None, most: float | None = None,
+           id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Steps]:
+    """The memberships of docs, written once, and the steps that mix them to ``weights`` (normalised here)."""
+    members = materialise(memberships(docs, model, id_col, text_col), "members")
+    wanted = np.array([weights.get(n, 0.0) for n in model.names], float)
+    return members, solve(members, wanted / wanted.sum(), budget, np.inf if most is None else most)
+
+
 def rates(docs: DataFrame, model: Domains, weights: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 11,
           most: float | None = None) -> DataFrame:
     """id_col, tokens, one column p_<domain> each, rate and copies for every row.
 
-    ``weights`` are the domains' wanted shares of the mix (normalised here).  ``budget`` is the mix's tokens; by
-    default as many as leave the heaviest domain's tokens as they are.  copies is rate rounded up or down at random, by a
-    hash of the id, with expectation rate; rows that repeat an id get the same.  Null and empty texts count one token.
-    A null id is hashed as a value of its own.  An empty table gives an empty result.
+    ``weights`` are the domains' wanted shares of the mix.  ``budget`` is the mix's tokens; by default as many as leave
+    the heaviest domain's tokens as they are.  copies is rate rounded up or down at random, by a hash of the id, with
+    expectation rate; rows that repeat an id draw the same number.  Null and empty texts count one token.  A null id is
+    hashed as a value of its own.  An empty table gives an empty result.
 
-    With ``most`` no rate is above it: a domain whose tokens do not suffice is left out of the targets and stays at what
-    it has, the others keep their shares among themselves, and the budget falls until all rates fit.
+    With ``most`` no rate is above it: a domain whose tokens do not suffice is left out of the targets, and the others
+    keep their shares relative to the heaviest.
     """
-    members = materialise(memberships(docs, model, id_col, text_col), "members")
-    wanted = np.array([weights.get(n, 0.0) for n in model.names], float)
-    wanted = wanted / wanted.sum()
-    if budget is None:
-        heavy = int(wanted.argmax())
-        mass = members.agg(F.sum(F.col("tokens") * F.col("p")[heavy])).first()[0] or 0.0
-        budget = float(mass) / wanted[heavy]
-    step, ridge = 0.7, 1e-3
-    if most is None:
-        rate = _rate(solve(members, (wanted * budget).tolist(), step, ridge), step, ridge)
-    else:
-        masses = members.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i]), F.lit(0.0)) for i in range(len(wanted))]).first()
-        while True:
-            rate = _rate(solve(members, np.minimum(wanted * budget, most * np.array(masses, float)).tolist(), step, ridge), step, ridge)
-            top = members.agg(F.max(rate)).first()[0] or 0.0
-            if top <= most:
-                break
-            budget *= most / top * 0.999
-    u = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    out = members.select("id", "tokens", "p", rate.alias("rate")).select(
-        F.col("id").alias(id_col), "tokens", *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(model.names)], "rate", F.floor(F.col("rate") + u).cast("int").alias("copies"))
-    return out
-
-
-def mixed(docs: DataFrame, drawn: DataFrame, repeat: bool = True, id_col: str = "doc_id") -> DataFrame:
-    """docs with as many copies of each row as ``drawn`` (of rates()) says; at most one each where ``repeat`` is false.
+    members, steps = fitted(docs, model, weights, budget, most, id_col, text_col)
+    k = len(model.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rate, _ = steps.replay(_posteriors(batch.column("p"), k))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "rate"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return members.mapInArrow(run, f"id {kind}, tokens long, p array<double>, rate double").select(
+        F.col("id").alias(id_col), "tokens", *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(model.names)], "rate", F.floor(F.col("rate") + _draw(F.col("id"), seed)).cast("int").alias("copies"))
+
+
+def mixed(docs: DataFrame, model: Domains, weights: dict[str, float], budget: float | None = None, most: float | None = None,
+          id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
+    """docs with as many copies of each row as rates() says, in one pass over the texts: no join, no shuffle.
 
     Rows of a null id stay once.  Columns are as they were.
     """
-    key, times = "_mixing_id", "_mixing_copies"
-    plan = drawn.filter(F.col("copies") != 1).groupBy(F.col(id_col).alias(key)).agg(F.max("copies").alias(times))
-    joined = docs.join(plan, docs[id_col] == plan[key], "left").withColumn(times, F.coalesce(times, F.lit(1)))
-    if repeat:
-        joined = joined.withColumn(times, F.explode(F.when(F.col(times) > 0, F.sequence(F.lit(1), F.col(times))).otherwise(F.array().cast("array<int>"))))
-    else:
-        joined = joined.filter(F.col(times) > 0)
-    return joined.drop(key, times)
+    _, steps = fitted(docs, model, weights, budget, most, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names, width = docs.columns, len(docs.columns)
+    text, key = names.index(text_col), names.index(id_col)
+    drawn = docs.select("*", _draw(F.col(id_col), seed).alias("_mixing_draw"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << SPACE_BITS, bool)
+        for batch in batches:
+            sized = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(text).fill_null("")], names=["row", "body"])
+            for part in pieces(sized):
+                whole = batch.slice(part.column("row")[0].as_py(), part.num_rows)
+                p = np.array([sent.value.posterior(grams(t, flags)) for t in lowered(part.column("body"))], float)
+                times = np.floor(steps.replay(p)[0] + whole.column(width).to_numpy()).astype(np.int64)
+                times[whole.column(key).is_null().to_numpy(zero_copy_only=False)] = 1
+                yield pa.RecordBatch.from_arrays(whole.take(pa.array(np.repeat(np.arange(len(times)), times))).columns[:width], schema=pa.schema(list(whole.schema)[:width]))
+
+    return drawn.mapInArrow(run, docs.schema)
