@@ -35,13 +35,15 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are kept at the rates that meet the domains' target weights; none is repeated.
+    """Rows are kept at rates of at most one that bring the domains to their target weights relative to the heaviest.
 
-    The domains are learnt from the labelled rows of the whole table, since the stages before drop most of the junk.
+    A domain whose tokens do not suffice is left as it is.  The domains are learnt from the labelled rows of the whole
+    table, since the stages before drop most of the junk.  Rows that repeat an id share its draw, rows of a null id
+    stay, and null and empty texts count one token.
     """
     labels = domain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     model = mixing.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels, DOMAINS)
-    return mixing.mixed(docs, mixing.rates(docs, model, WEIGHTS, most=1.0), repeat=False)
+    return mixing.mixed(docs, model, WEIGHTS, most=1.0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
