@@ -2,8 +2,12 @@
 
 The search goes over the boundaries between characters and keeps, for each boundary, the piece by which the best path
 arrives there.  Only a window as long as the longest piece can be looked back on, so only that window is kept: as soon
-as all backpointers from it meet in one boundary, the ids up to there are final and are given out.  A text of any
-length is encoded in memory bounded by the window and the distance between such meeting points.
+as all paths from it meet in one boundary, the ids up to there are final and are given out.  They meet where no piece
+holds the two characters beside a boundary next to each other, and where the window's backpointers come together.  A
+text of any length is encoded in memory bounded by the window and the distance between such meeting points.
+
+From a meeting point on the search depends on nothing before it, so what it gives out up to the next one is kept as a
+transition; texts are read window by window, each stretch of one by its transition, or by the search if it has none.
 
 Two kinds of models are read.  In a unigram model a path's weight is the sum of its pieces' scores.  In a BPE model a
 path is right if every two neighbouring pieces, merged again from their characters by the model's ranks, come out as
@@ -16,7 +20,8 @@ bytes where the model has them, and decoding gives the text back (but for U+2581
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -46,7 +51,7 @@ class Model:
     words_end: bool = False  # no piece holds ASCII punctuation after a Latin letter or digit
     _pairs: dict[str, dict[str, bool]] = field(default_factory=dict)  # of each piece: whether it may follow another
     _states: dict[str, list[tuple[float, str, str]]] = field(default_factory=dict)  # at most one a piece or character
-    _memory: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    _memory: dict[str, array] = field(default_factory=dict)  # transitions: the ids of a stretch between two meeting points
 
     def __post_init__(self) -> None:
         self.reach: dict[str, int] = {}  # of the last two characters: the longest piece that ends in them
@@ -55,6 +60,10 @@ class Model:
                 self.reach[piece[-2:]] = len(piece)
         self._pairs, self._held = {piece: {} for piece in self.scores}, 0
         self.unseen = min(self.scores.values(), default=0.0) - 10  # the score of an unknown character
+        self.inside = {piece[i:i + 2] for piece in self.scores for i in range(len(piece) - 1)}  # neighbours within a piece
+        self.shown = [n.replace(SPACE, " ") for n in self.names]
+        self.special = np.zeros(max([len(self.names), self.unknown + 1]), bool)  # ids that stand for no text of their own
+        self.special[[*self.bytes_, *self.silent, self.unknown]] = True
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_pairs": {piece: {} for piece in self.scores}, "_held": 0, "_states": {}, "_memory": {}}
@@ -132,7 +141,7 @@ def _valid(model: Model, before: str, piece: str) -> bool:
 
 def viterbi(model: Model, text: str) -> Iterator[list[str]]:
     """Pieces of an escaped text, given out in lists as soon as they are final."""
-    width, known, bpe, pairs, reach = model.longest, model.scores, model.bpe, model._pairs, model.reach
+    width, known, bpe, pairs, reach, inside = model.longest, model.scores, model.bpe, model._pairs, model.reach, model.inside
     base = 0  # the committed boundary
     arrive: list[str] = [""]  # pieces arriving at base, base + 1, ...
     weight: list[float] = [0.0]  # of the best paths there (unigram)
@@ -159,7 +168,10 @@ def viterbi(model: Model, text: str) -> Iterator[list[str]]:
                     best, choice = weight[j - base] + score, piece
             arrive.append(choice)
             weight.append(best)
-        if len(arrive) > 4 * width and i % width == 0:
+        if i < len(text) and text[i - 1:i + 1] not in inside:  # no piece spans this boundary
+            yield _trace(arrive, i - base)
+            base, arrive, weight = i, arrive[-1:], weight[-1:]
+        elif len(arrive) > 4 * width and i % width == 0:
             live = set(range(i - base - width + 1, i - base + 1))
             while len(live) > 1 and (last := max(live)) > 0:
                 live.remove(last)
@@ -181,15 +193,15 @@ def _trace(arrive: list[str], at: int) -> list[str]:
     return out[::-1]
 
 
-def _ids(model: Model, parts: Iterator[list[str]]) -> list[int]:
-    out: list[int] = []
+def _ids(model: Model, parts: Iterator[list[str]]) -> array:
+    out = array("i")
     for some in parts:
         for piece in some:
             i = model.ids.get(piece)
             if i is not None:
                 out.append(i)
             elif model.bytes_:
-                out += [model.bytes_[b] for b in piece.encode()]
+                out.extend(model.bytes_[b] for b in piece.encode())
             elif not out or out[-1] != model.unknown:
                 out.append(model.unknown)
     return out
@@ -198,43 +210,69 @@ def _ids(model: Model, parts: Iterator[list[str]]) -> list[int]:
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _MARK, _LETTER = r"!-/:-@\[-`{-~", "0-9A-Za-zÀ-ɏ"  #: ASCII punctuation; Latin letters and digits
 _PART = re.compile(f"{SPACE}*[{_MARK}]*(?:[^{_MARK}{SPACE}]*[^{_MARK}{_LETTER}{SPACE}][{_MARK}]+)*[^{_MARK}{SPACE}]+|{SPACE}*[{_MARK}]+|{SPACE}+")
+_CUT = re.compile(f"[^ {SPACE}](?=[ {SPACE}])")  #: before a space that follows another character
+
+
+def windows(text: str, size: int) -> Iterator[str]:
+    """A text in windows of ``size`` characters, each up to the next space, where all paths meet."""
+    start = 0
+    while start < len(text):
+        met = _CUT.search(text, start + size)
+        end = met.end() if met else len(text)
+        yield text[start:end]
+        start = end
+
+
+def stretches(model: Model, window: str) -> list[str]:
+    """An escaped window cut at meeting points that one pattern finds: before spaces and, in models where no piece goes on
+    from a Latin letter or digit to ASCII punctuation, between these."""
+    return (_PART if model.words_end else _WORD).findall(window)
 
 
-def segments(model: Model, text: str) -> list[str]:
-    """An escaped text cut before spaces and, in models where no piece goes on from a Latin letter or digit to ASCII punctuation,
-    between these: no piece spans these boundaries, so all paths meet in them."""
-    return (_PART if model.words_end else _WORD).findall(text)
-
-
-def encode(model: Model, text: str, remember: int = 400_000) -> list[int]:
-    """Ids of a text.  Where no piece spans a space, the boundary before a space is a meeting point of all paths, so
-    the ids between two such points depend on nothing else; the last ``remember`` of them are kept."""
-    if not text:
-        return []
-    whole = (SPACE if model.dummy_prefix else "") + text.replace(" ", SPACE)
-    if not model.splits or not model.bytes_:  # successive unknowns join across spaces without byte pieces
-        return _ids(model, viterbi(model, whole))
-    memory, out = model._memory, []
-    for segment in segments(model, whole):
-        ids = memory.get(segment)
-        if ids is None:
-            ids = tuple(_ids(model, viterbi(model, segment)))
-            if len(segment) <= 32:
-                if len(memory) >= remember:
-                    memory.clear()
-                memory[segment] = ids
-        out += ids
+def stream(model: Model, text: str, window: int = 1 << 15, remember: int = 400_000) -> Iterator[array]:
+    """Ids of a text, given out window by window.  The last ``remember`` transitions are kept.
+
+    Where pieces span spaces, or unknown characters have no bytes and so join across them, the search runs throughout.
+    """
+    prefix = SPACE if model.dummy_prefix and text else ""
+    if not model.splits or not model.bytes_:
+        yield _ids(model, viterbi(model, prefix + text.replace(" ", SPACE)))
+        return
+    memory = model._memory
+    for some in windows(text, window):
+        out = array("i")
+        for stretch in stretches(model, prefix + some.replace(" ", SPACE)):
+            ids = memory.get(stretch)
+            if ids is None:
+                ids = _ids(model, viterbi(model, stretch))
+                if len(stretch) <= 32:
+                    if len(memory) >= remember:
+                        memory.clear()
+                    memory[stretch] = ids
+            out += ids
+        prefix = ""
+        yield out
+
+
+def encode_ids(model: Model, text: str) -> array:
+    out = array("i")
+    for some in stream(model, text):
+        out += some
     return out
 
 
-def decode(model: Model, ids: list[int]) -> str:
+def encode(model: Model, text: str) -> list[int]:
+    """Ids of a text."""
+    return encode_ids(model, text).tolist()
+
+
+def decode(model: Model, ids: Sequence[int]) -> str:
     """The text of ids: bytes are joined to UTF-8 (a bad one becomes U+FFFD), control pieces vanish."""
-    if model.bytes_:
-        low, high = model.bytes_[0], model.bytes_[-1]
-        if not any(low <= i <= high for i in ids) and not model.silent.intersection(ids) and model.unknown not in ids:
-            names = model.names
-            text = "".join([names[i] for i in ids]).replace(SPACE, " ")
-            return text[1:] if model.dummy_prefix and text[:1] == " " else text
+    if not len(ids):
+        return ""
+    if not model.special[np.asarray(ids)].any():
+        text = "".join(map(model.shown.__getitem__, ids))
+        return text[1:] if model.dummy_prefix and text[:1] == " " else text
     of_byte = {i: b for b, i in enumerate(model.bytes_)}
     out, held = [], bytearray()
     for i in ids:
@@ -247,7 +285,7 @@ def decode(model: Model, ids: list[int]) -> str:
         if i == model.unknown:
             out.append(" ⁇ ")
         elif i not in model.silent:
-            out.append(model.names[i].replace(SPACE, " "))
+            out.append(model.shown[i])
     if held:
         out.append(_utf8(held))
     text = "".join(out)
@@ -265,17 +303,16 @@ def encoded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 2 << 20):
-                found = [encode(sent.value, t) for t in part.column("body").to_pylist()]
+                found = [encode_ids(sent.value, t) for t in part.column("body").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), _lists(found)], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>").select(F.col("id").alias(id_col), "ids")
 
 
-def _lists(found: list[list[int]]) -> pa.Array:
+def _lists(found: list[array]) -> pa.Array:
     ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-    flat = np.fromiter((i for f in found for i in f), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(f, np.int32) for f in found if f]])))
 
 
 def decoded(rows: DataFrame, model: Model, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -299,7 +336,7 @@ def round_trip(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         for batch in batches:
             for part in pieces(batch, 2 << 20):
                 bodies = part.column("body").to_pylist()
-                found = [encode(sent.value, t) for t in bodies]
+                found = [encode_ids(sent.value, t) for t in bodies]
                 exact = [decode(sent.value, ids) == t for ids, t in zip(found, bodies)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(map(len, found), pa.int64()), _lists(found), pa.array(exact)], names=["id", "n_ids", "ids", "exact"])
 
@@ -314,6 +351,6 @@ def encoded_lengths(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 2 << 20):
-                yield pa.RecordBatch.from_arrays([pa.array([len(encode(sent.value, t)) for t in part.column("body").to_pylist()], pa.int64())], names=["length"])
+                yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, stream(sent.value, t))) for t in part.column("body").to_pylist()], pa.int64())], names=["length"])
 
     return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("body")).mapInArrow(run, "length long")

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import pytest
 import sentencepiece
@@ -16,8 +17,6 @@ LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
 @given(st.one_of(st.text(max_size=60), st.text(alphabet="abcdeilnorst  \n.", max_size=200), st.text(alphabet="the an=-_/\t▁é0123 ", max_size=120)))
 def test_ids_equal_the_models_own_encoder_and_decode_back(text):
     text = text.encode(errors="ignore").decode()
-    if "\x00" in text:
-        return
     ids = c.encode(MODEL, text)
     assert ids == LIBRARY.encode(text)
     if "▁" not in text:
@@ -27,9 +26,33 @@ def test_ids_equal_the_models_own_encoder_and_decode_back(text):
 def test_long_runs_commit_within_the_window():
     r = random.Random(3)
     for text in ("a" * 5000, "".join(r.choice("abcdefgh") for _ in range(20_000)), "=" * 999, "ab" * 4000):
-        parts = list(c.viterbi(MODEL, text))
+        parts = list(c.viterbi(MODEL, c.SPACE + text))
         assert len(parts) > 3
-        assert c._ids(MODEL, iter(parts)) == LIBRARY.encode(text)[1:] or c.encode(MODEL, text) == LIBRARY.encode(text)
+        assert c._ids(MODEL, iter(parts)).tolist() == LIBRARY.encode(text) == c.encode(MODEL, text)
+
+
+def test_the_search_commits_all_along_real_documents(spark):
+    """Over whole documents: by the search alone, and window by window with transitions."""
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for text in texts[:60]:
+        want = LIBRARY.encode(text)
+        if text:
+            parts = list(c.viterbi(MODEL, c.SPACE + text.replace(" ", c.SPACE)))
+            assert c._ids(MODEL, iter(parts)).tolist() == want
+            assert len(parts) >= len(text.split()) and max(sum(map(len, p)) for p in parts) < 200
+        for size in (1, 40, 1 << 15):
+            assert [i for some in c.stream(MODEL, text, size) for i in some] == want
+
+
+def test_memory_follows_the_window():
+    """Of a long text no more is held than a window's ids and the transitions."""
+    text = "".join(f"word{i % 50_000} " for i in range(1_000_000))
+    list(c.stream(MODEL, text[:100_000]))
+    tracemalloc.start()
+    total = sum(map(len, c.stream(MODEL, text)))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total > 2_000_000 and held < 40 << 20
 
 
 def test_unigram_paths_have_the_best_weight():
