@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,11 +40,15 @@ def url_unquote(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
 
 
-def decode_fully(c: Column, levels: int = 4) -> Column:
-    """Percent-decoding repeated ``levels`` times, which is a fixed point for texts encoded no more often."""
-    for _ in range(levels):
-        c = url_unquote(c)
-    return c
+def decode_fully(c: Column) -> Column:
+    """Percent-decoding until nothing changes.  A decoding that changes a text shortens it by two characters, which bounds
+    the rounds; those after the fixed point do nothing."""
+    def again(state: Column, _: Column) -> Column:
+        then = url_unquote(state["text"])
+        return F.when(state["done"], state).otherwise(F.struct(then.alias("text"), (then == state["text"]).alias("done")))
+
+    start = F.struct(c.alias("text"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(0), F.coalesce(F.floor(F.length(c) / 2), F.lit(0)).cast("int")), start, again, lambda state: state["text"])
 
 
 def slug(c: Column) -> Column:
@@ -78,8 +83,8 @@ def distinct_ignoring_case(items: Column) -> Column:
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
-    """Whether any word occurs in the text, inside other words too: one pass of one pattern."""
-    return text.rlike("|".join(f"\\Q{w}\\E" for w in words)) if words else F.lit(False)
+    """Whether any word occurs in the text, inside other words too: byte searches, of which the first hit ends all."""
+    return reduce(lambda out, w: out | F.contains(text, F.lit(w)), words, F.lit(False))
 
 
 def cache_key(question: Column) -> Column:

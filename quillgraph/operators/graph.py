@@ -95,13 +95,14 @@ def crawl(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """Anchors (uid, rank) and their neighbours: uid, is_anchor, ord, in the order of a crawl.
 
     Anchor by anchor: itself, then its outbound nodes in link order, then its backlinks by name.  A node counts where
-    it comes up first.  Dangling links lead nowhere.
+    it comes up first.  Dangling links lead nowhere.  Whether the anchors are broadcast is left to the planner, which
+    knows their size.
     """
     a = anchors.select(F.col("uid").alias("anchor"), "rank")
     real = edges.filter("resolved")
     own = a.select(F.col("anchor").alias("uid"), F.struct("rank", F.lit(0).alias("k"), F.lit(0).alias("pos"), F.lit("").alias("by")).alias("ord"), F.lit(True).alias("is_anchor"))
-    out = real.join(F.broadcast(a), real["src"] == a["anchor"]).select(F.col("dst").alias("uid"), F.struct("rank", F.lit(1).alias("k"), "pos", F.lit("").alias("by")).alias("ord"), F.lit(False).alias("is_anchor"))
-    back = real.join(F.broadcast(a), real["dst"] == a["anchor"]).select(F.col("src").alias("uid"), F.struct("rank", F.lit(2).alias("k"), F.lit(0).alias("pos"), F.col("src").alias("by")).alias("ord"), F.lit(False).alias("is_anchor"))
+    out = real.join(a, real["src"] == a["anchor"]).select(F.col("dst").alias("uid"), F.struct("rank", F.lit(1).alias("k"), "pos", F.lit("").alias("by")).alias("ord"), F.lit(False).alias("is_anchor"))
+    back = real.join(a, real["dst"] == a["anchor"]).select(F.col("src").alias("uid"), F.struct("rank", F.lit(2).alias("k"), F.lit(0).alias("pos"), F.col("src").alias("by")).alias("ord"), F.lit(False).alias("is_anchor"))
     return own.unionByName(out).unionByName(back).groupBy("uid").agg(F.max("is_anchor").alias("is_anchor"), F.min("ord").alias("ord"))
 
 
@@ -131,6 +132,7 @@ def shadow_nodes(reconciled: DataFrame) -> DataFrame:
     missing = reconciled.filter(F.col("uid").isNull()).dropDuplicates(["canonical"])
     kind = F.regexp_replace("class", r"^[\[\]]+|[\[\]]+$", "")
     head = lambda *lines: F.concat(F.lit("---\n"), *lines, F.lit("status: shadow\n---\n# "), F.col("name"), F.lit("\n\n"))
+    # The texts of placeholders.
     refinery = F.concat(head(F.lit("node_type: PRIVATE_CONGLOMERATE\nsub_type: MINING_REFINERY\n")), F.lit(
         "- Requires [[Continuous Baseload Power Grid]]\n- Requires [[Industrial Bulk Water Source]]\n- Regulated by [[Environmental Management Agency]]\n"))
     agency = F.concat(head(F.lit("node_type: GOVERNMENT_AGENCY\n")), F.lit("- Overseen by [[Overseeing Government Ministry]]\n- Established under [[Act of Parliament]]\n"))

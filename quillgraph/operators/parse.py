@@ -115,11 +115,13 @@ def summary(given: Column, body: Column, length: int) -> Column:
 
 def inferred_type(body: Column) -> Column:
     """The first group of words of which one occurs in the lower-cased body, inside other words too; else the empty text."""
-    low = F.lower(body)
-    out = F.lit("")
-    for name, words in reversed(TYPE_WORDS):
-        out = F.when(t.contains_any(low, words), F.lit(name)).otherwise(out)
-    return out
+    def first(low: Column) -> Column:
+        out = F.lit("")
+        for name, words in reversed(TYPE_WORDS):
+            out = F.when(t.contains_any(low, words), F.lit(name)).otherwise(out)
+        return out
+
+    return F.transform(F.array(F.lower(body)), first)[0]  # lower-cased once
 
 
 def entity_type(given: Column, body: Column) -> Column:
@@ -158,18 +160,26 @@ def nodes(notes: DataFrame, profile: str = "query") -> DataFrame:
 
     ``profile`` (query, execute or news) sets the length of stand-in summaries and how links are cut.
     """
-    head = notes.select("*", split_header(F.col("raw")).alias("h")).select("*", t.stem(F.col("file_name")).alias("uid"), "h.header", "h.body").drop("h")
+    head = last_paths(notes).select("*", split_header(F.col("raw")).alias("h")).select("*", "h.header", "h.body").drop("h")
     parsed = head.withColumn("y", yaml_columns("header")).select("*", "y.*").drop("y", "header")
     body = F.col("body")
-    out = parsed.select(
+    return parsed.select(
         "uid", "rel_path", F.split("rel_path", "/", -1).alias("path_parts"), "raw", "body", F.substring(body, 1, PREVIEW).alias("body_preview"), "fm", "fm_json",
         summary(F.col("given_summary"), body, SUMMARY_LENGTH[profile]).alias("summary"), entity_type(F.col("given_type"), body).alias("entity_type"),
         F.col("given_country").alias("country"), F.col("given_sector").alias("sector"),
         folder_type(F.col("rel_path")).alias("folder_type"), t.slug(F.col("uid")).alias("slug"),
         links(F.col("raw"), segment=profile != "news", dedupe=profile != "news").alias("raw_links"), "aliases", sections(body).alias("sections"), "size_bytes", "mtime")
-    return _last_path(out)
 
 
-def _last_path(rows: DataFrame) -> DataFrame:
-    last = rows.groupBy("uid").agg(F.max("rel_path").alias("_last"))
-    return rows.join(last, (rows["uid"] == last["uid"]) & (rows["rel_path"] == last["_last"])).drop(last["uid"]).drop("_last")
+def last_paths(notes: DataFrame, most: int = 100_000) -> DataFrame:
+    """notes with uid (the stem), without those of a stem that has a later path.
+
+    Stems of several paths are found from names alone, before any text is read.  They are counted: none is the usual
+    case and costs nothing more, up to ``most`` are sent to the tasks, and more are joined.
+    """
+    rows = notes.withColumn("uid", t.stem(F.col("file_name")))
+    last = rows.groupBy("uid").agg(F.max("rel_path").alias("_last"), F.min("rel_path").alias("_first")).filter("_first < _last").select(F.col("uid").alias("_uid"), "_last")
+    found = last.limit(most + 1).count()
+    if not found:
+        return rows
+    return rows.join(F.broadcast(last) if found <= most else last, (F.col("uid") == F.col("_uid")) & (F.col("rel_path") < F.col("_last")), "left_anti")

@@ -181,33 +181,38 @@ def subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ANCHORS = ("NATION_3", "Customer#000000050", "ASIA")
 
 
-@_query(f"""WITH {RELATIONS}, a AS (SELECT unnest({list(_ANCHORS)}) AS anchor), r AS (SELECT * FROM edge WHERE resolved),
-    c AS (SELECT anchor AS uid, true AS is_anchor FROM a UNION ALL SELECT dst, false FROM r JOIN a ON src = anchor UNION ALL SELECT src, false FROM r JOIN a ON dst = anchor)
-    SELECT uid, bool_or(is_anchor) AS is_anchor FROM c GROUP BY uid""")
+@_query(f"""WITH {RELATIONS}, a AS (SELECT unnest({list(_ANCHORS)}) AS anchor, unnest({list(range(len(_ANCHORS)))}) AS rank), r AS (SELECT * FROM edge WHERE resolved),
+    c AS (SELECT anchor AS uid, true AS is_anchor, [rank, 0, 0] AS o FROM a UNION ALL SELECT dst, false, [rank, 1, pos] FROM r JOIN a ON src = anchor UNION ALL SELECT src, false, [rank, 2, 0] FROM r JOIN a ON dst = anchor)
+    SELECT uid, bool_or(is_anchor) AS is_anchor, min(o)[1] AS rank, min(o)[2] AS k, min(o)[3] AS pos FROM c GROUP BY uid""")
 def one_hop_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = spark.createDataFrame([(a, i) for i, a in enumerate(_ANCHORS)], "uid string, rank int")
-    return graph.crawl(_edges(spark, sf_dir), anchors).select("uid", "is_anchor")
+    return graph.crawl(_edges(spark, sf_dir), anchors).select("uid", "is_anchor", "ord.rank", "ord.k", "ord.pos")
 
 
-@_query(f"""WITH {RELATIONS}, r AS (SELECT * FROM edge WHERE resolved), b AS (SELECT src, dst AS uid, 0 AS k FROM r UNION ALL SELECT dst, src, 1 FROM r)
-    SELECT src, uid, CASE min(k) WHEN 0 THEN 'outbound' ELSE 'backlink' END AS relation_type FROM b GROUP BY src, uid""")
+@_query(f"""WITH {RELATIONS}, r AS (SELECT * FROM edge WHERE resolved), b AS (SELECT src, dst AS uid, 0 AS k, pos FROM r UNION ALL SELECT dst, src, 1, 0 FROM r)
+    SELECT src, uid, CASE min(k) WHEN 0 THEN 'outbound' ELSE 'backlink' END AS relation_type, coalesce(min(pos) FILTER (WHERE k = 0), 0) AS pos FROM b GROUP BY src, uid""")
 def related_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.related(_edges(spark, sf_dir), None).select("src", "uid", "relation_type")
+    return graph.related(_edges(spark, sf_dir), None)
 
 
 @_query(f"""WITH {RELATIONS} SELECT n.name, n.class, uid FROM (SELECT 'nation ' || n_nationkey AS name, '[POLICY_FRAMEWORK]' AS class FROM nation
-    UNION ALL SELECT p_brand, '[MINING_REFINERY]' FROM part) n LEFT JOIN note ON lower(regexp_replace(uid, '[^a-zA-Z0-9]', '', 'g')) = lower(regexp_replace(n.name, '[^a-zA-Z0-9]', '', 'g'))""")
+    UNION ALL SELECT p_brand, '[MINING_REFINERY]' FROM part UNION ALL SELECT p_name, '[GOVERNMENT_AGENCY]' FROM part UNION ALL SELECT p_type, '[COMMODITY]' FROM part) n LEFT JOIN note ON lower(regexp_replace(uid, '[^a-zA-Z0-9]', '', 'g')) = lower(regexp_replace(n.name, '[^a-zA-Z0-9]', '', 'g'))""")
 def entity_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reconcile(_entities(spark, sf_dir), graph.resolver(_nodes(spark, sf_dir))).select("name", "class", "uid")
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = _table(spark, sf_dir, "nation").select(F.concat(F.lit(" nation "), F.col("n_nationkey").cast("string")).alias("name"), F.lit("[POLICY_FRAMEWORK]").alias("class"))
-    return places.unionByName(_table(spark, sf_dir, "part").select(F.col("p_brand").alias("name"), F.lit("[MINING_REFINERY]").alias("class")))
+    kinds = {"p_brand": "[MINING_REFINERY]", "p_name": "[GOVERNMENT_AGENCY]", "p_type": "[COMMODITY]"}
+    each = F.explode(F.array(*[F.struct(F.col(c).alias("name"), F.lit(k).alias("class")) for c, k in kinds.items()])).alias("e")
+    return places.unionByName(_table(spark, sf_dir, "part").select(each).select("e.name", "e.class"))
 
 
 @_query("""SELECT DISTINCT p_brand AS name, '[MINING_REFINERY]' AS class, md5('---\nnode_type: PRIVATE_CONGLOMERATE\nsub_type: MINING_REFINERY\nstatus: shadow\n---\n# ' || p_brand ||
-    '\n\n- Requires [[Continuous Baseload Power Grid]]\n- Requires [[Industrial Bulk Water Source]]\n- Regulated by [[Environmental Management Agency]]\n') AS digest FROM part""")
+    '\n\n- Requires [[Continuous Baseload Power Grid]]\n- Requires [[Industrial Bulk Water Source]]\n- Regulated by [[Environmental Management Agency]]\n') AS digest FROM part
+    UNION SELECT p_name, '[GOVERNMENT_AGENCY]', md5('---\nnode_type: GOVERNMENT_AGENCY\nstatus: shadow\n---\n# ' || p_name ||
+    '\n\n- Overseen by [[Overseeing Government Ministry]]\n- Established under [[Act of Parliament]]\n') FROM part
+    UNION SELECT p_type, '[COMMODITY]', md5('---\nnode_type: COMMODITY\nstatus: shadow\n---\n# ' || p_type || '\n\n- Shadow node for context matching.\n') FROM part""")
 def shadow_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = graph.reconcile(_entities(spark, sf_dir), graph.resolver(_nodes(spark, sf_dir)))
     return graph.shadow_nodes(met).select("name", "class", F.md5(F.col("raw").cast("binary")).alias("digest"))
@@ -298,10 +303,10 @@ def stem_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.load_entities(rows).select("id", "slug", F.col("rel_path").cast("long").alias("first_order"))
 
 
-@_query("SELECT l.doc_id, l.quality, d.source FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+@_query("SELECT l.doc_id, l.doc_id AS pos, l.quality, d.source FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
 def ranked_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("uid"), F.col("doc_id").alias("pos"), "quality")
-    return score.by_rank(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "source"), ranked).select(F.col("uid").alias("doc_id"), "quality", "source")
+    return score.by_rank(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("uid"), "source"), ranked).select(F.col("uid").alias("doc_id"), "pos", "quality", "source")
 
 
 @_query("""SELECT p_partkey, p_name || '|' || p_brand || '|' || p_type AS terms FROM part""")
@@ -334,13 +339,13 @@ def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(_table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), F.col("turn").cast("int").alias("turn"), budget.estimate(F.col("text")).alias("tokens")))
 
 
-@_query("""WITH p AS (SELECT d.doc_id, coalesce(d.text, '') AS a, coalesce(b.text, '') AS g FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id),
+@_query("""WITH p AS (SELECT d.doc_id, coalesce(d.text, '') AS a, coalesce(b.text, '') AS g FROM documents d LEFT JOIN benchmark b ON d.doc_id % 200 = b.item_id),
     q AS (SELECT *, length(a) + length(g) + 10 AS n, 640 - 10 AS room FROM p), r AS (SELECT *, trunc(n / 3.2) + 1 > 200 AS over_, least(length(a), CAST(trunc(room * 0.25) AS BIGINT)) AS ka FROM q)
     SELECT doc_id, md5(CASE WHEN over_ AND length(a) > ka THEN substring(a, 1, ka) || chr(10) || chr(10) || '[ARTICLE TRUNCATED TO RESPECT TOKEN BUDGET]' ELSE a END) AS article,
     md5(CASE WHEN over_ AND length(g) > room - ka THEN substring(g, 1, room - ka) || chr(10) || chr(10) || '[GRAPH CONTEXT TRUNCATED TO RESPECT TOKEN BUDGET]' ELSE g END) AS graph FROM r""")
 def truncate_two_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("g"))
-    rows = docs.join(items, docs["doc_id"] % 40 == items["item_id"]).select("doc_id", budget.truncate_two(t.or_empty(F.col("text")), t.or_empty(F.col("g")), F.lit("0123456789"), available=200).alias("x"))
+    rows = docs.join(items, docs["doc_id"] % 200 == items["item_id"], "left").select("doc_id", budget.truncate_two(t.or_empty(F.col("text")), t.or_empty(F.col("g")), F.lit("0123456789"), available=200).alias("x"))
     return rows.select("doc_id", F.md5(F.col("x.article").cast("binary")).alias("article"), F.md5(F.col("x.graph").cast("binary")).alias("graph"))
 
 
@@ -409,6 +414,15 @@ def opportunity_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.opportunities(rows, keep=["event_id"]).select("event_id", "pos", "id", "title", "urgency_score")
 
 
+@_query("SELECT event_id, 0 AS pos, 'E' || event_id AS id, event_type AS title FROM events WHERE event_id = 40")
+def opportunity_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboards that list it are found by its text, and of their opportunities the one of this id is taken."""
+    one = F.to_json(F.struct(F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("title")))
+    listed = F.concat(F.lit('{"results":['), one, F.lit(',{"opportunity_id":"x","title":"second"}]}'))
+    rows = _table(spark, sf_dir, "events").select("event_id", listed.alias("value"))
+    return n.select_opportunity(n.opportunities(rows, keep=["event_id"]), "E40").select("event_id", "pos", "id", "title")
+
+
 # --- tables
 
 @_query("SELECT coalesce(lang, '') AS country_tag, count(*) AS n FROM documents WHERE lang IS NULL OR lang <> 'fr' GROUP BY 1")

@@ -25,7 +25,7 @@ def table_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     region, nation = read("region"), read("nation")
     places = nation.join(region, nation["n_regionkey"] == region["r_regionkey"])
-    customer, supplier = read("customer"), read("supplier")
+    customer, supplier = read("customer").repartition(spark.sparkContext.defaultParallelism), read("supplier")  # texts are rendered and parsed in as many tasks
     name = F.col("c_name")
     link = lambda c, *more: F.concat(F.lit("[["), c, *more, F.lit("]] "))
     every = lambda key, k, c: F.when(F.col(key) % k == 0, c).otherwise("")

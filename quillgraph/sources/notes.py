@@ -54,7 +54,10 @@ def load_entities(notes: DataFrame, dirs: DataFrame | None = None) -> DataFrame:
     """One row for each stem, the first by folder and path: id, slug, name, rel_path, content, size_bytes."""
     rows = notes.select(t.stem(F.col("file_name")).alias("id"), "rel_path", F.col("raw").alias("content"), "size_bytes")
     if dirs is not None:
-        rows = rows.join(F.broadcast(dirs.select("dir")), F.startswith("rel_path", F.concat("dir", F.lit("/"))), "left_semi")
+        parts = F.split("rel_path", "/", -1)
+        above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))  # all folders of a note
+        inside = rows.select("rel_path", F.explode(F.when(F.size(parts) > 1, above)).alias("dir")).join(dirs.select("dir"), "dir", "left_semi").select("rel_path").distinct()
+        rows = rows.join(inside, "rel_path", "left_semi")
     order = Window.partitionBy("id").orderBy("rel_path")
     return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(
         "id", t.slug(F.col("id")).alias("slug"), F.translate("id", "_-", "  ").alias("name"), "rel_path", "content", "size_bytes")

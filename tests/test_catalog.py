@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def plain(frame: pd.DataFrame) -> list[tuple]:
     """Rows in a form that both engines give alike, in order of their values."""
     def value(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return ""
         if type(v).__name__ in ("bool", "bool_"):
             return str(bool(v))
