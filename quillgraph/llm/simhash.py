@@ -5,8 +5,9 @@ bits, then for any thresholds t_i >= -1 with sum(t_i + 1) = tau + 1 some partiti
 (-1: the partition is not looked at).  The thresholds are unequal: dynamic programming picks, among all allocations
 and numbers of partitions, the one with the least estimated work (signature rows and candidate pairs).  Every
 different fingerprint is indexed by its partitions' values, probes the values within t_i, and candidates are verified
-on all 64 bits.  A value shared by more than ``dense`` fingerprints is worked through in pairs of bounded blocks that
-return only a spanning forest of their links, so no group emits all its pairs and no link between groups is lost.
+on all 64 bits.  A value that many fingerprints share is split again by the pigeonhole on their other bits; what is
+crowded even then is worked through in pairs of bounded blocks that return only a spanning forest of their links, so no
+group emits all its pairs and no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -181,8 +182,17 @@ def forest(fps: np.ndarray, tau: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _dense_links(members: DataFrame, sizes: DataFrame, tau: int, block: int) -> DataFrame:
-    """Links of the values in ``sizes`` (part, key, n), each a spanning forest of two blocks of at most about ``block``."""
+def _split(members: DataFrame, plan: list[tuple[list[int], int]], tau: int) -> DataFrame:
+    """Members (part, key, fp) of crowded values by the bits outside their partition, in tau + 1 pieces: two members that link
+    agree in one of them.  Columns part, key, sub, value and fp, tau + 1 rows a member."""
+    rest = [[b for b in range(BITS) if b not in group] for group, _ in plan]
+    masks = F.array(*[F.array(*[F.lit(_signed(sum(1 << b for b in bits[i::tau + 1]))) for i in range(tau + 1)]) for bits in rest])
+    each = members.select("part", "key", "fp", F.posexplode(F.element_at(masks, F.col("part") + 1)).alias("sub", "mask"))
+    return each.select("part", "key", "sub", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
+
+
+def _blocked_links(members: DataFrame, sizes: DataFrame, keys: list[str], tau: int, block: int) -> DataFrame:
+    """Links within the groups of ``sizes`` (keys, n), each a spanning forest of two blocks of about ``block`` members."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         fps = np.unique(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
@@ -191,31 +201,48 @@ def _dense_links(members: DataFrame, sizes: DataFrame, tau: int, block: int) ->
         return pd.DataFrame({"a": fps[a].view(np.int64), "b": fps[b].view(np.int64)}) if edges else pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
 
     n = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    mine = members.join(sizes, ["part", "key"]).withColumn("blocks", n).withColumn("x", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    mine = members.join(sizes, keys).withColumn("blocks", n).withColumn("x", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     dealt = mine.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return (
-        dealt.select("part", "key", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "fp")
-        .groupBy("part", "key", "lo", "hi").applyInPandas(solve, "a long, b long")
+        dealt.select(*keys, F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "fp")
+        .groupBy(*keys, "lo", "hi").applyInPandas(solve, "a long, b long")
     )
 
 
+def _dense_links(members: DataFrame, plan: list[tuple[list[int], int]], tau: int, dense: int) -> DataFrame:
+    """Links of crowded values' members (part, key, fp).
+
+    They are split again by the pigeonhole on their other bits, which adds tau + 1 rows a member; what agrees in a
+    further piece is compared in a join, and only what is crowded even there, which is a cluster of fingerprints that
+    are nearly all alike, goes through pairs of blocks.
+    """
+    keys = ["part", "key", "sub", "value"]
+    split = materialise(_split(members, plan, tau), "split")
+    sizes = materialise(split.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    few = split.join(sizes.filter(F.col("n") <= dense).select(*keys), keys)
+    other = few.withColumnRenamed("fp", "other")
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
+    found = few.join(other, keys).filter((F.col("fp") < F.col("other")) & (apart <= tau)).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    return found.unionByName(_blocked_links(split, sizes.filter(F.col("n") > dense), keys, tau, dense))
+
+
 def links(fps: DataFrame, tau: int = 4, dense: int = 1024, sample_rows: int = 8192) -> DataFrame:
     """Pairs (a, b), a < b, of different fingerprints at most ``tau`` bits apart.
 
-    ``fps`` has one row for each different fingerprint in column fp.  All pairs are returned but for values that
-    more than ``dense`` fingerprints share, of whose pairs a spanning forest is; components are the same.  The plan
+    ``fps`` has one row for each different fingerprint in column fp.  A value is crowded that more than ``2 * dense``
+    index and probe rows share.  All pairs are returned but for those of crowded groups, of which a spanning forest is;
+    components are the same.  The plan
     is drawn from at most ``sample_rows`` fingerprints; it changes only the work done.
     """
     total = fps.count()
     sample = np.array([r["fp"] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()], np.int64).view(np.uint64)
     plan = allocate(sample, total, tau)
     index, probe = _signatures(fps, plan)
-    sizes = materialise(
-        index.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > dense), "dense")
+    members = index.unionByName(probe.withColumnRenamed("other", "fp"))
+    sizes = materialise(members.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * dense).select("part", "key"), "dense")
     crowded = not sizes.isEmpty()
     if crowded:
-        members = index.unionByName(probe.withColumnRenamed("other", "fp"))
-        more = _dense_links(members, sizes, tau, dense)
+        more = _dense_links(members.join(sizes, ["part", "key"], "left_semi").distinct(), plan, tau, dense)
         index, probe = (x.join(sizes, ["part", "key"], "left_anti") for x in (index, probe))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
     found = index.join(probe, (index["part"] == probe["part"]) & (index["key"] == probe["key"]) & (F.col("fp") != F.col("other")) & (apart <= tau))
