@@ -31,10 +31,11 @@ _SLACK = 1e-6  #: of bounds computed in floating point, relative
 def quantise(vectors: DataFrame, query: Column, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Columns vec_id, v (floor(scale * x) of every component, 64-bit integers), dim, top (largest size) and asks.
 
-    Rows without an id, and vectors that are null, empty or hold null or non-finite components, are left out.
+    Rows without an id, and vectors that are null or hold null or non-finite components, are left out.  An empty vector
+    takes part and scores 0 with every other.
     """
     x = F.col(vector_col).cast("array<double>")
-    fine = F.col(vector_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    fine = F.col(vector_col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,7 +47,7 @@ def quantise(vectors: DataFrame, query: Column, scale: float = 256.0, id_col: st
             parts = np.split(ints, np.cumsum(sizes)[:-1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(sizes.astype(np.int32)),
-                 pa.array([int(np.abs(p).max()) for p in parts], pa.int64()), batch.column("asks")], names=["vec_id", "v", "dim", "top", "asks"])
+                 pa.array([int(np.abs(p).max(initial=0)) for p in parts], pa.int64()), batch.column("asks")], names=["vec_id", "v", "dim", "top", "asks"])
 
     rows = vectors.filter(F.col(id_col).isNotNull()).filter(fine)
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x"), F.coalesce(query, F.lit(False)).alias("asks")).mapInArrow(
@@ -83,13 +84,26 @@ def _partial(scores: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _spread(points: np.ndarray, n: int) -> list[int]:
+    """n of the points, each the farthest from those before it."""
+    chosen, far = [0], np.full(len(points), np.inf)
+    while len(chosen) < n:
+        far = np.minimum(far, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+        chosen.append(int(far.argmax()))
+    return chosen
+
+
 def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding",
-          most_pivots: int = 128, queries_per_group: int = 256, block: int = 8192) -> DataFrame:
+          most_pivots: int = 128, queries_per_group: int = 256, block: int = 8192, told: dict | None = None) -> DataFrame:
     """Columns query_id, rank (from 1), vec_id and score: each query row's k best other rows by integer inner product.
 
     Vectors of fewer components count as filled up with zeros.  Ties go to the smaller vec_id.  Fewer rows come back
-    where there are fewer candidates.  Of rows that repeat an id one counts, that of the smallest bytes.  Sums must lie within 2**62.  Pivots and summaries are at most ``most_pivots`` rows, which bounds what
-    is collected and broadcast.
+    where there are fewer candidates.  Of rows that repeat an id one counts, that of the smallest bytes.  Sums must lie
+    within 2**62.  Pivots and summaries are at most ``most_pivots`` rows, which bounds what is collected and broadcast.
+
+    Where the bounds of small query groups prune less than merging the queries into parts of half a block saves, they
+    are merged: then the data are copied once for each part.  ``told`` receives needed (the share of group and data pairs
+    that the bounds leave) and copies (of data rows, at most).
     """
     spark = vectors.sparkSession
     every = materialise(quantise(vectors, query, scale, id_col, vector_col), "vectors")
@@ -103,7 +117,7 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: float = 256.0, i
     exact_float = float(top) * float(top) * dim < 2.0 ** 53
     chosen = every.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(min(most_pivots, max(1, round(math.sqrt(n) / 2)))).collect()
     pivots = _matrix([bytes(r["v"]) for r in chosen], dim).astype(float)
-    centres = pivots[:max(1, min(len(pivots), -(-asked // queries_per_group)))]
+    centres = pivots[_spread(pivots, max(1, min(len(pivots), -(-asked // queries_per_group))))]
 
     def distances(x: np.ndarray, to: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ to.T + (to * to).sum(axis=1), 0))
@@ -151,7 +165,7 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: float = 256.0, i
             q = _matrix(pdf["v"].tolist(), dim).astype(float)
             dots, length = q @ points.T, np.sqrt((q * q).sum(axis=1))
             slack = _SLACK * (1 + np.abs(dots).max(axis=1) + length * r.max())
-            low = (dots[:, :, None] - length[:, None, None] * close[None]).reshape(len(q), -1)
+            low = np.nan_to_num((dots[:, :, None] - length[:, None, None] * close[None]).reshape(len(q), -1), nan=-np.inf)  # a zero query, a small cell
             kth = -np.sort(-low, axis=1)[:, min(k, low.shape[1] - 1)] if low.shape[1] > k else np.full(len(q), -np.inf)
             need = dots + length[:, None] * r >= (kth - slack)[:, None]
             rows, at = np.nonzero(need)
@@ -166,9 +180,17 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: float = 256.0, i
     for r in needs:
         g = groups.index(r["ask_cell"])
         need[g, r["at"]], least[g], spread[g] = True, min(least[g], r["least"]), max(spread[g], r["spread"])
-    data_blocks = np.maximum(1, -(-(need @ sizes) // block))
+    group_of = np.zeros(len(centres), np.int64)
+    group_of[groups] = np.arange(len(groups))
     ask_blocks = np.array([max(1, -(-counts[g] // (4 * queries_per_group))) for g in groups])
-    plan = spark.sparkContext.broadcast((np.array(cells), centres[groups], need, least, spread, data_blocks, ask_blocks, np.array(groups)))
+    copies, merged = int((need @ sizes) @ ask_blocks), max(1, -(-asked // (block // 2))) if block > 1 else asked
+    if told is not None:
+        told |= {"needed": float((need @ sizes).sum() / (len(groups) * sizes.sum())), "copies": min(copies, int(merged * sizes.sum()))}
+    if copies > merged * sizes.sum():
+        need, least, spread, ask_blocks, group_of = np.ones((1, len(cells)), bool), np.array([-np.inf]), np.zeros(1), np.array([merged]), group_of * 0
+        groups = groups[:1]
+    data_blocks = np.maximum(1, -(-(need @ sizes) // block))
+    plan = spark.sparkContext.broadcast((np.array(cells), centres[groups], need, least, spread, data_blocks, ask_blocks, group_of))
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Copies of each data vector for the query groups that need it, one for each block of their queries."""
@@ -192,7 +214,7 @@ def top_k(vectors: DataFrame, query: Column, k: int = 5, scale: float = 256.0, i
         """Copies of each query for the data blocks of its group."""
         *_, blocks, parts, known = plan.value
         for pdf in frames:
-            g = np.searchsorted(known, pdf["ask_cell"].to_numpy())
+            g = known[pdf["ask_cell"].to_numpy()]
             again = blocks[g]
             rows = np.repeat(np.arange(len(pdf)), again)
             ids = pdf["vec_id"].to_numpy()[rows]

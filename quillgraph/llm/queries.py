@@ -17,7 +17,8 @@ DOMAINS = ["prose", "junk", "toxic"]
 WEIGHTS = {"prose": 0.93, "junk": 0.02, "toxic": 0.05}
 #: The mix of op4, for a moderation model: toxic rows are raised, junk is lowered.
 MODERATION = {"prose": 0.70, "junk": 0.05, "toxic": 0.25}
-PII_KEY = "an example key; give your own"
+#: The Spark setting that holds the key of op7's pseudonyms, and what the query takes where it is unset.
+PII_SETTING, PII_EXAMPLE = "spark.quillgraph.pii.key", "an example key; give your own"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,7 +67,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(PII_SETTING, PII_EXAMPLE))
 
 
 def op8_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +113,8 @@ def oracle_sql() -> dict[str, str]:
             FROM d JOIN g ON d.t = g.t""",
         "op8_knn_join": """
             WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-                       WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-                 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+                       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+                 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
                        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
                  r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
             SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
