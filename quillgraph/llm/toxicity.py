@@ -49,6 +49,10 @@ class Weights:
         return out
 
 
+#: (l1, least_rows) that select() chooses from, the sparsest first.
+CHOICES = ((30.0, 8), (8.0, 4), (2.0, 2))
+
+
 def fit(rows: list[np.ndarray], labels: list[int], epochs: int = 5, alpha: float = 3.0, beta: float = 1.0, l1: float = 30.0, l2: float = 0.02,
         least_rows: int = 8, weight: float = 10.0, seed: int = 3) -> Weights:
     """FTRL-proximal, one row at a time.  An empty sample gives score 0.5 everywhere, one label alone its share.
@@ -88,11 +92,42 @@ def fit(rows: list[np.ndarray], labels: list[int], epochs: int = 5, alpha: float
     return Weights(coords[keep], w[keep].astype(np.float32), float(-zb / ((beta + nb ** 0.5) / alpha + l2)))
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: Column, label_col: str = "toxic", rows: int = 8000, text_bytes: int = 1 << 16,
+def logit(model: Weights, row: np.ndarray) -> float:
+    at = np.minimum(np.searchsorted(model.coords, row), max(0, len(model.coords) - 1))
+    return model.bias + float(model.weights[at[model.coords[at] == row]].sum(dtype=np.float64)) if len(model.coords) else model.bias
+
+
+def select(rows: list[np.ndarray], labels: list[int], epochs: int = 5, threshold: float = 0.7, folds: int = 4, enough: int = 1500) -> tuple[float, int]:
+    """The (l1, least_rows) of CHOICES that does best on rows of the learning sample that it was not fitted on.
+
+    Best is the recall at ``threshold`` less five times the share of false alarms, the sparser of equals.  Each fold of a
+    sample of fewer than ``enough`` rows is left out in turn, of a larger one the first alone.
+    """
+    y = np.array(labels)
+    fold, used = np.arange(len(y)) % folds, folds if len(y) < enough else 1
+    cut, best = np.log(threshold / (1 - threshold)), (-np.inf, CHOICES[0])
+    if min((y == 1).sum(), (y == 0).sum()) < folds:
+        return CHOICES[0]
+    for l1, least_rows in CHOICES:
+        hit = np.zeros(len(y), bool)
+        for f in range(used):
+            model = fit([r for r, g in zip(rows, fold) if g != f], y[fold != f].tolist(), epochs, l1=l1, least_rows=least_rows)
+            for i in np.flatnonzero(fold == f):
+                hit[i] = logit(model, rows[i]) >= cut
+        seen = fold < used
+        found, false = hit[seen & (y == 1)], hit[seen & (y == 0)]
+        worth = (found.mean() if len(found) else 0.0) - 5 * (false.mean() if len(false) else 0.0)
+        if worth > best[0] + 1e-9:
+            best = (worth, (l1, least_rows))
+    return best[1]
+
+
+def train(docs: DataFrame, labels: DataFrame, fold: Column, label_col: str = "toxic", rows: int = 8000, text_bytes: int = 1 << 13,
           epochs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Weights:
     """Fit on at most ``rows`` labelled rows of the folds where ``fold`` is true, texts of at most ``text_bytes`` bytes.
 
-    These two parameters bound what reaches the driver: hashed features, made in tasks.  Inputs are words alone.
+    These two parameters bound what reaches the driver: hashed features, made in tasks, at most 6 bytes for each byte of
+    text.  The penalty is chosen within these rows.  Inputs are words alone.
     """
     sample = labelled_sample(docs, labels, label_col, fold, rows, text_bytes, id_col, text_col)
 
@@ -103,7 +138,9 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, label_col: str = "to
 
     kind = sample.schema["_id"].dataType.simpleString()
     got = sorted((r["_id"], r["label"], bytes(r["found"])) for r in sample.mapInArrow(run, f"_id {kind}, label int, found binary").collect())
-    return fit([np.frombuffer(x[2], np.int32) for x in got], [x[1] for x in got], epochs)  # views of what was collected
+    found, marks = [np.frombuffer(x[2], np.int32) for x in got], [x[1] for x in got]  # views of what was collected
+    l1, least_rows = select(found, marks, epochs)
+    return fit(found, marks, epochs, l1=l1, least_rows=least_rows)
 
 
 def scores(docs: DataFrame, model: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -61,3 +61,32 @@ def test_empty_tables_and_one_label(spark):
     same = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
     assert all(x["score"] > 0.7 for x in q.scores(docs, q.train(docs, same, F.lit(True))).collect())
     assert q.scores(docs.limit(0), q.start()).count() == 0
+
+
+def naive_score(net, body):
+    """The forward pass one window, filter and feature at a time."""
+    filters = net.conv.reshape(q.HOP * q.EMBED, q.TAPS, q.FILTERS).astype(float)
+    starts = [0]
+    while starts[-1] + q.CHUNK < len(body):
+        starts.append(starts[-1] + q.STRIDE)
+    tops = []
+    for a in starts:
+        values = list(body[a:a + q.CHUNK]) + [q.PAD] * (q.CHUNK - len(body[a:a + q.CHUNK]))
+        best = [-np.inf] * q.FILTERS
+        for at in range(0, q.CHUNK - q.HOP * q.TAPS + 1, q.HOP):
+            window = net.embed[values[at:at + q.HOP * q.TAPS]].astype(float).reshape(q.TAPS, q.HOP * q.EMBED)
+            for f in range(q.FILTERS):
+                best[f] = max(best[f], sum(float(window[tap] @ filters[:, tap, f]) for tap in range(q.TAPS)))
+        tops.append([max(0.0, b + float(c)) for b, c in zip(best, net.bias)])
+    columns = list(zip(*tops))
+    features = [max(c) for c in columns] + [sum(c) / len(c) for c in columns] + [min(c) for c in columns] + [min(len(body) / q.CHUNK, 1), np.log1p(len(body)) / 10]
+    hidden = np.maximum(np.array(features) @ net.dense + net.dense_bias, 0)
+    return 1 / (1 + np.exp(-float(hidden @ net.head + net.head_bias[0])))
+
+
+def test_forward_pass_matches_a_naive_convolution():
+    r = random.Random(6)
+    net = q.start(9)
+    net.bias += np.linspace(-0.3, 0.3, q.FILTERS).astype(np.float32)
+    bodies = [b"", b"x", text(r, True).encode()[:300], "日本 é text".encode() * 40]
+    assert np.allclose(q.score(net, bodies), [naive_score(net, b) for b in bodies], atol=1e-4)

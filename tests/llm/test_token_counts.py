@@ -1,5 +1,8 @@
 import random
 
+import sentencepiece
+
+from quillgraph.llm.sentencepiece_codec import encoded_lengths, load
 from quillgraph.llm import token_counts as t
 
 
@@ -24,3 +27,15 @@ def test_limits_against_brute_force(spark):
 def test_empty(spark):
     limits = t.context_limits(t.histogram(spark.createDataFrame([], "length int")))
     assert limits.count() == 0 and t.quantile(limits, 0.5) is None and t.truncated_total(limits, 5) == 0
+
+
+def test_lengths_of_texts_against_the_library(spark):
+    """Null, empty, repeated and very long texts, and a column of a clashing name."""
+    path = "/opt/tokenizers/piece_bpe_32k.model"
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [None, "", "one two", "one two", "日本語 😀", "word " * 60_000, "x" * 30_000]
+    docs = spark.createDataFrame([(x, 1) for x in texts], "text string, length int")
+    got = [r["length"] for r in encoded_lengths(docs, load(path)).collect()]
+    assert sorted(got) == sorted(len(library.encode(x or "")) for x in texts)
+    limits = {r["context_limit"]: r["n_docs"] for r in t.context_limits(t.histogram(encoded_lengths(docs, load(path)))).collect()}
+    assert limits[0] == 2 and sum(limits.values()) == len(texts)
