@@ -274,7 +274,7 @@ def score_texts(docs: DataFrame, model: Automaton, counts: DataFrame, id_col: st
 # --- all n-grams, by questions and answers between chunks and buckets
 
 _KEYS = 2_000_000  #: questions a bucket
-_SPARE_BITS = 22  #: a key collides with any other with a chance of 2**-22 at most
+_SPARE_BITS = 20  #: a key collides with any other with a chance of 2**-20 at most
 _CODED = "rows array<long>, ids array<{kind}>, learn array<boolean>, sizes array<int>, skips array<int>, words binary, codes binary, tokens long, learnt long"
 _ASKED = "kind int, bucket int, chunk long, keys binary, n binary"
 _ANSWERED = "kind int, bucket int, chunk long, n binary, mine binary, words long"
@@ -422,7 +422,10 @@ _ASKED_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk"
 
 
 def _answers(asked: DataFrame, name: str) -> DataFrame:
-    """For each question the sums of n over all chunks, whether this chunk is the first with some, and the bucket's different keys with some."""
+    """For each question the sums of n over all chunks, whether this chunk is the first with some, and the bucket's different keys with some.
+
+    Counts of n-grams of two tokens and more are 0 where they are 1: such n-grams are no arcs.
+    """
 
     def solve(table: pa.Table) -> pa.Table:
         each = [np.cumsum(_unpack(b)) for b in table["keys"].to_pylist()]
@@ -430,7 +433,10 @@ def _answers(asked: DataFrame, name: str) -> DataFrame:
         cuts = np.cumsum([0, *map(len, each)]).tolist()
         at, different = pd.factorize(np.concatenate(each))
         whole = np.bincount(at, weights=n, minlength=len(different)).astype(np.uint64)  # exact below 2**53
-        some = np.flatnonzero(n > 0)[::-1]
+        words = int((whole > 0).sum())
+        if table["kind"][0].as_py() % 2 == 0 and table["kind"][0].as_py() > 2:
+            whole[whole == 1] = 0
+        some = np.flatnonzero((n > 0) & (whole[at] > 0))[::-1]
         first = np.full(len(different), -1, np.int64)
         first[at[some]] = some
         mine = np.zeros(len(n), bool)
@@ -438,7 +444,7 @@ def _answers(asked: DataFrame, name: str) -> DataFrame:
         spans = list(zip(cuts, cuts[1:]))
         return pa.table({
             "kind": table["kind"], "bucket": table["bucket"], "chunk": table["chunk"], "n": pa.array([_pack(whole[at[a:z]]) for a, z in spans], pa.binary()),
-            "mine": pa.array([np.packbits(mine[a:z]).tobytes() for a, z in spans], pa.binary()), "words": pa.array([int((first >= 0).sum())] + [0] * (len(spans) - 1), pa.int64())})
+            "mine": pa.array([np.packbits(mine[a:z]).tobytes() for a, z in spans], pa.binary()), "words": pa.array([words] + [0] * (len(spans) - 1), pa.int64())})
 
     return materialise(asked.groupBy("kind", "bucket").applyInArrow(solve, _ANSWERED), name)
 
