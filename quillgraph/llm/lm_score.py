@@ -397,7 +397,7 @@ class _Chunk:
         return np.bincount(at[self.learnt & (at >= 0)], minlength=len(self.hashes[k]))
 
     def contexts(self, k: int) -> np.ndarray:
-        """The n-grams of order k with a token after them that occur twice, in the order in which they are asked for."""
+        """The n-grams of order k with a token after them that occur twice, by hash."""
         some = np.zeros(len(self.hashes[k]), bool)
         before = self.at[k][np.flatnonzero(self.age >= k) - 1]
         some[before[before >= 0]] = True
@@ -410,6 +410,19 @@ class _Chunk:
         return np.bincount(self.context[k + 1][arcs], weights=4 * self.n[k + 1][arcs] - int(4 * DISCOUNT), minlength=len(self.hashes[k])).astype(np.int64)
 
 
+    def own(self, k: int) -> np.ndarray:
+        """n - DISCOUNT of the arcs of order k + 1 that this chunk has met, summed by context."""
+        arcs = self.n[k + 1] >= 2
+        return np.bincount(self.context[k + 1][arcs], weights=self.n[k + 1][arcs] - DISCOUNT, minlength=len(self.hashes[k]))
+
+    def asked(self, k: int) -> np.ndarray:
+        """The contexts whose sum is to be asked for: those with occurrences enough for an arc that this chunk has not met,
+        and those that it has shares of to report.  Of all others own() is the whole sum."""
+        met = np.bincount(self.context[k + 1], weights=np.maximum(self.n[k + 1], self.counts(k + 1)), minlength=len(self.hashes[k]))
+        some = self.contexts(k)
+        return some[(self.n[k] - met >= 2)[some] | (self.shares(k)[some] > 0)]
+
+
 def _questions(c: _Chunk, kind: int, hashes: np.ndarray, n: np.ndarray, bits: int, buckets: int) -> list[dict]:
     """Rows of sorted keys of so many bits, each range of keys for one bucket; keys are sent as steps from one to the next."""
     keys = hashes >> np.uint64(64 - bits)
@@ -458,16 +471,16 @@ def _restored(left: pa.Table, right: pa.Table, order: int) -> _Chunk:
             c.grow(k)
         n = _joined(rows["n"])
         if len(n) != len(c.hashes[k]):
-            return c  # not asked for yet
+            return c  # not asked for yet; sums are read in the last round alone
         c.n[k], c.mine[k] = np.empty(len(n), np.int64), np.zeros(len(n), bool)
         c.n[k][c.rank[k]] = n
         sizes = [len(_unpack(b)) for b in rows["n"].to_pylist()]
         c.mine[k][c.rank[k]] = np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(b, np.uint8), count=s) > 0 for b, s in zip(rows["mine"].to_pylist(), sizes)]])
     for k in range(1, order):
+        c.arcs[k] = c.own(k)
         rows = right.filter(pc.equal(right["kind"], 2 * k + 1)).sort_by("bucket")
         if len(rows):
-            c.arcs[k] = np.zeros(len(c.n[k]))
-            c.arcs[k][c.contexts(k)] = _joined(rows["n"]) / 4
+            c.arcs[k][c.asked(k)] = _joined(rows["n"]) / 4
     return c
 
 
@@ -496,7 +509,7 @@ def lm_scores(docs: DataFrame, learning: Column, order: int = 3, id_col: str = "
         """Asks for the arcs' sums of the contexts of order k and, below the highest order, for the counts of order k + 2."""
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             c = _restored(left, right, k + 1)
-            contexts = c.contexts(k)
+            contexts = c.asked(k)
             asked = _questions(c, 2 * k + 1, c.hashes[k][contexts], c.shares(k)[contexts], bits, buckets)
             if k + 2 <= order:
                 c.grow(k + 2)
