@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
+_tables: dict[str, SparkSession] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,7 +40,8 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
     With ``by`` the table is bucketed by that column, so that joins and groups by it do not shuffle it again.  A lost
-    executor then costs a re-read, never a recomputation.  The tables go when the driver's Python ends.
+    executor then costs a re-read, never a recomputation.  The write's shuffle files go as soon as it ends, as nothing
+    reads them again; the tables go when the driver's Python ends.
     """
     spark = df.sparkSession
     unique = f"{name}-{uuid.uuid4().hex}"
@@ -45,15 +49,36 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     if not _written:
         atexit.register(_clean)
     _written[path] = spark
-    if by:
-        table = unique.replace("-", "_")
-        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(table)
-        return spark.table(table)
-    df.write.parquet(path)
+    with _shuffle_files_removed(spark):
+        if by:
+            table = unique.replace("-", "_")
+            _tables[table] = spark
+            df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(table)
+            return spark.table(table)
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffle_files_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside are removed as each ends, not when the driver next collects garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def _clean() -> None:
+    for table, spark in _tables.items():
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:  # the JVM may be gone already
+            break
     for path, spark in _written.items():
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
