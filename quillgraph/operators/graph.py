@@ -56,12 +56,22 @@ def canonical_backlinks(found: DataFrame) -> DataFrame:
     return found.groupBy(t.canonical(F.col("raw")).alias("canonical")).agg(F.array_sort(F.collect_set("src")).alias("sources"))
 
 
-def indexed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with outbound_links (in order) and backlink_uids, empty where there are none."""
+def indexed(nodes: DataFrame, edges: DataFrame, listed: int = 100) -> DataFrame:
+    """nodes with outbound_links (in order), backlink_count and backlink_uids, 0 or empty where there are none.
+
+    backlink_uids are the first ``listed`` by name, more than any context shows, so that no row grows with a hub;
+    backlinks() and related() have them all.
+    """
     none = F.array().cast("array<string>")
     out = edges.groupBy(F.col("src").alias("uid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("outbound_links"))
-    joined = nodes.join(out, "uid", "left").join(backlinks(edges), "uid", "left")
-    return joined.withColumns({c: F.coalesce(c, none) for c in ("outbound_links", "backlink_uids")})
+    real = edges.filter("resolved")
+    place = F.row_number().over(Window.partitionBy("dst").orderBy("src"))
+    back = backlinks(real.withColumn("_n", place).filter(F.col("_n") <= listed))
+    counts = real.groupBy(F.col("dst").alias("uid")).agg(F.count("*").alias("backlink_count"))
+    joined = nodes.join(out, "uid", "left").join(back, "uid", "left").join(counts, "uid", "left")
+    return joined.withColumns({
+        "outbound_links": F.coalesce("outbound_links", none), "backlink_uids": F.coalesce("backlink_uids", none),
+        "backlink_count": F.coalesce("backlink_count", F.lit(0))})
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

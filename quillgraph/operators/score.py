@@ -68,7 +68,7 @@ def intent_score(intent: Intent, name: Column, summary: Column, preview: Column,
 
 def pre_filter(nodes: DataFrame, intent: Intent, cap: int = CANDIDATES) -> DataFrame:
     """The ``cap`` best nodes of a score above zero, ties by uid, in column order score desc: a top-k, no full sort."""
-    degree = F.size("outbound_links") + F.size("backlink_uids")
+    degree = F.size("outbound_links") + F.col("backlink_count")
     score = intent_score(intent, *[F.col(c) for c in ("uid", "summary", "body_preview", "entity_type", "country", "sector")], degree)
     return nodes.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), "uid").limit(cap)
 

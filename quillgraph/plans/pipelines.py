@@ -118,7 +118,7 @@ def run_query(spark: SparkSession, index: Index, question: str | None, provider:
     """The dashboard of a question; without one, of the best-connected notes."""
     total = index.nodes.count()
     if not question:
-        top = index.nodes.withColumn("_d", F.size("outbound_links") + F.size("backlink_uids")).orderBy(F.desc("_d"), "uid").limit(score.FULL_SCAN)
+        top = index.nodes.withColumn("_d", F.size("outbound_links") + F.col("backlink_count")).orderBy(F.desc("_d"), "uid").limit(score.FULL_SCAN)
         rows = [r.asDict() for r in top.withColumn("_line", context.scan_line()).collect()]
         system = "synthesis\nSummarise the notes as a dashboard in JSON; cite a source node for every claim."
         user = f"## Notes ({len(rows)} of {total})\n" + "\n".join(r["_line"] for r in rows)
@@ -244,8 +244,8 @@ def run_execute(spark: SparkSession, index: Index, dashboard: str, opportunity_i
     terms = score.seed_terms(chosen).first()["terms"]
     wanted = spark.createDataFrame([(x,) for x in terms], "p string").select(F.explode(t.tokens(F.col("p"))).alias("w")).distinct().orderBy("w").collect()
     anchors = score.anchors(index.nodes, [r["w"] for r in wanted])
-    cluster = graph.crawl(index.edges, anchors).join(index.nodes, "uid")
-    mapped = [r.asDict() for r in map_chunks(context.chunks(cluster, [F.col("ord")]), provider).orderBy("chunk").collect()]
+    numbered = context.chunks(graph.crawl(index.edges, anchors), [F.col("ord")])  # names alone, without their texts
+    mapped = [r.asDict() for r in map_chunks(numbered.join(index.nodes, "uid"), provider).orderBy("chunk").collect()]
     traces = []
     for r in mapped:
         try:
@@ -285,17 +285,24 @@ def search_entities(index: Index, q: str) -> DataFrame:
 
 
 def with_timeout(spark: SparkSession, call, seconds: float = 60.0, tag: str = "quillgraph-request"):
-    """call() with its Spark jobs tagged; the jobs are interrupted when the time is over, and TimeoutError is raised."""
+    """call() with its Spark jobs tagged; the jobs are cancelled when the time is over, and TimeoutError is raised.
+
+    Each call has a tag of its own, so it cancels no other's jobs.  Jobs that call() starts later are cancelled too;
+    Python code between them is not stopped.
+    """
     import threading
+    import uuid
 
-    over = threading.Event()
+    over, done, tag, sc = threading.Event(), threading.Event(), f"{tag}-{uuid.uuid4().hex}", spark.sparkContext
 
     def stop() -> None:
         over.set()
-        spark.interruptTag(tag)
+        while not done.is_set():
+            sc.cancelJobsWithTag(tag)
+            done.wait(0.5)
 
     timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    sc.addJobTag(tag)
     timer.start()
     try:
         return call()
@@ -304,5 +311,6 @@ def with_timeout(spark: SparkSession, call, seconds: float = 60.0, tag: str = "q
             raise TimeoutError(f"no result within {seconds} s") from error
         raise
     finally:
+        done.set()
         timer.cancel()
-        spark.removeTag(tag)
+        sc.removeJobTag(tag)

@@ -1,8 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import context, graph
+from quillgraph.plans import pipelines
 from quillgraph.sources import news, sinks
 from quillgraph.sources import notes as n
 from quillgraph.streaming.refresh import refresh
@@ -44,6 +46,29 @@ def test_chunks_of_a_table(spark):
     assert [r["a"] for r in got] == [i * 36 for i in range(len(got))] and {r["n"] for r in got[:-1]} == {12}
 
 
+def test_chunks_of_sparse_keys(spark):
+    keys = sorted({i * i * 7919 - 10**9 for i in range(5000)} | set(range(300)))
+    rows = spark.createDataFrame([(k,) for k in [*keys, None]], "k long")
+    got = context.numbered_chunks(rows, "k", parts=16).collect()
+    assert {r["k"]: r["chunk"] for r in got} == {k: i // 12 for i, k in enumerate(keys)}
+    assert context.numbered_chunks(rows.filter("false"), "k").count() == 0
+
+
+def test_backlinks_of_a_hub_are_bounded(spark):
+    nodes = spark.createDataFrame([("hub",), ("a",)], "uid string")
+    edges = spark.createDataFrame([(f"s{i:03}", "hub", 0, True) for i in range(250)] + [("a", "gone", 0, False)], "src string, dst string, pos int, resolved boolean")
+    rows = {r["uid"]: r for r in graph.indexed(nodes, edges).collect()}
+    assert rows["hub"]["backlink_count"] == 250 and rows["hub"]["backlink_uids"] == [f"s{i:03}" for i in range(100)]
+    assert (rows["a"]["backlink_count"], rows["a"]["backlink_uids"], rows["a"]["outbound_links"]) == (0, [], ["gone"])
+
+
+def test_timeout_interrupts_jobs(spark):
+    slow = lambda: spark.range(10**15).agg(F.max(F.xxhash64("id"))).collect()
+    with pytest.raises(TimeoutError):
+        pipelines.with_timeout(spark, slow, seconds=2)
+    assert pipelines.with_timeout(spark, lambda: spark.range(5).count(), seconds=60) == 5
+
+
 def test_trace_graph(spark):
     rows = spark.createDataFrame([(0, "A", "X", "r"), (1, "B", "X", "s"), (2, "A", "Y", "t")], "pos int, source_node string, target_concept string, relationship_type string")
     nodes, edges = graph.trace_graph(rows)
