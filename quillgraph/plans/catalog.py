@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,7 @@ from ..functions import text as t
 from ..operators import context, graph, parse, score, stats, validate
 from ..sources import news
 from ..sources import notes as n
+from . import pipelines
 from .table_notes import RELATIONS, table_notes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +51,14 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolve(graph.raw_links(nodes), graph.resolver(nodes))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> pipelines.Index:
+    """Notes and edges without the lists of neighbours, nothing cached."""
+    files = table_notes(spark, sf_dir)
+    nodes = parse.nodes(files)
+    names = graph.resolver(nodes)
+    return pipelines.Index(nodes, graph.resolve(graph.raw_links(nodes), names), names, files)
+
+
 # --- parsing
 
 @_query(f"WITH {RELATIONS} SELECT uid, summary, CASE WHEN uid LIKE 'Supplier%' THEN CASE WHEN CAST(substring(uid, 10) AS INTEGER) % 5 = 0 THEN 'private_conglomerate' ELSE '' END ELSE entity_type END AS entity_type, country, sector, folder_type FROM note")
@@ -68,15 +79,25 @@ def news_backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("canonical", F.size("sources").cast("long").alias("n_sources"), F.col("sources")[0].alias("first_source"))
 
 
-@_query(f"""WITH {RELATIONS} SELECT uid, '- **' || uid || '**' || CASE
+_LINES = f"""WITH {RELATIONS} SELECT uid, '- **' || uid || '**' || CASE
     WHEN uid LIKE 'Customer%' THEN ' [name: ' || uid || ' | sector: ' || sector || ' | entity_type: company] -> Context: name: ' || uid
     WHEN uid LIKE 'Supplier%' THEN ' [description: ' || summary || ' | location: ' || country || '] -> Context: description: ' || summary
-    WHEN uid LIKE 'NATION%' THEN ' [node_type: nation | country: ' || uid || '] -> Context: node_type: nation' ELSE ' -> Context: ' || summary END AS line FROM note""")
+    WHEN uid LIKE 'NATION%' THEN ' [node_type: nation | country: ' || uid || '] -> Context: node_type: nation' ELSE ' -> Context: ' || summary END AS line FROM note"""
+
+
+@_query(_LINES)
 def registry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table_notes(spark, sf_dir).withColumn("uid", t.stem(F.col("file_name")))
     return rows.select("uid", parse.registry_line(F.col("uid"), F.col("raw")).alias("line"))
 
 
+@_query(f"{_LINES} WHERE uid NOT LIKE 'NATION%'")
+def registry_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines on the notes that were not handled; the handled ones are known by name in another spelling."""
+    handled = _table(spark, sf_dir, "nation").select(t.canonical(F.replace(F.lower("n_name"), F.lit("_"), F.lit(" - "))).alias("canonical"))
+    return pipelines.registry(_index(spark, sf_dir), handled)
+
+
 @_query("SELECT page_id, u.pos - 1 AS pos, hrefs[u.pos] AS href FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS hrefs FROM pages), LATERAL (SELECT unnest(range(1, len(hrefs) + 1)) AS pos) u")
 def href_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
@@ -195,6 +216,22 @@ def related_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.related(_edges(spark, sf_dir), None)
 
 
+_SLUG = "regexp_replace(regexp_replace(lower(uid), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@_query(f"""WITH {RELATIONS}, r AS (SELECT * FROM edge WHERE resolved), b AS (SELECT dst AS uid, 0 AS k, pos FROM r WHERE src = 'NATION_3' UNION ALL SELECT src, 1, 0 FROM r WHERE dst = 'NATION_3'),
+    f AS (SELECT uid, min(k) AS k, coalesce(min(pos) FILTER (WHERE k = 0), 0) AS pos FROM b GROUP BY uid)
+    SELECT uid, 'NATION_3' AS src, CASE k WHEN 0 THEN 'outbound' ELSE 'backlink' END AS relation_type, pos, {_SLUG} AS slug, uid AS name, folder_type AS entity_type, substring(summary, 1, 150) AS summary FROM f JOIN note USING (uid)""")
+def entity_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.entity_related(_index(spark, sf_dir), "NATION_3")
+
+
+@_query(f"""WITH {RELATIONS} SELECT uid AS id, {_SLUG} AS slug, replace(replace(uid, '_', ' '), '-', ' ') AS name, folder_type,
+    CASE WHEN uid LIKE 'Customer%' THEN 'Companies/' WHEN uid LIKE 'Supplier%' THEN 'Agencies/' WHEN uid LIKE 'NATION%' THEN 'Places/Nations/' ELSE 'Region/' END || uid || '.md' AS rel_path FROM note""")
+def entity_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.list_entities(_index(spark, sf_dir)).drop("size_bytes")
+
+
 @_query(f"""WITH {RELATIONS} SELECT n.name, n.class, uid FROM (SELECT 'nation ' || n_nationkey AS name, '[POLICY_FRAMEWORK]' AS class FROM nation
     UNION ALL SELECT p_brand, '[MINING_REFINERY]' FROM part UNION ALL SELECT p_name, '[GOVERNMENT_AGENCY]' FROM part UNION ALL SELECT p_type, '[COMMODITY]' FROM part) n LEFT JOIN note ON lower(regexp_replace(uid, '[^a-zA-Z0-9]', '', 'g')) = lower(regexp_replace(n.name, '[^a-zA-Z0-9]', '', 'g'))""")
 def entity_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -370,6 +407,12 @@ def json_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", F.try_variant_get(jsons.lenient_json(_dressed()), "$.k", "bigint").alias("k"))
 
 
+@_query("SELECT event_id, event_id % 5 IN (2, 3) AS is_empty, CASE WHEN event_id % 5 IN (2, 3) THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
+def json_two_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = jsons.json_or_empty(_dressed())
+    return _table(spark, sf_dir, "events").select("event_id", (F.to_json(v) == "{}").alias("is_empty"), F.try_variant_get(v, "$.k", "bigint").alias("k"))
+
+
 @_query("SELECT event_id, event_id % 5 = 4 AS is_object FROM events")
 def json_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", jsons.strict_object(_dressed()).isNotNull().alias("is_object"))
@@ -425,7 +468,29 @@ def opportunity_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- tables
 
-@_query("SELECT coalesce(lang, '') AS country_tag, count(*) AS n FROM documents WHERE lang IS NULL OR lang <> 'fr' GROUP BY 1")
+@_query("""SELECT coalesce(lang, '') AS country_tag, count(*) AS n, count(DISTINCT doc_id) AS n_ids, 0 AS n_without_time FROM documents WHERE lang IS NULL OR lang NOT IN ('fr', 'de') GROUP BY 1
+    UNION ALL SELECT lang, count(*), count(*), 0 FROM labels JOIN documents USING (doc_id) WHERE lang = 'fr' GROUP BY 1""")
 def news_delete_insert_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("country_tag"))
-    return news.without_country(rows, "fr").groupBy(t.or_empty(F.col("country_tag")).alias("country_tag")).agg(F.count("*").alias("n"))
+    """The documents are inserted, two countries deleted, the labelled rows of one inserted again, and all countries counted.
+
+    The table has a name of its own and is dropped when the driver's Python ends.
+    """
+    name = f"news_articles_{uuid.uuid4().hex}"
+    news.create_table(spark, name)
+    atexit.register(_dropped, spark, name)
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select(F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("headline"), t.or_empty(F.col("text")).alias("article_text"), F.col("lang").alias("country_tag"))
+    news.insert(rows, name)
+    for country in ("fr", "de"):
+        news.delete_country(spark, country, name)
+    labelled = _table(spark, sf_dir, "labels").select(F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("_headline"))
+    news.insert(rows.filter("country_tag = 'fr'").join(labelled, F.col("headline") == F.col("_headline")).drop("_headline"), name)
+    counted = spark.table(name).groupBy(t.or_empty(F.col("country_tag")).alias("country_tag"))
+    return counted.agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.count_if(F.col("created_at").isNull()).alias("n_without_time"))
+
+
+def _dropped(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # the session may be gone already
+        return

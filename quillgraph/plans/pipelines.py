@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import budget
@@ -169,18 +169,25 @@ class Cache:
 
 # --- articles
 
-def crawl_bundle(index: Index, uid: str) -> str:
-    """A node's text, those of its outbound nodes in order, and a line on each backlink."""
-    links = graph.related(index.edges, uid).join(index.nodes.select("uid", "raw", parse.header_line(F.col("raw")).alias("h")), "uid").collect()
+def crawl_bundle(index: Index, uid: str, room: int | None = None) -> str:
+    """A node's text, those of its outbound nodes in order, and a line on each backlink by name.
+
+    What is fetched is bounded by ``room`` characters (a prompt's budget): outbound texts as long as they begin within
+    it, and as many backlinks as lines of seven characters fit; a prompt cuts the rest off anyway.
+    """
+    room = budget.characters() if room is None else room
     core = index.nodes.filter(F.col("uid") == uid).select("raw").first()
     if core is None:
         return ""
+    near = graph.related(index.edges, uid)
+    before = F.sum(F.length("raw")).over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))  # one note's own links
+    texts = near.filter("relation_type = 'outbound'").join(index.nodes.select("uid", "raw"), "uid").select("uid", "pos", "raw", F.coalesce(before, F.lit(0)).alias("_before"))
     out = [f"--- CORE NODE: {uid} ---\n{core['raw']}"]
-    out += [f"\n--- OUTBOUND LINKED CONTEXT: {r['uid']} ---\n{r['raw']}" for r in sorted((r for r in links if r["relation_type"] == "outbound"), key=lambda r: r["pos"])]
-    back = sorted(r["src"] for r in index.edges.filter((F.col("dst") == uid) & F.col("resolved")).select("src").distinct().collect())
-    heads = {r["uid"]: r["h"] for r in links}
+    out += [f"\n--- OUTBOUND LINKED CONTEXT: {r['uid']} ---\n{r['raw']}" for r in texts.filter(F.col("_before") <= room).orderBy("pos").collect()]
+    names = index.edges.filter((F.col("dst") == uid) & F.col("resolved")).select(F.col("src").alias("uid")).distinct().orderBy("uid").limit(room // 7 + 1)
+    back = names.join(index.nodes.select("uid", parse.header_line(F.col("raw")).alias("h")), "uid").orderBy("uid").collect()
     if back:
-        out += ["\n--- INBOUND BACKLINKS ---"] + [f"- [[{b}]]" + (f" [{heads[b]}]" if heads.get(b) else "") for b in back]
+        out += ["\n--- INBOUND BACKLINKS ---"] + [f"- [[{r['uid']}]]" + (f" [{r['h']}]" if r["h"] else "") for r in back]
     return "\n".join(out)
 
 
@@ -274,9 +281,13 @@ def get_entity(index: Index, raw_id: str) -> dict | None:
     hit = index.nodes.filter((F.col("uid") == wanted["id"]) | (F.col("slug") == wanted["slug"])).orderBy(F.col("uid") != wanted["id"], "uid").limit(1).collect()
     if not hit:
         return None
+    return hit[0].asDict(recursive=True) | {"related": [r.asDict() for r in entity_related(index, hit[0]["uid"]).collect()]}
+
+
+def entity_related(index: Index, uid: str) -> DataFrame:
+    """A node's neighbours with what is shown of them: outbound ones in link order, then backlinks by name."""
     shown = index.nodes.select("uid", "slug", t.first_filled(F.get_json_object("fm_json", "$.title"), F.col("uid")).alias("name"), F.col("folder_type").alias("entity_type"), F.substring("summary", 1, 150).alias("summary"))
-    near = graph.related(index.edges, hit[0]["uid"]).join(shown, "uid").orderBy(F.col("relation_type") != "outbound", "pos", "uid")
-    return hit[0].asDict(recursive=True) | {"related": [r.asDict() for r in near.collect()]}
+    return graph.related(index.edges, uid).join(shown, "uid").orderBy(F.col("relation_type") != "outbound", "pos", "uid")
 
 
 def search_entities(index: Index, q: str) -> DataFrame:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 SCHEMA = ("id BIGINT, headline STRING NOT NULL, source STRING, published_at TIMESTAMP, article_text STRING NOT NULL, summary STRING, "
           "category STRING, country_tag STRING, created_at TIMESTAMP")
-COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def create_table(spark: SparkSession, name: str = "news_articles") -> None:
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({SCHEMA}) USING parquet")
+    """The table, with a partition for each country, so that a delete by country drops one partition."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({SCHEMA}) USING parquet PARTITIONED BY (country_tag)")
 
 
 def with_ids(rows: DataFrame, after: int = 0) -> DataFrame:
@@ -23,7 +23,8 @@ def insert(rows: DataFrame, name: str = "news_articles") -> None:
     spark = rows.sparkSession
     last = spark.table(name).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     filled = with_ids(rows, last).withColumn("created_at", F.current_timestamp())
-    filled.select([F.col(c) if c in filled.columns else F.lit(None).alias(c) for c in COLUMNS]).write.insertInto(name)
+    order = spark.table(name).columns  # a partitioned table has its partition column last
+    filled.select([F.col(c) if c in filled.columns else F.lit(None).alias(c) for c in order]).write.insertInto(name)
 
 
 def without_country(table: DataFrame, country: str) -> DataFrame:
@@ -32,7 +33,12 @@ def without_country(table: DataFrame, country: str) -> DataFrame:
 
 
 def delete_country(spark: SparkSession, country: str, name: str = "news_articles") -> None:
-    """Rewrite the table without the country's rows, by way of a second table, as a table cannot overwrite itself."""
+    """Drop the country's partition.  A table without such partitions is rewritten by way of a second table."""
+    parts = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    if parts == ["country_tag"]:
+        value = country.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (country_tag = '{value}')")
+        return
     left = f"{name}_left"
     without_country(spark.table(name), country).write.mode("overwrite").saveAsTable(left)
     spark.table(left).write.mode("overwrite").insertInto(name)

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,13 @@ def test_article_end_to_end(spark, index, tmp_path):
     assert "OUTBOUND LINKED CONTEXT: Lithium" in bundle and "[[Ministry of Mines]] [node_type" in bundle
 
 
+def test_bundles_are_bounded(index):
+    whole, small = pipelines.crawl_bundle(index, "Lithium"), pipelines.crawl_bundle(index, "Lithium", room=7)
+    assert "[[Acme Mine]]" in whole and "[[Plain]]" in whole and whole.startswith("--- CORE NODE: Lithium ---")
+    assert "OUTBOUND LINKED CONTEXT: Acme Mine" in small and "[[Plain]]" in small
+    assert "[[Plain]]" not in pipelines.crawl_bundle(index, "Lithium", room=0) and pipelines.crawl_bundle(index, "nobody") == ""
+
+
 def test_opportunity_end_to_end(spark, index, tmp_path):
     board = json.dumps({"opportunities": [{"opportunity_id": "O1", "title": "Acme lithium", "required_missing_nodes": ["ACME LITHIUM", "Smelter"], "capital_flow": {"beneficiary": "Acme"}}, {"id": "O2", "name": "nothing at all zz"}]})
     out = pipelines.run_execute(spark, index, board, "O1", output=str(tmp_path))
@@ -155,3 +163,16 @@ def test_retries_fall_back_but_final_answers_do_not():
 def test_config_lines(tmp_path):
     (tmp_path / ".env").write_text("# no\nA=1\nB = 'two'\n")
     assert load_config(str(tmp_path), {"A": "9"}) == {"A": "9", "B": "two"}
+
+
+@pytest.mark.skipif("NOTES_ROOT" not in os.environ, reason="NOTES_ROOT names no collection of 702 notes")
+def test_counts_of_a_whole_collection(spark):
+    whole = pipelines.build_index(spark, os.environ["NOTES_ROOT"])
+    assert (whole.files.count(), whole.nodes.count(), whole.names.count()) == (702, 700, 701)
+    links = whole.edges.agg(F.count("*").alias("n"), F.count_if("resolved").alias("there"), F.count_if(F.col("resolved") & (F.col("src") == F.col("dst"))).alias("loops")).first()
+    assert tuple(links) == (3267, 1755, 5) and graph.backlinks(whole.edges).count() == 402
+    assert [r["degree"] for r in graph.top_degree(whole.nodes, whole.edges, 3).collect()] == [329, 83, 75]
+    assert [pipelines.search_entities(whole, q).count() for q in ("lithium", "gold", "ministry of mines")] == [18, 63, 54]
+    got = stats.vault_stats(whole.nodes, whole.edges).first()
+    assert (got["commodities_tracked"], got["countries_covered"], got["sectors_mapped"]) == (14, 2, 21)
+    assert {r["folder_type"]: r["count"] for r in whole.nodes.groupBy("folder_type").count().collect()} == {"unknown": 589, "business": 111}

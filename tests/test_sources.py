@@ -27,6 +27,28 @@ def test_news_table(spark, tmp_path):
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_delete_by_country_drops_a_partition(spark):
+    name = "news_articles_by_country"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    news.create_table(spark, name)
+    rows = spark.createDataFrame([("h1", "text", "it's"), ("h2", "text", "bb"), ("h3", "text", None)], "headline string, article_text string, country_tag string")
+    news.insert(rows, name)
+    news.delete_country(spark, "it's", name)
+    news.delete_country(spark, "nowhere", name)
+    assert {(r["headline"], r["country_tag"]) for r in spark.table(name).collect()} == {("h2", "bb"), ("h3", None)}
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_news_over_jdbc(spark):
+    where = {"url": "jdbc:derby:memory:news;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = spark.range(100).select("id", F.concat(F.lit("h"), F.col("id").cast("string")).alias("headline"))
+    news.write_jdbc(rows, **where)
+    news.write_jdbc(rows.select((F.col("id") + 100).alias("id"), "headline"), **where)
+    got = news.read_jdbc(spark, partitions=4, bounds=(0, 200), **where)
+    assert got.rdd.getNumPartitions() == 4 and got.select("id").distinct().count() == 200
+    assert news.read_jdbc(spark, **where).filter("id = 150").first()["headline"] == "h50"
+
+
 def test_article_and_json(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("one\r\ntwo é".encode())
     assert n.read_article(spark, str(tmp_path / "a.txt")).first()["article_text"] == "one\ntwo é"
