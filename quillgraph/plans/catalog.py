@@ -468,7 +468,7 @@ def opportunity_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- tables
 
-@_query("""SELECT coalesce(lang, '') AS country_tag, count(*) AS n, count(DISTINCT doc_id) AS n_ids, 0 AS n_without_time FROM documents WHERE lang IS NULL OR lang NOT IN ('fr', 'de') GROUP BY 1
+@_query("""SELECT coalesce(lang, '') AS country_tag, count(*) AS n, count(DISTINCT doc_id) AS n_ids, CAST(0 AS BIGINT) AS n_without_time FROM documents WHERE lang IS NULL OR lang NOT IN ('fr', 'de') GROUP BY 1
     UNION ALL SELECT lang, count(*), count(*), 0 FROM labels JOIN documents USING (doc_id) WHERE lang = 'fr' GROUP BY 1""")
 def news_delete_insert_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents are inserted, two countries deleted, the labelled rows of one inserted again, and all countries counted.
