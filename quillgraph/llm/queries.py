@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, knn_join, lm_score, mixing, pii, quality_cnn, sentencepiece_codec, simhash, token_counts, toxicity
+from . import (
+    conversation_repair, exact_dedup, knn_join, lm_score, merkle, mixing, partenum, pii, quality_cnn, sentencepiece_codec, simhash,
+    token_counts, toxicity)
 from .common import remainder
 
 #: Where the vocabulary of the public tokenizer lies; a parameter of the environment, read on the driver only.
@@ -85,6 +87,21 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    chosen = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 == 0
+    return merkle.manifest(docs, chosen, {"n_chars": docs["n_chars"].cast("decimal(20,0)") + 1})
+
+
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_groups(_table(spark, sf_dir, "documents"), least=(4, 5), size=5)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(
+        _table(spark, sf_dir, "conversations"), lambda conv, turn: F.crc32(F.concat(conv, F.lit(":"), turn).cast("binary")) % 20)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -97,12 +114,21 @@ def queries() -> dict[str, Query]:
         "op8_knn_join": op8_knn_join,
         "op9_toxicity": op9_toxicity,
         "op10_lm_score": op10_lm_score,
+        "op11_merkle": op11_merkle,
+        "op12_ngram_jaccard": op12_ngram_jaccard,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
 #: A-Z to a-z and nothing else, as translate() states it.
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: The fields of a leaf, and CRC-32 of an ASCII text bit by bit.
+_FIELDS = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "{n}", "text"))
+_CRC = (
+    "xor(list_reduce(flatten(list_transform(string_split({x}, ''), lambda ch: [ascii(ch), 0, 0, 0, 0, 0, 0, 0])), "
+    "lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295), 4294967295)")
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -118,4 +144,36 @@ def oracle_sql() -> dict[str, str]:
                        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
                  r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
             SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+        "op11_merkle": f"""
+            WITH RECURSIVE
+              d AS (SELECT doc_id, lang, sha256({_FIELDS.format(n="n_chars")}) AS leaf,
+                           CASE WHEN {_CRC.format(x="CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN sha256({_FIELDS.format(n="n_chars + 1")}) END AS bad FROM documents),
+              l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS k FROM d),
+              n AS (SELECT lang, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS cnt FROM l UNION ALL
+                    SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (cnt + 1) // 2 FROM n WHERE cnt > 1 GROUP BY lang, level, pos // 2, cnt),
+              s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM n WHERE cnt = 1),
+              t AS (SELECT 0 AS level, pos, subroot AS h, count(*) OVER () AS cnt FROM s UNION ALL
+                    SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (cnt + 1) // 2 FROM t WHERE cnt > 1 GROUP BY level, pos // 2, cnt),
+              low AS (SELECT l.k, string_agg(n.h, '' ORDER BY n.level) AS p FROM l JOIN n ON l.lang IS NOT DISTINCT FROM n.lang AND n.cnt > 1 AND n.pos = xor(l.pos >> n.level, 1) GROUP BY l.k),
+              high AS (SELECT s.pos AS tree, string_agg(t.h, '' ORDER BY t.level) AS p FROM s JOIN t ON t.cnt > 1 AND t.pos = xor(s.pos >> t.level, 1) GROUP BY s.pos),
+              c AS (SELECT lang, level, max(cnt) AS cnt FROM n GROUP BY ALL), e AS (SELECT level, max(cnt) AS cnt FROM t GROUP BY ALL),
+              a AS (SELECT k, lang, 0 AS level, pos, coalesce(bad, leaf) AS h FROM l UNION ALL
+                    SELECT a.k, a.lang, a.level + 1, a.pos // 2, sha256(CASE WHEN a.pos % 2 = 1 THEN n.h || a.h ELSE a.h || coalesce(n.h, '') END)
+                    FROM a JOIN c ON a.lang IS NOT DISTINCT FROM c.lang AND a.level = c.level AND c.cnt > 1
+                    LEFT JOIN n ON a.lang IS NOT DISTINCT FROM n.lang AND a.level = n.level AND n.pos = xor(a.pos, 1)),
+              b AS (SELECT a.k, 0 AS level, s.pos, a.h FROM a JOIN c ON a.lang IS NOT DISTINCT FROM c.lang AND a.level = c.level AND c.cnt = 1 JOIN s ON a.lang IS NOT DISTINCT FROM s.lang UNION ALL
+                    SELECT b.k, b.level + 1, b.pos // 2, sha256(CASE WHEN b.pos % 2 = 1 THEN t.h || b.h ELSE b.h || coalesce(t.h, '') END)
+                    FROM b JOIN e ON b.level = e.level AND e.cnt > 1 LEFT JOIN t ON b.level = t.level AND t.pos = xor(b.pos, 1))
+            SELECT l.doc_id, l.leaf, s.subroot, t.h AS root, sha256(coalesce(low.p, '') || coalesce(high.p, '')) AS proof_sha256, b.h AS folded_root, b.h = t.h AS verified
+            FROM l JOIN s ON l.lang IS NOT DISTINCT FROM s.lang JOIN t ON t.cnt = 1 LEFT JOIN low ON l.k = low.k LEFT JOIN high ON s.pos = high.tree
+            JOIN b ON b.k = l.k JOIN e ON b.level = e.level AND e.cnt = 1""",
+        "op12_ngram_jaccard": f"""
+            WITH RECURSIVE
+              w AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOW}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+              s AS (SELECT k, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+              u AS (SELECT k, len(s) AS n, unnest(s) AS x FROM s),
+              p AS (SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.x = b.x AND a.k <> b.k GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+              r AS (SELECT k AS a, k AS b FROM s UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+            SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
+            FROM s JOIN (SELECT r.a, min(o.doc_id) AS component_id FROM r JOIN s o ON r.b = o.k GROUP BY r.a) c ON s.k = c.a""",
     }
