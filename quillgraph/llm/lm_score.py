@@ -15,18 +15,15 @@ of the model is collected or broadcast.  Texts are coded once into chunks of tok
 different words and pairs, dealt by ranges of their hashes to buckets that add up the learning counts and answer every
 chunk in its own order.  Longer n-grams are asked for only where both their parts occur twice.  The first chunk that
 holds an arc adds its share to the arc's context; these sums are asked for in the next round and give the backoff
-weights.  In the last round every chunk walks its tokens through the states, order by order.  What is shuffled is one
+weights.  In the last round every chunk builds the part of the automaton that its texts can reach (its states, arcs,
+failure arcs and their weights) and traverses it, text by text from left to right.  What is shuffled is one
 packed row for each chunk and bucket, never a text or its codes; both grow in number, not in size, with the corpus.
-
-learn() and score_texts() are the same model as an automaton on the driver, for corpora whose n-grams fit there; their
-shares bound it for others.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from itertools import count
 
 import numpy as np
@@ -44,237 +41,10 @@ END = b"\n"  #: the end token; no word holds white space
 DISCOUNT = 0.75
 
 
-@dataclass
-class Automaton:
-    """States, arcs and failure arcs.  State 0 is the root; words are numbered from 0 in order of their bytes."""
-
-    total: int  # N
-    distinct: int  # V
-    words: dict[bytes, int]
-    counts: np.ndarray  # of the numbered words
-    contexts: dict[tuple[int, ...], int] = field(default_factory=lambda: {(): 0})
-    suffix: list[int] = field(default_factory=lambda: [0])
-    backoff: list[float] = field(default_factory=lambda: [0.0])  # log10
-    arcs: dict[int, float] = field(default_factory=dict)  # state * len(words) + word -> log10 P
-    moves: dict[int, int] = field(default_factory=dict)  # state * len(words) + word -> longest known context
-
-    @property
-    def norm(self) -> float:
-        return float(np.log10(self.total + 0.5 * (self.distinct + 1)))
-
-    def base(self) -> np.ndarray:
-        return np.log10(self.counts + 0.5) - self.norm
-
-
-def _runs(ids: np.ndarray, order: int) -> np.ndarray:
-    """Rows of ``order`` successive word numbers, all of them known (-1: unknown or another text)."""
-    if len(ids) < order:
-        return np.zeros((0, order), np.int64)
-    rows = np.lib.stride_tricks.sliding_window_view(ids, order)
-    return rows[(rows >= 0).all(axis=1)]
-
-
-def count_words(docs: DataFrame, text_col: str = "text", most: int = 200_000) -> DataFrame:
-    """Columns word (binary) and n: every token of every text, the end tokens too; counted in tasks before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-            held.clear()
-            return out
-
-        for batch in batches:
-            for part in pieces(batch, 1 << 20):
-                for text in lowered(part.column("body")):
-                    held.update(text.split())
-                held[END] += part.num_rows
-                if len(held) > most:
-                    yield flush()
-        if held:
-            yield flush()
-
-    source = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    return source.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _numbers(model: Automaton, bodies: list[bytes]) -> np.ndarray:
-    """Word numbers of the texts one after another, each with its end and a -1 after it."""
-    get, out = model.words.get, []
-    end = model.words.get(END, -1)
-    for text in bodies:
-        out += [get(w, -1) for w in text.split()]
-        out += (end, -1)
-    return np.array(out, np.int64)
-
-
-def _count_arcs(docs: DataFrame, model: Automaton, order: int, contexts: list[tuple[int, ...]], text_col: str) -> DataFrame:
-    """Columns context, word and n of all n-grams of this order whose context is among ``contexts``."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.words, sorted(contexts)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = sent.value
-        small = Automaton(0, 0, words, np.zeros(0))
-        size = len(words)
-        code = lambda rows: rows @ (np.int64(size) ** np.arange(rows.shape[1] - 1, -1, -1, dtype=np.int64))
-        keys = code(np.array(known, np.int64).reshape(len(known), order - 1))
-        ranks = np.argsort(keys)
-        keys = keys[ranks]
-        keep: list[np.ndarray] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate(keep), return_counts=True)
-            keep.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs // size), pa.array(pairs % size), pa.array(n.astype(np.int64))], names=["context", "word", "n"])
-
-        for batch in batches:
-            for part in pieces(batch, 1 << 20):
-                rows = _runs(_numbers(small, lowered(part.column("body"))), order)
-                if not len(rows):
-                    continue
-                c = code(rows[:, :-1])
-                at = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
-                hit = keys[at] == c
-                keep.append(ranks[at[hit]] * size + rows[hit, -1])
-                held += int(hit.sum())
-                if held > 4_000_000:
-                    yield flush()
-                    held = 0
-        if keep:
-            yield flush()
-
-    source = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    return source.mapInArrow(run, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
-
-
-def learn(docs: DataFrame, counts: DataFrame, order: int = 3, word_share: float = 2e-6, context_share: float = 1e-4, arc_share: float = 4e-6,
-          text_col: str = "text") -> Automaton:
-    """The automaton of the learning rows ``docs`` whose token counts are ``counts`` (word, n).
-
-    At most 1/word_share words, 1/context_share contexts an order and 1/arc_share arcs an order are collected: no
-    more can hold that share of all tokens.  Arcs need two occurrences.  Without rows the automaton is the root.
-    """
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = counts.filter(F.col("n") >= F.lit(word_share * total)).collect() if total else []
-    listed = sorted((bytes(r["word"]), r["n"]) for r in rows)
-    model = Automaton(total, distinct, {w: i for i, (w, _) in enumerate(listed)}, np.array([n for _, n in listed], np.int64))
-    if not listed:
-        return model
-    base, size = model.base(), len(listed)
-    ends = model.words.get(END, -1)
-    contexts = {(i,): int(n) for i, n in enumerate(model.counts) if n >= context_share * total and i != ends}
-    gathered: list[dict[tuple[int, ...], list[tuple[int, int]]]] = []
-    for k in range(2, order + 1):
-        if not contexts or float(size) ** (k - 1) >= 2.0 ** 62:
-            break
-        names = sorted(contexts)
-        found = _count_arcs(docs, model, k, names, text_col).filter(F.col("n") >= F.lit(max(2.0, arc_share * total))).collect()
-        by: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for r in found:
-            by.setdefault(names[r["context"]], []).append((r["word"], r["n"]))
-        for h in sorted(by):
-            state = model.contexts[h] = len(model.suffix)
-            held = contexts[h]
-            model.backoff.append(float(np.log10(max(1e-12, 1 - sum((n - DISCOUNT) / held for _, n in by[h])))))
-            model.suffix.append(model.contexts.get(h[1:], 0))
-            for w, n in sorted(by[h]):
-                lower = 10 ** _probability(model, base, model.suffix[state], w, size)
-                model.arcs[state * size + w] = float(np.log10((n - DISCOUNT) / held + 10 ** model.backoff[state] * lower))
-        gathered.append(by)
-        contexts = {(*h, w): n for h, arcs in by.items() for w, n in arcs if n >= context_share * total and w != ends}
-    longest = lambda h: next(model.contexts[h[i:]] for i in range(len(h) + 1) if h[i:] in model.contexts)
-    for by in gathered:
-        for h, arcs in by.items():
-            for w, _ in arcs:
-                model.moves[model.contexts[h] * size + w] = 0 if w == ends else longest((*h, w)[-(order - 1):])
-    return model
-
-
-def _probability(model: Automaton, base: np.ndarray, state: int, word: int, size: int) -> float:
-    weight = 0.0
-    while state:
-        arc = model.arcs.get(state * size + word)
-        if arc is not None:
-            return weight + arc
-        weight += model.backoff[state]
-        state = model.suffix[state]
-    return weight + float(base[word])
-
-
-def traverse(model: Automaton, tables: tuple[list[float], list[int]], text: bytes) -> tuple[int, int, float, float, Counter]:
-    """One pass over a lower-cased text: (tokens, numbered tokens, their base log10, log10 by the automaton, other words).
-
-    The other words' base log10 is missing from both sums; they move the automaton to the root.
-    """
-    base, roots = tables
-    get, arcs, moves, backoff, suffix, size = model.words.get, model.arcs, model.moves, model.backoff, model.suffix, len(model.words)
-    rare: list[bytes] = []
-    state, tokens, known, plain, score = 0, 0, 0, 0.0, 0.0
-    for word in [*text.split(), END]:
-        tokens += 1
-        w = get(word)
-        if w is None:
-            rare.append(word)
-            while state:
-                score += backoff[state]
-                state = suffix[state]
-            continue
-        known += 1
-        plain += base[w]
-        while state:
-            key = state * size + w
-            if key in arcs:
-                score += arcs[key]
-                state = moves[key]
-                break
-            score += backoff[state]
-            state = suffix[state]
-        else:
-            score += base[w]
-            state = roots[w]
-    return tokens, known, plain, score, Counter(rare)
-
-
-def score_texts(docs: DataFrame, model: Automaton, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, n_known, train_tokens, base_score and score for every row.
-
-    Null and empty texts hold the end token alone.  Scores are log10.  Repeated rows are scored each; null ids stay
-    null; an empty table gives an empty result; without learning rows every token has probability one.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        base = m.base().tolist()
-        roots = [m.contexts.get((i,), 0) for i in range(len(base))]
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
-        for batch in batches:
-            for part in pieces(batch, 2 << 20):
-                found = [traverse(m, (base, roots), t) for t in lowered(part.column("body"))]
-                rare = pa.array([[{"word": w, "k": k} for w, k in f[4].items()] for f in found], kind)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), *(pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))), rare],
-                    names=["id", "tokens", "known", "plain", "score", "rare"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, tokens long, known long, plain double, score double, rare array<struct<word:binary,k:long>>"
-    passed = materialise(texts(docs, id_col, text_col).mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "traversed")
-    asked = passed.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
-    met = asked.join(counts, "word", "left")
-    sums = materialise(met.select("row", F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("k"), (F.col("k") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(model.norm))).alias("p"))
-                       .groupBy("row").agg(F.sum("k").alias("more_known"), F.sum("p").alias("more")), "rare")
-    more = F.coalesce("more", F.lit(0.0))
-    return passed.drop("rare").join(sums, "row", "left").select(
-        F.col("id").alias(id_col), F.col("tokens").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"), (F.col("plain") + more).alias("base_score"), (F.col("score") + more).alias("score"))
-
-
 # --- all n-grams, by questions and answers between chunks and buckets
 
 _KEYS = 2_000_000  #: questions a bucket
-_SPARE_BITS = 20  #: a key collides with any other with a chance of 2**-20 at most
+_SPARE_BITS = 20  #: a key of two tokens or more collides with any other with a chance of 2**-20 at most; tokens have 64 bits
 _CODED = "rows array<long>, ids array<{kind}>, learn array<boolean>, sizes array<int>, skips array<int>, words binary, codes binary, tokens long, learnt long"
 _ASKED = "kind int, bucket int, chunk long, keys binary, n binary"
 _ANSWERED = "kind int, bucket int, chunk long, n binary, mine binary, words long"
@@ -375,6 +145,7 @@ class _Chunk:
         self.rank = {1: np.argsort(self.hashes[1])}
         self.n: dict[int, np.ndarray] = {}
         self.mine: dict[int, np.ndarray] = {}
+        self.last: dict[int, np.ndarray] = {}
         self.arcs: dict[int, np.ndarray] = {}
 
     def grow(self, k: int) -> None:
@@ -389,6 +160,7 @@ class _Chunk:
         self.at[k] = np.full(len(self.codes), -1, np.int64)
         self.at[k][i] = found
         self.context[k], last = np.divmod(different, max(1, len(self.words)))
+        self.last[k] = last
         self.hashes[k] = _mix(self.hashes[k - 1][self.context[k]] * np.uint64(0x9E3779B97F4A7C15) + (self.words[last] ^ np.uint64(k)))
         self.rank[k] = np.argsort(self.hashes[k])
 
@@ -404,12 +176,17 @@ class _Chunk:
         some &= self.n[k] >= 2
         return self.rank[k][some[self.rank[k]]]
 
+    def suffixes(self, k: int) -> np.ndarray:
+        """Of every n-gram of order k the one of order k - 1 that it ends with."""
+        out, i = np.zeros(len(self.hashes[k]), np.int64), np.flatnonzero(self.at[k] >= 0)
+        out[self.at[k][i]] = self.at[k - 1][i]
+        return out
+
     def shares(self, k: int) -> np.ndarray:
         """4 * (n - DISCOUNT), a whole number, of the arcs of order k + 1 that are this chunk's to report, summed by context."""
         arcs = self.mine[k + 1] & (self.n[k + 1] >= 2)
         return np.bincount(self.context[k + 1][arcs], weights=4 * self.n[k + 1][arcs] - int(4 * DISCOUNT), minlength=len(self.hashes[k])).astype(np.int64)
 
-
     def own(self, k: int) -> np.ndarray:
         """n - DISCOUNT of the arcs of order k + 1 that this chunk has met, summed by context."""
         arcs = self.n[k + 1] >= 2
@@ -423,6 +200,93 @@ class _Chunk:
         return some[(self.n[k] - met >= 2)[some] | (self.shares(k)[some] > 0)]
 
 
+class Automaton:
+    """The states that a chunk's texts can reach, from the corpus's counts of their n-grams.
+
+    State 0 is the root.  Every context that occurs twice is a state.  An arc (state, word) carries the log10 of the
+    word's smoothed probability and leads to the longest context that is a state; the root's arcs are the words' base
+    probabilities.  A state without an arc for a word passes on to its longest suffix by its failure arc, which carries
+    the log10 of the backoff weight.
+    """
+
+    def __init__(self, c: _Chunk, order: int, norm: float) -> None:
+        self.words, self.lead = max(1, len(c.words)), order - 1
+        self.base = np.log10((c.n[1] + 0.5) / norm)
+        p, number, states = 10 ** self.base, {}, 1
+        fail, back, keys, arcs, to = [np.zeros(1, np.int64)], [np.zeros(1)], [], [], []
+        self.met = [np.zeros(1, np.int64)]  # states that a token follows in the chunk: only their weights are known
+        for k in range(1, order + 1):
+            suffix = c.suffixes(k) if k > 1 else None
+            twice = np.flatnonzero(c.n[k] >= 2)
+            if k < order:
+                number[k] = np.zeros(len(c.n[k]), np.int64)
+                number[k][twice] = states + np.arange(len(twice))
+                states += len(twice)
+                fail.append(number[k - 1][suffix[twice]] if k > 1 else np.zeros(len(twice), np.int64))
+                met = c.contexts(k)
+                self.met.append(number[k][met])
+            if k > 1:
+                context, word = c.context[k][twice], c.last[k][twice]
+                own = np.zeros(len(c.n[k]))
+                own[twice] = (c.n[k][twice] - DISCOUNT) / c.n[k - 1][context] + weight[context] * p[suffix[twice]]
+                p = own
+                keys.append(number[k - 1][context] * self.words + word)
+                arcs.append(np.log10(p[twice]))
+                to.append(number[k][twice] if k < order else number[k - 1][suffix[twice]])
+            if k < order:
+                weight = np.ones(len(c.n[k]))
+                weight[met] = np.maximum(1e-12, 1 - c.arcs[k][met] / c.n[k][met])
+                back.append(np.log10(weight[twice]))
+        self.fail, self.back, self.met = np.concatenate(fail), np.concatenate(back), np.concatenate(self.met)
+        self.start = number[1] if order > 1 else np.zeros(len(c.words), np.int64)
+        keys, arcs, to = (np.concatenate([*x, np.zeros(0, t)]) for x, t in ((keys, np.int64), (arcs, float), (to, np.int64)))
+        by = np.argsort(keys)
+        self.keys, self.arcs, self.to = np.append(keys[by], -1), np.append(arcs[by], 0.0), np.append(to[by], 0)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after one word each, and the log10 that was accumulated: along failure arcs until an arc fits."""
+        score, after, left = np.zeros(len(word)), np.zeros(len(word), np.int64), np.arange(len(word))
+        while len(left):
+            s, w = state[left], word[left]
+            key = s * self.words + w
+            at = np.searchsorted(self.keys[:-1], key)
+            hit = self.keys[at] == key
+            done = left[hit]
+            score[done] += self.arcs[at[hit]]
+            after[done] = self.to[at[hit]]
+            root = ~hit & (s == 0)
+            done = left[root]
+            score[done] += self.base[w[root]]
+            after[done] = self.start[w[root]]
+            left, s = left[~hit & ~root], s[~hit & ~root]
+            score[left] += self.back[s]
+            state = state.copy()
+            state[left] = self.fail[s]
+        return after, score
+
+    def traverse(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int = 256) -> np.ndarray:
+        """The log10 of every token of texts from left to right, many texts side by side.
+
+        A long text is taken in stretches of ``most`` tokens; a stretch begins lead tokens early, after which the state
+        is what the whole text's traversal carries there, as no context is longer.
+        """
+        cuts = -(-sizes // most)
+        text = np.repeat(np.arange(len(sizes)), cuts)
+        begin = (np.arange(len(text)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * most
+        lead = np.minimum(begin, self.lead)
+        first, length = starts[text] + begin - lead, np.minimum(most, sizes[text] - begin) + lead
+        by = np.argsort(-length, kind="stable")
+        first, length, lead = first[by], length[by], lead[by]
+        out, state = np.zeros(len(codes)), np.zeros(len(by), np.int64)
+        for t in range(int(length.max(initial=0))):
+            live = int(np.searchsorted(-length, -t, side="left"))  # the stretches longer than t
+            at = first[:live] + t
+            state[:live], score = self.step(state[:live], codes[at])
+            told = lead[:live] <= t
+            out[at[told]] = score[told]
+        return out
+
+
 def _questions(c: _Chunk, kind: int, hashes: np.ndarray, n: np.ndarray, bits: int, buckets: int) -> list[dict]:
     """Rows of sorted keys of so many bits, each range of keys for one bucket; keys are sent as steps from one to the next."""
     keys = hashes >> np.uint64(64 - bits)
@@ -503,7 +367,8 @@ def lm_scores(docs: DataFrame, learning: Column, order: int = 3, id_col: str = "
                 for k in range(1, min(order, 2) + 1):
                     if k > 1:
                         c.grow(k)
-                    yield pa.RecordBatch.from_pylist(_questions(c, 2 * k, c.hashes[k][c.rank[k]], c.counts(k)[c.rank[k]], bits, buckets), _ASKED_ARROW)
+                    wide = 64 if k == 1 else bits  # counts of tokens are exact, whatever the corpus
+                    yield pa.RecordBatch.from_pylist(_questions(c, 2 * k, c.hashes[k][c.rank[k]], c.counts(k)[c.rank[k]], wide, buckets), _ASKED_ARROW)
 
     def later_round(k: int):
         """Asks for the arcs' sums of the contexts of order k and, below the highest order, for the counts of order k + 2."""
@@ -529,19 +394,12 @@ def lm_scores(docs: DataFrame, learning: Column, order: int = 3, id_col: str = "
     def last_round(left: pa.Table, right: pa.Table) -> pa.Table:
         c = _restored(left, right, order)
         base = (c.n[1][c.codes] + 0.5) / norm
-        p = base.copy()
-        for k in range(2, order + 1):
-            own = np.append(np.where(c.n[k] >= 2, (c.n[k] - DISCOUNT) / np.maximum(c.n[k - 1][c.context[k]], 1), 0.0), 0.0)  # the last: no arc
-            back = np.append(np.ones(len(c.n[k - 1])), 1.0)
-            met = c.contexts(k - 1)
-            back[met] = np.maximum(1e-12, 1 - c.arcs[k - 1][met] / c.n[k - 1][met]) if len(met) else 1.0
-            i = np.flatnonzero(c.age >= k - 1)
-            p[i] = own[c.at[k][i]] + back[c.at[k - 1][i - 1]] * p[i]
+        score = Automaton(c, order, norm).traverse(c.codes, c.starts, c.sizes)
         add = lambda x: np.add.reduceat(np.where(c.fresh, x, 0), c.starts)
         row = left.select(["rows", "ids"]).to_pylist()[0]
         return pa.table({
-            "row": pa.array(row["rows"], pa.int64()), "id": pa.array(row["ids"], left.schema.field("ids").type.value_type), "n_tokens": add(np.ones(len(p), np.int64)),
-            "n_known": add((c.n[1][c.codes] > 0).astype(np.int64)), "base_score": add(np.log10(base)), "score": add(np.log10(p))})
+            "row": pa.array(row["rows"], pa.int64()), "id": pa.array(row["ids"], left.schema.field("ids").type.value_type), "n_tokens": add(np.ones(len(base), np.int64)),
+            "n_known": add((c.n[1][c.codes] > 0).astype(np.int64)), "base_score": add(np.log10(base)), "score": add(score)})
 
     scored = coded.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(last_round, f"row long, id {kind}, n_tokens long, n_known long, base_score double, score double")
     return scored.groupBy("row").agg(F.first("id").alias(id_col), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")]).select(

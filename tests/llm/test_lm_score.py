@@ -39,32 +39,56 @@ def test_base_scores_match_brute_force_and_model_does_better(spark):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
-def test_every_state_sums_to_one(spark):
-    docs = spark.createDataFrame(rows(), "doc_id long, text string")
-    counts = lm_score.count_words(docs).cache()
-    model = lm_score.learn(docs, counts, order=3, word_share=0.0, context_share=0.0, arc_share=0.0)
-    base, size = model.base(), len(model.words)
-    assert len(model.suffix) > 10
-    unseen = 0.5 / (model.total + 0.5 * (model.distinct + 1))
-    for state in range(len(model.suffix)):
-        whole = sum(10 ** lm_score._probability(model, base, state, w, size) for w in range(size))
-        rest, s = unseen, state
-        while s:
-            rest *= 10 ** model.backoff[s]
-            s = model.suffix[s]
-        assert whole + rest == pytest.approx(1)
+def whole_chunk(texts, order):
+    """One chunk of all texts with the counts of a corpus of just these texts."""
+    grams, sizes = Counter(), [len(t) for t in texts]
+    index = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
+    c = lm_score._Chunk({
+        "words": np.array([lm_score.xxhash.xxh64_intdigest(w) for w in index], np.uint64).tobytes(), "codes": lm_score._pack(np.array([index[w] for t in texts for w in t])),
+        "sizes": sizes, "skips": [0] * len(texts), "learn": [True] * len(texts), "chunk": 0})
+    for t in texts:
+        grams.update(tuple(t[i:i + k]) for k in range(1, order + 1) for i in range(len(t) - k + 1))
+    for k in range(1, order + 1):
+        if k > 1:
+            c.grow(k)
+        c.n[k] = c.counts(k)
+    for k in range(1, order):
+        c.arcs[k] = c.own(k)
+    return c, index, grams
 
 
-def test_small_shares_keep_rare_words_in_the_join(spark):
-    docs = spark.createDataFrame(rows(), "doc_id long, text string")
-    counts = lm_score.count_words(docs).cache()
-    full = {r["doc_id"]: r for r in lm_score.score_texts(docs, lm_score.learn(docs, counts, 1), counts).collect()}
-    few = lm_score.learn(docs, counts, 1, word_share=0.2)
-    assert len(few.words) <= 5
-    part = {r["doc_id"]: r for r in lm_score.score_texts(docs, few, counts).collect()}
-    for i in full:
-        assert part[i]["base_score"] == pytest.approx(full[i]["base_score"]) and part[i]["n_known"] == full[i]["n_known"]
-        assert part[i]["score"] == pytest.approx(full[i]["score"])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_every_state_sums_to_one(order):
+    c, index, grams = whole_chunk([tokens(x) for _, x in rows()], order)
+    total = sum(n for g, n in grams.items() if len(g) == 1)
+    norm = total + 0.5 * (len(index) + 1)
+    model = lm_score.Automaton(c, order, norm)
+    assert len(model.fail) == 1 + sum(n >= 2 for g, n in grams.items() if len(g) < order)
+    words = np.arange(len(index))
+    for state in model.met.tolist():
+        whole = 10 ** model.step(np.full(len(words), state), words)[1]
+        rest, s = 0.5 / norm, state
+        while s:
+            rest *= 10 ** model.back[s]
+            s = model.fail[s]
+        assert whole.sum() + rest == pytest.approx(1)
+
+
+def test_traversal_carries_the_longest_context_and_stretches_change_nothing():
+    texts = [tokens(x) for _, x in rows()]
+    c, index, _ = whole_chunk(texts, 3)
+    model = lm_score.Automaton(c, 3, 1000.0)
+    whole = model.traverse(c.codes, c.starts, c.sizes, most=1 << 20)
+    for most in (1, 2, 3, 7):
+        assert model.traverse(c.codes, c.starts, c.sizes, most) == pytest.approx(whole)
+    one, states = [], 0
+    for start, size in zip(c.starts, c.sizes):
+        state = np.zeros(1, np.int64)
+        for i in range(start, start + size):
+            state, score = model.step(state, c.codes[i:i + 1])
+            one.append(score[0])
+            states += state[0] > len(index)
+    assert one == pytest.approx(whole) and states > 1000  # contexts of two tokens are met
 
 
 def test_empty_tables_and_no_learning_rows(spark):
@@ -74,21 +98,17 @@ def test_empty_tables_and_no_learning_rows(spark):
 
 
 def test_all_ngrams_that_occur_twice_count_whatever_the_corpus(spark):
-    """As by the automaton without shares; a passage that is rare in a larger corpus is no row of single words."""
+    """As by a dictionary model; a passage that is rare in a larger corpus is no row of single words."""
     passage = " ".join(f"rare{i}" for i in range(30))
     filler = [(1000 + i, " ".join(f"w{(i * 31 + j * j * 7) % 997}" for j in range(500))) for i in range(80)]
     docs = spark.createDataFrame([*rows(), *filler, (200, passage), (201, passage), (202, "held out " + passage)], "doc_id long, text string")
     learning = F.coalesce(F.col("doc_id"), F.lit(0)) != 202
     got = {r["doc_id"]: r for r in lm_score.lm_scores(docs, learning).collect()}
-    counts = lm_score.count_words(docs.filter(learning)).cache()
-    whole = lm_score.learn(docs.filter(learning), counts, 3, 0.0, 0.0, 0.0)
-    for r in lm_score.score_texts(docs, whole, counts).collect():
-        g = got.pop(r["doc_id"])
-        assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == (r["n_tokens"], r["n_known"], r["train_tokens"])
-        assert g["score"] == pytest.approx(r["score"]) and g["base_score"] == pytest.approx(r["base_score"])
-        if r["doc_id"] == 202:
-            assert g["score"] > g["base_score"] + 60
-    assert not got
+    texts = {r["doc_id"]: tokens(r["text"]) for r in docs.collect()}
+    want = brute_scores(list(texts.values()), [i != 202 for i in texts], 3)
+    for i, p in zip(texts, want):
+        assert got[i]["score"] == pytest.approx(p, rel=1e-9)
+    assert got[202]["score"] > got[202]["base_score"] + 60
 
 
 def test_long_texts_are_cut_without_loss(spark):
