@@ -6,11 +6,12 @@ rate), meet their targets.  The rates solve the least-squares problem
 
     minimise  sum_k (sum_d tokens_d p_dk rate_d - target_k)^2,      0 <= rate <= most,
 
-by projected gradient from rates of one.  A step moves every rate along its own posterior and is scaled by the inverse
-of the k x k Gram matrix sum(tokens p p') over the rows that no bound holds, so that a step without a row at its bound
-meets the targets at once; rates stay as near to one as the targets let them.  An iteration is one aggregate over all
-documents that returns k + k * k numbers; a document's rate is the replay of the steps (k numbers each) on its own
-posterior, so nothing that grows with the corpus is collected or carried from step to step.
+and, among its solutions, are the nearest to one (a term RIDGE times smaller than the corpus sees to that).  The solver is a
+lazily projected gradient method: gradients, which are combinations of a row's own posterior, add up in one vector of k
+numbers, and a row's rate is the projection of one minus that combination, so nothing that grows with the corpus is
+collected or carried from step to step.  Steps are scaled by the inverse of the k x k Gram matrix sum(tokens p p') over
+the rows that no bound holds, taken if they lower the problem's dual (whose gradient is the residual), and end when the
+optimality condition holds.  An iteration is one aggregate over all documents that returns 1 + k + k * k numbers.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import lowered, materialise, pieces, texts
 
 SPACE_BITS = 16
+RIDGE = 1e-9  #: weight of staying near to one, as a share of the corpus
 
 
 def grams(text: bytes, flags: np.ndarray) -> np.ndarray:
@@ -129,63 +131,102 @@ def _posteriors(column: pa.Array, k: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
 
 
-def totals(members: DataFrame, steps: Steps, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of each domain at these rates, and the Gram matrix of the rows that moved freely.
+def _sums(members: DataFrame, steps: Steps, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expected tokens of each domain at these rates, the Gram matrix of the rows that moved freely, and the integral of
+    the projection up to each row's unprojected rate, summed.
 
     The steps travel with the function, not in the plan's text, so every iteration runs the same compiled code.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(k + k * k)
+        sums = np.zeros(k + k * k + 1)
         for batch in batches:
             p, tokens = _posteriors(batch.column("p"), k), batch.column("tokens").to_numpy().astype(float)
             rate, free = steps.replay(p)
+            wanted = np.ones(len(p)) - sum((p @ push for push in steps.pushes), np.zeros(len(p)))
             sums[:k] += (tokens * rate) @ p
-            sums[k:] += (p[free] * tokens[free, None]).T.dot(p[free]).ravel()
+            sums[k:-1] += (p[free] * tokens[free, None]).T.dot(p[free]).ravel()
+            sums[-1] += tokens @ (rate * wanted - rate * rate / 2)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["at", "x"])
 
-    found = np.zeros(k + k * k)
+    found = np.zeros(k + k * k + 1)
     for r in members.select("tokens", "p").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
         found[r["at"]] = r["x"]
-    return found[:k], found[k:].reshape(k, k)
+    return found[:k], found[k:-1].reshape(k, k), float(found[-1])
+
+
+def totals(members: DataFrame, steps: Steps, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens of each domain at these rates, and the Gram matrix of the rows that moved freely."""
+    return _sums(members, steps, k)[:2]
+
 
+def least_squares(sums, k: int, ways: np.ndarray, target: np.ndarray, most: float, start: np.ndarray | None = None, iterations: int = 100) -> np.ndarray:
+    """The vector x whose rates clip(1 - p . (x @ ways), 0, most) bring ways @ totals nearest to target.
 
-def solve(members: DataFrame, wanted: np.ndarray, budget: float | None = None, most: float = np.inf, iterations: int = 40, tolerance: float = 1e-3) -> Steps:
+    ``sums(push)`` gives (totals, Gram matrix, integral) at clip(1 - p . push, 0, most).  With e the ridge the optimality
+    condition is ways @ totals - target = e x; it is the gradient of a convex function of x, which every accepted step
+    lowers.  The ridge falls by steps to RIDGE of the corpus, each solution being the next one's start.
+    """
+    x = np.zeros(len(target)) if start is None else start
+    at, gram, whole = sums(x @ ways)
+    mass = max(float(sums(np.zeros(k))[0].sum()), 1.0)
+    for share in (1e-2, 1e-4, 1e-6, RIDGE):
+        ridge = share * mass
+        dual = lambda x, whole: whole + target @ x + ridge / 2 * x @ x
+        for _ in range(iterations):
+            slope = ways @ at - target - ridge * x
+            if np.abs(slope).max() <= 1e-9 * mass + 1e-6 * np.abs(ways @ at - target).max() * (share > RIDGE):
+                break
+            step = np.linalg.solve(ways @ gram @ ways.T + ridge * np.eye(len(x)), slope)
+            scale, fell = 1.0, False
+            while scale > 1e-8 and not fell:
+                then = sums((x + scale * step) @ ways)
+                lower = dual(x + scale * step, then[2]) <= dual(x, whole) - 1e-4 * scale * (slope @ step)
+                nearer = np.abs(ways @ then[0] - target - ridge * (x + scale * step)).max() < 0.5 * np.abs(slope).max()
+                fell = lower or nearer  # near the end the dual's rounding hides its fall
+                if fell:
+                    x, (at, gram, whole) = x + scale * step, then
+                else:
+                    scale /= 4
+            if not fell:
+                break
+    return x
+
+
+def solve(members: DataFrame, wanted: np.ndarray, budget: float | None = None, most: float = np.inf, iterations: int = 100, tolerance: float = 1e-3) -> Steps:
     """Steps that lead the expected totals to ``wanted`` (shares that sum to one) of ``budget`` tokens.
 
     Without a budget it is as many tokens as the heaviest domain has for its share.  Under a bound ``most`` it is as
-    many as that domain keeps, and a domain whose tokens do not suffice is left out of the targets.  Ends when every domain
-    is within ``tolerance`` of its target, relative to the larger of target and mass, or, with a warning that names
-    the residuals, when steps no longer help.
+    many as that domain keeps: the least squares are then of each domain's total less its share relative to the heaviest,
+    and a domain whose tokens do not suffice is left out.  Where no rates meet the targets the rates are those of the
+    least squared error, and a warning names the residuals.
     """
     k, heavy = len(wanted), int(wanted.argmax())
-    steps = Steps([], most)
-    masses, gram = totals(members, steps, k)
+
+    def sums(push: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        return _sums(members, Steps([push], most), k)
+
+    masses = sums(np.zeros(k))[0]
     if not masses.sum():
-        return steps
-
-    def residual(got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        bounded = budget is None and np.isfinite(most)
-        targets = wanted * (budget or (got if bounded else masses)[heavy] / wanted[heavy])
-        short = most * masses < targets if np.isfinite(most) else np.zeros(k, bool)
-        return np.where(short, 0.0, got - targets), np.maximum(np.maximum(targets, masses), 1e-9)
-
-    got, scale = masses, 1.0
-    for _ in range(iterations):
-        off, size = residual(got)
-        if (np.abs(off) <= tolerance * size).all():
-            return steps
-        push = np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ off
-        following = Steps([*steps.pushes, scale * push], most)
-        then, moved = totals(members, following, k)
-        if (np.abs(residual(then)[0]) / size).max() < (np.abs(off) / size).max():
-            steps, got, gram, scale = following, then, moved, min(1.0, 2 * scale)
-        elif scale < 1e-3:
-            break
-        else:
-            scale /= 4
-    off, size = residual(got)
-    if (np.abs(off) > tolerance * size).any():
-        warnings.warn(f"mixing: targets not met after {len(steps.pushes)} steps; the residuals are {np.round(off).tolist()} of {np.round(got).tolist()} tokens", RuntimeWarning, stacklevel=2)
+        return Steps([], most)
+    if budget is not None or not np.isfinite(most):
+        ways, target = np.eye(k), wanted * (budget or masses[heavy] / wanted[heavy])
+        steps = Steps([least_squares(sums, k, ways, target, most, iterations=iterations)], most)
+        got = totals(members, steps, k)[0]
+    else:
+        share = wanted / wanted[heavy]
+        left = {i for i in range(k) if i != heavy and most * masses[i] < share[i] * most * masses[heavy]}
+        while True:
+            ways = np.array([np.eye(k)[i] - share[i] * np.eye(k)[heavy] for i in range(k) if i != heavy and i not in left]).reshape(-1, k)
+            target = np.zeros(len(ways))
+            steps = Steps([least_squares(sums, k, ways, target, most, iterations=iterations) @ ways] if len(ways) else [], most)
+            got = totals(members, steps, k)[0]
+            enough = {i for i in left if most * masses[i] >= share[i] * got[heavy]}
+            if not enough:
+                break
+            left -= enough
+    off = ways @ got - target
+    if (np.abs(off) > tolerance * np.maximum(np.abs(target).max(initial=0), masses.max())).any():
+        warnings.warn(f"mixing: targets not met by any rates; the residuals are {np.round(off).tolist()} of {np.round(got).tolist()} tokens", RuntimeWarning, stacklevel=2)
     return steps
 
 
@@ -204,18 +245,24 @@ def fitted(docs: DataFrame, model: Domains, weights: dict[str, float], budget: f
 
 def rates(docs: DataFrame, model: Domains, weights: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 11,
           most: float | None = None) -> DataFrame:
-    """id_col, tokens, one column p_<domain> each, rate and copies for every row.
+    """id_col, tokens, one column p_<domain> each, rate, copies and one column off_<domain> each for every row.
 
     ``weights`` are the domains' wanted shares of the mix.  ``budget`` is the mix's tokens; by default as many as leave
     the heaviest domain's tokens as they are.  copies is rate rounded up or down at random, by a hash of the id, with
     expectation rate; rows that repeat an id draw the same number.  Null and empty texts count one token.  A null id is
     hashed as a value of its own.  An empty table gives an empty result.
 
+    off_<domain> is what the domain's expected tokens lack or exceed of its share of all, the same in every row; where the
+    targets can be met it is next to nothing.
+
     With ``most`` no rate is above it: a domain whose tokens do not suffice is left out of the targets, and the others
     keep their shares relative to the heaviest.
     """
     members, steps = fitted(docs, model, weights, budget, most, id_col, text_col)
     k = len(model.names)
+    got = totals(members, steps, k)[0]
+    wanted = np.array([weights.get(n, 0.0) for n in model.names], float)
+    off = got - wanted / wanted.sum() * (budget or got[wanted.argmax()] * wanted.sum() / wanted.max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +271,8 @@ def rates(docs: DataFrame, model: Domains, weights: dict[str, float], budget: fl
 
     kind = docs.schema[id_col].dataType.simpleString()
     return members.mapInArrow(run, f"id {kind}, tokens long, p array<double>, rate double").select(
-        F.col("id").alias(id_col), "tokens", *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(model.names)], "rate", F.floor(F.col("rate") + _draw(F.col("id"), seed)).cast("int").alias("copies"))
+        F.col("id").alias(id_col), "tokens", *[F.col("p")[i].alias(f"p_{n}") for i, n in enumerate(model.names)], "rate", F.floor(F.col("rate") + _draw(F.col("id"), seed)).cast("int").alias("copies"),
+        *[F.lit(float(x)).alias(f"off_{n}") for n, x in zip(model.names, off)])
 
 
 def mixed(docs: DataFrame, model: Domains, weights: dict[str, float], budget: float | None = None, most: float | None = None,
