@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from . import order as orders
 
 # Nodes of a chunk, and the header fields that a source block shows.
 CHUNK = 12
@@ -42,31 +43,17 @@ def joined(order: Column, text: Column, sep: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda x: x["t"]), sep)
 
 
-def chunks(rows: DataFrame, order: list[Column], size: int = CHUNK, within: list[str] | None = None) -> DataFrame:
-    """rows with chunk (from 0), ``size`` successive rows each.
+def chunks(rows: DataFrame, order: list[Column | str], size: int = CHUNK, within: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """rows with chunk (from 0), ``size`` successive rows each, in any order of any table; ties as operators.order has them.
 
-    Pages of one result are numbered in one window, so bring names and orders alone and join texts afterwards;
-    ``within`` numbers each group by itself, in parallel.
+    Bring names and orders alone and join texts afterwards; ``within`` numbers each group by itself.
     """
-    w = Window.partitionBy(*within).orderBy(*order) if within else Window.orderBy(*order)
-    return rows.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    placed = orders.ranked(rows, within, order, "_place") if within else orders.numbered(rows, order, "_place", parts)
+    return placed.withColumn("chunk", F.floor(F.col("_place") / size).cast("long")).drop("_place")
 
 
-def numbered_chunks(rows: DataFrame, key: str, size: int = CHUNK, parts: int = 65_536) -> DataFrame:
-    """rows with chunk (from 0) by ascending, distinct integer ``key``, over a table of any size.
-
-    Ranges of 4096 keys are counted, and so are at most ``parts`` equal parts of the span of all ranges.  A row's number
-    is its number within its range, plus the ranges before it in its part, plus the parts before that, so no task
-    numbers all rows, however sparse the keys are.  Rows with a null key are left out.
-    """
-    r = rows.withColumn("_range", F.floor(F.col(key) / 4096)).filter(F.col("_range").isNotNull())
-    low, high = r.agg(F.min("_range"), F.max("_range")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // parts))
-    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = r.groupBy("_range").agg(F.count("*").alias("n")).withColumn("_part", F.floor((F.col("_range") - low) / width))
-    whole = sizes.groupBy("_part").agg(F.sum("n").alias("n")).select("_part", earlier(Window.orderBy("_part")).alias("_parts"))
-    inner = sizes.withColumn("_ranges", earlier(Window.partitionBy("_part").orderBy("_range")))
-    before = inner.join(whole, "_part").select("_range", (F.col("_ranges") + F.col("_parts")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    return r.withColumn("_in", inside).join(before, "_range").withColumn("chunk", F.floor((F.col("_before") + F.col("_in") - 1) / size).cast("long")).drop("_range", "_in", "_before")
+def numbered_chunks(rows: DataFrame, key: str, size: int = CHUNK, parts: int | None = None) -> DataFrame:
+    """rows with chunk (from 0) by ascending key.  Rows with a null key are left out."""
+    known = rows.filter(F.col(key).isNotNull())
+    numbers = chunks(known.select(key), [key], size, parts=parts).distinct()  # keys alone are dealt to ranges, rows join their chunk
+    return known.join(numbers, key)

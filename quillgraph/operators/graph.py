@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from . import order
 
 STYLE = {"shape": "rect", "fill": "#1c1c1e", "stroke": "#333", "text_color": "#fff", "width": 120, "height": 50}  #: of every known type; others take it too
 EDGE_STYLE = {"type": "flow", "label": "links to", "stroke": "#262626", "width": 1.2, "dasharray": "3 3"}
@@ -47,13 +48,12 @@ def dangling(edges: DataFrame) -> DataFrame:
 
 
 def backlinks(edges: DataFrame) -> DataFrame:
-    """uid and its sources in order, for every node that another (or it itself) links to."""
-    return edges.filter("resolved").groupBy(F.col("dst").alias("uid")).agg(F.array_sort(F.collect_list("src")).alias("backlink_uids"))
-
+    """uid and its sources in order, for every node that another (or it itself) links to.
 
-def canonical_backlinks(found: DataFrame) -> DataFrame:
-    """canonical target text and the set of its sources, unresolved targets too."""
-    return found.groupBy(t.canonical(F.col("raw")).alias("canonical")).agg(F.array_sort(F.collect_set("src")).alias("sources"))
+    A row holds all sources of a node: for bounded edges only, such as the listed ones of indexed().  Of whole tables
+    adjacency.backlink_pages() gives them in pages.
+    """
+    return edges.filter("resolved").groupBy(F.col("dst").alias("uid")).agg(F.array_sort(F.collect_list("src")).alias("backlink_uids"))
 
 
 def indexed(nodes: DataFrame, edges: DataFrame, listed: int = 100) -> DataFrame:
@@ -157,8 +157,8 @@ def trace_graph(traces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     def distinct(col: str, prefix: str, tier: int) -> DataFrame:
         firsts = traces.groupBy(F.col(col).alias("label")).agg(F.min("pos").alias("first"))
-        return firsts.withColumn("index", F.row_number().over(Window.orderBy("first", "label")) - 1).select(
-            F.concat(F.lit(prefix), F.col("index").cast("string")).alias("id"), F.lit(tier).alias("tier"), "label", "index")
+        return order.numbered(firsts, ["first", "label"], "index").select(
+            F.concat(F.lit(prefix), F.col("index").cast("string")).alias("id"), F.lit(tier).alias("tier"), "label", F.col("index").cast("int").alias("index"))
 
     sources, targets = distinct("source_node", "source-", 1), distinct("target_concept", "target-", 2)
     spark = traces.sparkSession

@@ -160,10 +160,15 @@ def nodes(notes: DataFrame, profile: str = "query") -> DataFrame:
 
     ``profile`` (query, execute or news) sets the length of stand-in summaries and how links are cut.
     """
-    head = last_paths(notes).select("*", split_header(F.col("raw")).alias("h")).select("*", "h.header", "h.body").drop("h")
-    parsed = head.withColumn("y", yaml_columns("header")).select("*", "y.*").drop("y", "header")
+    return parsed(last_paths(notes), profile)
+
+
+def parsed(notes: DataFrame, profile: str = "query") -> DataFrame:
+    """The columns of a node for every row of ``notes``, which has its uid already."""
+    head = notes.select("*", split_header(F.col("raw")).alias("h")).select("*", "h.header", "h.body").drop("h")
+    read = head.withColumn("y", yaml_columns("header")).select("*", "y.*").drop("y", "header")
     body = F.col("body")
-    return parsed.select(
+    return read.select(
         "uid", "rel_path", F.split("rel_path", "/", -1).alias("path_parts"), "raw", "body", F.substring(body, 1, PREVIEW).alias("body_preview"), "fm", "fm_json",
         summary(F.col("given_summary"), body, SUMMARY_LENGTH[profile]).alias("summary"), entity_type(F.col("given_type"), body).alias("entity_type"),
         F.col("given_country").alias("country"), F.col("given_sector").alias("sector"),

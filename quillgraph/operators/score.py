@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .trigrams import TrigramIndex
 
 # Weights, caps and the header fields that count for anchors.
 WEIGHTS = {"type": 8.0, "country": 6.0, "sector": 5.0, "name": 10.0, "word": 4.0, "content": 2.0, "attribute": 3.0, "degree": 0.3}
@@ -99,8 +100,24 @@ def anchors(nodes: DataFrame, wanted: Sequence[str], k: int = ANCHORS) -> DataFr
 
 def search(nodes: DataFrame, q: str) -> DataFrame:
     """Nodes whose name, summary or body holds q (case ignored), one for each slug; an empty q matches all."""
-    hay = F.lower(F.concat_ws(" ", "uid", "summary", "body"))
-    hits = nodes.filter(F.contains(hay, F.lit(q.lower())))
+    hits = nodes.filter(F.contains(F.lower(search_text()), F.lit(q.lower())))
+    first = hits.groupBy("slug").agg(F.min("uid").alias("uid"))
+    return hits.join(first, ["slug", "uid"], "left_semi")
+
+
+def searched(rows: DataFrame, folder: str, text: str = "text", **more) -> TrigramIndex:
+    """A trigram index of rows (uid, slug and what else a hit shows, and the text that is searched) in a folder."""
+    return TrigramIndex.build(rows, folder, "uid", text, **more)
+
+
+def search_text() -> Column:
+    """What search() looks through: name, summary and body."""
+    return F.concat_ws(" ", "uid", "summary", "body")
+
+
+def indexed_search(index: TrigramIndex, q: str) -> DataFrame:
+    """search() by an index: the same rows, read from the parts that can hold q."""
+    hits = index.containing(q).drop("_text")
     first = hits.groupBy("slug").agg(F.min("uid").alias("uid"))
     return hits.join(first, ["slug", "uid"], "left_semi")
 

@@ -31,3 +31,21 @@ def vault_stats(nodes: DataFrame, edges: DataFrame, subset: DataFrame | None = N
 def fingerprint(files: DataFrame, time_col: str = "mtime") -> DataFrame:
     """One row: latest and n, which change when files are added, changed or taken away."""
     return files.agg(F.max(time_col).alias("latest"), F.count("*").alias("n"))
+
+
+def multiset_fingerprint(files: DataFrame, *columns: str) -> DataFrame:
+    """One row: n and digest, the sum of a 60-bit hash of every row's columns (as text; null apart from all texts).
+
+    The sum does not depend on the order of rows, and a set that lost one row and gained another has another sum, even
+    where neither the number of rows nor the latest time changes.  Sums of parts add up, so a change can be applied to
+    a stored digest without reading the rest: see changed_fingerprint().
+    """
+    shown = F.concat(*[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) if i == 0 else
+                       F.coalesce(F.concat(F.lit("|="), F.col(c).cast("string")), F.lit("|-")) for i, c in enumerate(columns)])
+    each = F.conv(F.substring(F.md5(shown.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
+    return files.agg(F.count("*").alias("n"), F.coalesce(F.sum(each.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+
+
+def changed_fingerprint(before: tuple[int, str], gone: tuple[int, str], come: tuple[int, str]) -> tuple[int, str]:
+    """The fingerprint of a set after some rows went and others came, from fingerprints alone."""
+    return before[0] - gone[0] + come[0], str(int(before[1]) - int(gone[1]) + int(come[1]))

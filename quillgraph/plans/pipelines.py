@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import budget
 from ..functions import text as t
 from ..operators import context, graph, parse, score, stats
+from ..operators.trigrams import TrigramIndex
 from ..sources import notes as n
 from ..sources import sinks
 from .provider import Provider, rule_based
@@ -155,13 +156,13 @@ def run_query(spark: SparkSession, index: Index, question: str | None, provider:
 
 
 class Cache:
-    """Answers by question and state of the notes: a changed, added or deleted note makes them stale."""
+    """Answers by question and state of the notes: an added, changed, renamed, replaced or deleted note makes them stale."""
 
     def __init__(self) -> None:
         self.held: dict[tuple, dict] = {}
 
     def run(self, spark: SparkSession, index: Index, question: str | None, **more) -> dict:
-        key = (question or "", *stats.fingerprint(index.files).first())
+        key = (question or "", *stats.multiset_fingerprint(index.files, "rel_path", "mtime", "size_bytes").first())
         if key not in self.held:
             self.held[key] = run_query(spark, index, question, **more)
         return self.held[key]
@@ -242,7 +243,7 @@ def map_chunks(rows: DataFrame, provider: Provider) -> DataFrame:
             yield pd.DataFrame({"chunk": pdf["chunk"], "summary": [_tagged(g, "chunk_summary", g) for g in got], "traces": [_tagged(g, "lineage_traces", "[]") for g in got]})
 
     blocks = rows.groupBy("chunk").agg(context.joined(F.col("ord"), context.chunk_block(), "\n").alias("blocks"))
-    return blocks.mapInPandas(run, "chunk int, summary string, traces string")
+    return blocks.mapInPandas(run, "chunk long, summary string, traces string")
 
 
 def run_execute(spark: SparkSession, index: Index, dashboard: str, opportunity_id: str, provider: Provider = rule_based, output: str | None = None) -> dict:
@@ -275,13 +276,16 @@ def list_entities(index: Index) -> DataFrame:
     return index.nodes.select(F.col("uid").alias("id"), "slug", F.translate("uid", "_-", "  ").alias("name"), "folder_type", "rel_path", "size_bytes")
 
 
-def get_entity(index: Index, raw_id: str) -> dict | None:
-    """The node of this slug or name (URL-decoded as often as needed) with its neighbours, or None."""
+def get_entity(index: Index, raw_id: str, page: int = 0, size: int = 100) -> dict | None:
+    """The node of this slug or name (URL-decoded as often as needed) with one page of its neighbours and their number, or
+    None.  entity_related() has all neighbours, as a DataFrame."""
     wanted = index.nodes.sparkSession.range(1).select(t.decode_fully(F.lit(raw_id)).alias("id"), t.slug(t.decode_fully(F.lit(raw_id))).alias("slug")).first()
     hit = index.nodes.filter((F.col("uid") == wanted["id"]) | (F.col("slug") == wanted["slug"])).orderBy(F.col("uid") != wanted["id"], "uid").limit(1).collect()
     if not hit:
         return None
-    return hit[0].asDict(recursive=True) | {"related": [r.asDict() for r in entity_related(index, hit[0]["uid"]).collect()]}
+    uid = hit[0]["uid"]
+    shown = [r.asDict() for r in entity_related(index, uid).offset(page * size).limit(size).collect()]
+    return hit[0].asDict(recursive=True) | {"related": shown, "related_total": graph.related(index.edges, uid).count(), "page": page}
 
 
 def entity_related(index: Index, uid: str) -> DataFrame:
@@ -290,8 +294,16 @@ def entity_related(index: Index, uid: str) -> DataFrame:
     return graph.related(index.edges, uid).join(shown, "uid").orderBy(F.col("relation_type") != "outbound", "pos", "uid")
 
 
-def search_entities(index: Index, q: str) -> DataFrame:
-    return score.search(index.nodes, q).select(
+def search_index(index: Index, folder: str) -> TrigramIndex:
+    """A trigram index of all nodes, which search_entities() can look through."""
+    shown = index.nodes.select("uid", "slug", "fm_json", "folder_type", "summary", score.search_text().alias("text"))
+    return score.searched(shown, folder)
+
+
+def search_entities(index: Index, q: str, trigrams: TrigramIndex | None = None) -> DataFrame:
+    """Nodes that hold q, from a trigram index where one is given, else by a scan."""
+    hits = score.indexed_search(trigrams, q) if trigrams else score.search(index.nodes, q)
+    return hits.select(
         F.col("uid").alias("id"), "slug", t.first_filled(F.get_json_object("fm_json", "$.title"), F.col("uid")).alias("name"), F.col("folder_type").alias("entity_type"), F.substring("summary", 1, 200).alias("summary"))
 
 
