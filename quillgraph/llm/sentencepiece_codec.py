@@ -1,13 +1,15 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 The search goes over the boundaries between characters and keeps, for each boundary, the piece by which the best path
-arrives there.  Only a window as long as the longest piece can be looked back on, so only that window is kept: as soon
-as all paths from it meet in one boundary, the ids up to there are final and are given out.  They meet where no piece
-holds the two characters beside a boundary next to each other, and where the window's backpointers come together.  A
-text of any length is encoded in memory bounded by the window and the distance between such meeting points.
+arrives there.  Only a window as long as the longest piece can be looked back on.  A boundary survives while the characters
+after it still begin some piece; as soon as the backpointer paths of all surviving boundaries converge on one boundary, the
+ids up to there are final and are given out, and what lies before it is dropped.  A text of any length is encoded in memory
+bounded by the distance between such meeting points.
 
-From a meeting point on the search depends on nothing before it, so what it gives out up to the next one is kept as a
-transition; texts are read window by window, each stretch of one by its transition, or by the search if it has none.
+From a committed boundary on the search depends on the piece that arrives there (and on that only if some piece holds
+the two characters beside the boundary next to each other) and on the characters up to where the paths converge.  So
+what it commits is kept as a transition: (committed state, window content) -> (ids, characters, next state).  A window
+reaches to the next space or mark, which it holds as its look-ahead; where paths do not converge within it, it grows.
 
 Two kinds of models are read.  In a unigram model a path's weight is the sum of its pieces' scores.  In a BPE model a
 path is right if every two neighbouring pieces, merged again from their characters by the model's ranks, come out as
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import pieces, texts
 
 SPACE = "▁"
+SHORT = 64  #: characters of a window that is searched at once and whose transition is kept
 
 
 @dataclass
@@ -47,11 +50,10 @@ class Model:
     bpe: bool
     dummy_prefix: bool
     longest: int
-    splits: bool  # no piece holds a space after another character
-    words_end: bool = False  # no piece holds ASCII punctuation after a Latin letter or digit
     _pairs: dict[str, dict[str, bool]] = field(default_factory=dict)  # of each piece: whether it may follow another
     _states: dict[str, list[tuple[float, str, str]]] = field(default_factory=dict)  # at most one a piece or character
-    _memory: dict[str, array] = field(default_factory=dict)  # transitions: the ids of a stretch between two meeting points
+    _memory: dict = field(default_factory=dict)  # transitions by window, or by (state, window)
+    converged: int = 0  # commits by converging paths so far
 
     def __post_init__(self) -> None:
         self.reach: dict[str, int] = {}  # of the last two characters: the longest piece that ends in them
@@ -60,13 +62,16 @@ class Model:
                 self.reach[piece[-2:]] = len(piece)
         self._pairs, self._held = {piece: {} for piece in self.scores}, 0
         self.unseen = min(self.scores.values(), default=0.0) - 10  # the score of an unknown character
+        self.begun = {piece[:i] for piece in self.scores for i in range(1, len(piece))}  # what a longer piece may go on from
         self.inside = {piece[i:i + 2] for piece in self.scores for i in range(len(piece) - 1)}  # neighbours within a piece
+        both = lambda c: (SPACE, " ") if c == SPACE else (c,)
+        self.inside_raw = {x + y for a, b in self.inside for x in both(a) for y in both(b)}  # as texts can write them
         self.shown = [n.replace(SPACE, " ") for n in self.names]
         self.special = np.zeros(max([len(self.names), self.unknown + 1]), bool)  # ids that stand for no text of their own
         self.special[[*self.bytes_, *self.silent, self.unknown]] = True
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_pairs": {piece: {} for piece in self.scores}, "_held": 0, "_states": {}, "_memory": {}}
+        return self.__dict__ | {"_pairs": {piece: {} for piece in self.scores}, "_held": 0, "_states": {}, "_memory": {}, "converged": 0}
 
 
 def load(path: str) -> Model:
@@ -87,8 +92,7 @@ def load(path: str) -> Model:
         unknown=next(i for i, p in enumerate(m.pieces) if p.type == kind.UNKNOWN),
         silent=frozenset(i for i, p in enumerate(m.pieces) if p.type == kind.CONTROL),
         bpe=m.trainer_spec.model_type == 2, dummy_prefix=m.normalizer_spec.add_dummy_prefix,
-        longest=max(len(p) for p, _, _ in plain), splits=not any(SPACE in p.lstrip(SPACE) for p, _, _ in plain),
-        words_end=not any(re.search(f"[{_LETTER}][{_MARK}]", p) for p, _, _ in plain))
+        longest=max(len(p) for p, _, _ in plain))
 
 
 def _states(model: Model, piece: str) -> list[tuple[float, str, str]]:
@@ -139,12 +143,19 @@ def _valid(model: Model, before: str, piece: str) -> bool:
     return fine
 
 
-def viterbi(model: Model, text: str) -> Iterator[list[str]]:
-    """Pieces of an escaped text, given out in lists as soon as they are final."""
-    width, known, bpe, pairs, reach, inside = model.longest, model.scores, model.bpe, model._pairs, model.reach, model.inside
+def viterbi(model: Model, text: str, before: str = "", final: bool = True, closed: bool = False) -> Iterator[list[str]]:
+    """Pieces of an escaped text, given out in lists as soon as they are final.
+
+    ``before`` is the piece that arrives at the text's begin.  Unless the text is ``final`` more may follow, and what is
+    not committed at its end is not given out.  After a ``closed`` text comes a character that goes on no piece: the end is
+    the only boundary that survives it.
+    """
+    width, known, bpe, pairs, reach, begun = model.longest, model.scores, model.bpe, model._pairs, model.reach, model.begun
     base = 0  # the committed boundary
-    arrive: list[str] = [""]  # pieces arriving at base, base + 1, ...
+    arrive: list[str] = [before]  # pieces arriving at base, base + 1, ...
     weight: list[float] = [0.0]  # of the best paths there (unigram)
+    live: list[int] = []  # surviving boundaries before the present one
+    short = not final and len(text) <= SHORT  # what survives is asked at the end alone
     for i in range(1, len(text) + 1):
         if bpe:
             first = i - reach.get(text[i - 2:i], 1) if i > 1 else 0
@@ -152,9 +163,9 @@ def viterbi(model: Model, text: str) -> Iterator[list[str]]:
                 piece = text[j:i]
                 follows = pairs.get(piece)
                 if follows is not None:
-                    before = arrive[j - base]
-                    valid = follows.get(before)
-                    if valid or (valid is None and _valid(model, before, piece)):
+                    last = arrive[j - base]
+                    valid = follows.get(last)
+                    if valid or (valid is None and _valid(model, last, piece)):
                         break
             else:
                 piece = text[i - 1]  # an unknown character
@@ -168,23 +179,40 @@ def viterbi(model: Model, text: str) -> Iterator[list[str]]:
                     best, choice = weight[j - base] + score, piece
             arrive.append(choice)
             weight.append(best)
-        if i < len(text) and text[i - 1:i + 1] not in inside:  # no piece spans this boundary
-            yield _trace(arrive, i - base)
-            base, arrive, weight = i, arrive[-1:], weight[-1:]
-        elif len(arrive) > 4 * width and i % width == 0:
-            live = set(range(i - base - width + 1, i - base + 1))
-            while len(live) > 1 and (last := max(live)) > 0:
-                live.remove(last)
-                live.add(last - len(arrive[last]))
-            meet = max(live) if len(live) == 1 else 0
-            if meet > 0:
-                yield _trace(arrive, meet)
-                base += meet
-                arrive, weight = arrive[meet:], weight[meet:]
-    if len(arrive) > 1:
+        if short:
+            continue
+        live.append(i - 1)
+        oldest = live[0]
+        live = [j for j in live if text[j:i] in begun]
+        if live and live[0] == oldest and i < len(text):
+            continue  # nothing has died that could bring paths together further on
+        meet = _meeting(arrive, base, {*live, i})
+        if meet > base:
+            model.converged += 1
+            yield _trace(arrive, meet - base)
+            arrive, weight, base = arrive[meet - base:], weight[meet - base:], meet
+    if short and closed:
+        model.converged += 1
+        yield _trace(arrive, len(text))
+    elif short and text:
+        n = len(text)
+        back = width if text[-2:] in model.inside else 1  # else only the last character itself can go on
+        meet = _meeting(arrive, 0, {n, *(j for j in range(max(0, n - back), n) if text[j:] in begun)})
+        if meet:
+            model.converged += 1
+            yield _trace(arrive, meet)
+    if final and len(arrive) > 1:
         yield _trace(arrive, len(arrive) - 1)
 
 
+def _meeting(arrive: list[str], base: int, paths: set[int]) -> int:
+    """The last boundary through which the paths of all these boundaries go."""
+    while len(paths) > 1 and (end := max(paths)) > base:
+        paths.remove(end)
+        paths.add(end - len(arrive[end - base]))
+    return paths.pop() if len(paths) == 1 else base
+
+
 def _trace(arrive: list[str], at: int) -> list[str]:
     out = []
     while at > 0:
@@ -193,7 +221,7 @@ def _trace(arrive: list[str], at: int) -> list[str]:
     return out[::-1]
 
 
-def _ids(model: Model, parts: Iterator[list[str]]) -> array:
+def _ids(model: Model, parts: Iterable[list[str]]) -> array:
     out = array("i")
     for some in parts:
         for piece in some:
@@ -207,51 +235,63 @@ def _ids(model: Model, parts: Iterator[list[str]]) -> array:
     return out
 
 
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_MARK, _LETTER = r"!-/:-@\[-`{-~", "0-9A-Za-zÀ-ɏ"  #: ASCII punctuation; Latin letters and digits
-_PART = re.compile(f"{SPACE}*[{_MARK}]*(?:[^{_MARK}{SPACE}]*[^{_MARK}{_LETTER}{SPACE}][{_MARK}]+)*[^{_MARK}{SPACE}]+|{SPACE}*[{_MARK}]+|{SPACE}+")
-_CUT = re.compile(f"[^ {SPACE}](?=[ {SPACE}])")  #: before a space that follows another character
-
+_AHEAD = re.compile(r"[ !-/:-@\[-`{-~]")  #: where a window ends: a character that seldom goes on a piece, so that paths converge before it
 
-def windows(text: str, size: int) -> Iterator[str]:
-    """A text in windows of ``size`` characters, each up to the next space, where all paths meet."""
-    start = 0
-    while start < len(text):
-        met = _CUT.search(text, start + size)
-        end = met.end() if met else len(text)
-        yield text[start:end]
-        start = end
 
+def _transition(model: Model, state: str, window: str, final: bool, closed: bool) -> tuple[array, int, str]:
+    """What the search commits of a window from a state on: ids, characters, and the state there.
 
-def stretches(model: Model, window: str) -> list[str]:
-    """An escaped window cut at meeting points that one pattern finds: before spaces and, in models where no piece goes on
-    from a Latin letter or digit to ASCII punctuation, between these."""
-    return (_PART if model.words_end else _WORD).findall(window)
+    A closed window ends in a look-ahead that no piece holds together with the character before it.
+    """
+    text = window.replace(" ", SPACE)
+    if closed and not final and len(text) <= SHORT:
+        parts = list(viterbi(model, text[:-1], state, False, True))
+    else:
+        parts = list(viterbi(model, text, state, final))
+    size = sum([sum(map(len, some)) for some in parts])
+    after = parts[-1][-1] if 0 < size < len(text) and text[size - 1:size + 1] in model.inside else ""
+    return _ids(model, parts), size, after
 
 
 def stream(model: Model, text: str, window: int = 1 << 15, remember: int = 400_000) -> Iterator[array]:
-    """Ids of a text, given out window by window.  The last ``remember`` transitions are kept.
-
-    Where pieces span spaces, or unknown characters have no bytes and so join across them, the search runs throughout.
-    """
-    prefix = SPACE if model.dummy_prefix and text else ""
-    if not model.splits or not model.bytes_:
-        yield _ids(model, viterbi(model, prefix + text.replace(" ", SPACE)))
-        return
-    memory = model._memory
-    for some in windows(text, window):
-        out = array("i")
-        for stretch in stretches(model, prefix + some.replace(" ", SPACE)):
-            ids = memory.get(stretch)
-            if ids is None:
-                ids = _ids(model, viterbi(model, stretch))
-                if len(stretch) <= 32:
+    """Ids of a text, given out ``window`` or a few more at once.  At most ``remember`` transitions are kept."""
+    memory, joins, out, held = model._memory, not model.bytes_, array("i"), -1
+    lead, base, state, n, ahead = " " if model.dummy_prefix and text else "", 0, "", len(text), _AHEAD.search
+    inside = model.inside_raw
+    while base < n:
+        met = ahead(text, base if lead else base + 1)
+        end = met.end() if met else n
+        while True:
+            some = lead + text[base:end] if lead else text[base:end]
+            # where no piece holds the look-ahead and the character before it together, any look-ahead does as well
+            closed = some[-2:] not in inside and len(some) > 1
+            if not closed:
+                key = (state, some, True)
+            else:
+                key = (state, some[:-1]) if state else some[:-1]
+            hit = memory.get(key) if end < n else None
+            if hit is None:
+                hit = _transition(model, state, some, end == n, closed)
+                if end < n and len(some) <= SHORT:
                     if len(memory) >= remember:
                         memory.clear()
-                    memory[stretch] = ids
-            out += ids
-        prefix = ""
-        yield out
+                    memory[key] = hit
+            if hit[1]:
+                break
+            met = ahead(text, end)  # the paths do not converge within the window
+            end = met.end() if met else n
+        ids, size, state = hit
+        base += size - len(lead)
+        lead = ""
+        if joins and ids and held == model.unknown == ids[0]:
+            ids = ids[1:]  # unknown characters without bytes join
+        out += ids
+        if joins and out:
+            held = out[-1]
+        if len(out) >= window:
+            yield out
+            out = array("i")
+    yield out
 
 
 def encode_ids(model: Model, text: str) -> array:

@@ -44,6 +44,34 @@ def test_the_search_commits_all_along_real_documents(spark):
             assert [i for some in c.stream(MODEL, text, size) for i in some] == want
 
 
+def test_the_query_commits_where_paths_converge(spark):
+    """In the query's own function: nearly all that the search gives out is committed by converging paths, and what it
+    keeps by state and window gives the same ids again."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    model, texts = c.load(PATH), [r["text"] or "" for r in rows]
+    first = [c.encode_ids(model, t).tolist() for t in texts]
+    found = model.converged
+    assert found > 10_000 and len(model._memory) > 10_000
+    assert [c.encode_ids(model, t).tolist() for t in texts] == first == [LIBRARY.encode(t) for t in texts]
+    assert model.converged - found < 0.1 * found  # windows beyond the kept size and texts' ends alone are searched again
+    assert any(isinstance(k, tuple) for k in model._memory) and any(isinstance(k, str) for k in model._memory)
+
+
+def test_a_transition_does_not_depend_on_what_follows_a_closed_window():
+    r = random.Random(9)
+    for _ in range(3000):
+        text = "".join(r.choice("ab .,-é▁1\n") for _ in range(r.randrange(1, 30)))
+        fresh = c.load(PATH) if r.random() < 0.002 else MODEL
+        assert c.encode(fresh, text) == LIBRARY.encode(text)
+
+
+def test_unknown_characters_without_bytes_join_across_windows():
+    names = ["▁", "a", "b", "ab", ","]
+    model = c.Model(names, {n: i for i, n in enumerate(names)}, {n: -1.0 - i for i, n in enumerate(names)}, [], 99, frozenset(), False, False, 2)
+    assert c.encode(model, "xx ab,y,,z") == [99, 0, 3, 4, 99, 4, 4, 99]
+    assert c.encode(model, "x" * 500 + "ab") == [99, 3]
+
+
 def test_memory_follows_the_window():
     """Of a long text no more is held than a window's ids and the transitions."""
     text = "".join(f"word{i % 50_000} " for i in range(1_000_000))
@@ -59,7 +87,7 @@ def test_unigram_paths_have_the_best_weight():
     r = random.Random(5)
     names = ["a", "b", "c", "ab", "bc", "abc", "cab", "aa", "bb"]
     scores = {n: -r.uniform(1, 4) * len(n) ** 0.5 for n in names}
-    model = c.Model(names, {n: i for i, n in enumerate(names)}, scores, [], 99, frozenset(), False, False, 3, True)
+    model = c.Model(names, {n: i for i, n in enumerate(names)}, scores, [], 99, frozenset(), False, False, 3)
 
     def brute(text):
         best = [0.0] + [float("-inf")] * len(text)
