@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from .trigrams import TrigramIndex
+from .trigrams import Skipped, TrigramIndex, top_k
 
 # Weights, caps and the header fields that count for anchors.
 WEIGHTS = {"type": 8.0, "country": 6.0, "sector": 5.0, "name": 10.0, "word": 4.0, "content": 2.0, "attribute": 3.0, "degree": 0.3}
@@ -89,11 +89,28 @@ def seed_terms(opportunity: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return opportunity.select(*keep, t.distinct_ignoring_case(F.filter(F.transform(items, lambda x: t.strip(t.or_empty(x))), lambda x: x != "")).alias("terms"))
 
 
+def _anchor_texts() -> tuple[Column, Column]:
+    """The bonus text and the text block of a node."""
+    extra = F.flatten(F.map_values(F.map_filter("fm", lambda key, _: key.isin(*BONUS_KEYS))))
+    return F.lower(F.concat_ws(" ", F.concat(F.array("uid", "uid"), extra))), F.lower(F.concat_ws(" ", "uid", F.array_join("aliases", " "), "summary"))
+
+
+def anchor_index(nodes: DataFrame, folder: str, part: int = 256) -> TrigramIndex:
+    """A trigram index for indexed_anchors(), in parts of ``part`` nodes."""
+    bonus, block = _anchor_texts()
+    rows = nodes.select("uid", bonus.alias("bonus"), block.alias("block"))
+    return TrigramIndex.build(rows.withColumn("text", F.concat_ws("\n", "bonus", "block")), folder, part=part)
+
+
+def indexed_anchors(index: TrigramIndex, wanted: Sequence[str], k: int = ANCHORS) -> tuple[DataFrame, Skipped]:
+    """anchors() by an index: the same rows (uid, score, rank), and how many parts were not read."""
+    found, skipped = top_k(index, [w.lower() for w in wanted], overlap_score(wanted, F.col("bonus"), F.col("block")), IN_BONUS, k)
+    return found.select("uid", F.col("score").cast("int").alias("score"), "rank"), skipped
+
+
 def anchors(nodes: DataFrame, wanted: Sequence[str], k: int = ANCHORS) -> DataFrame:
     """The k nodes that share most tokens: uid, score, rank from 0.  Ties by uid; no tokens, no anchors."""
-    extra = F.flatten(F.map_values(F.map_filter("fm", lambda key, _: key.isin(*BONUS_KEYS))))
-    bonus = F.lower(F.concat_ws(" ", F.concat(F.array("uid", "uid"), extra)))
-    block = F.lower(F.concat_ws(" ", "uid", F.array_join("aliases", " "), "summary"))
+    bonus, block = _anchor_texts()
     scored = nodes.select("uid", overlap_score(wanted, bonus, block).alias("score")).filter("score >= 1").orderBy(F.desc("score"), "uid").limit(k)
     return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "uid")) - 1)  # k rows
 

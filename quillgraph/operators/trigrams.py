@@ -14,15 +14,16 @@ verifies what is left on the texts, of which only the parts with candidates are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import scratch
 from . import order
 
 WIDTH = 21  #: bits of a code point
@@ -115,6 +116,68 @@ class TrigramIndex:
         return texts.filter(F.contains("_text", F.lit(q.lower()))).drop("_number", "_part")
 
 
+@dataclass
+class Skipped:
+    """How much of an index a top-k look-up left unread."""
+
+    parts: int
+    read: int
+
+
+def top_k(index: TrigramIndex, wanted: Sequence[str], score: Column, most: int, k: int, first: int = 8) -> tuple[DataFrame, Skipped]:
+    """The k best indexed rows by ``score`` (a whole number over the texts' columns, ties by uid), without scoring all.
+
+    ``score`` is the sum over the words of ``wanted`` of at most ``most`` each, and zero for a word that the text does
+    not hold.  The postings give every part of the texts a bound: ``most`` for each word all of whose trigrams some text
+    of the part holds (or that is too short to have any).  Parts are read from the highest bound on, ever more at once, until no part's bound
+    reaches the k-th score; equal bounds are read, as ties go by uid.
+    """
+    long = {w: np.unique(codes(w.lower())) for w in set(wanted)}
+    short = most * sum(not len(g) for g in long.values())
+    grams = {int(x): 0 for g in long.values() for x in g}
+    bounds: DataFrame | None = None
+    if grams:
+        held = index.postings(np.array(list(grams))).mapInArrow(_gram_parts(index.part), "gram long, part int").distinct()
+        of = index.spark.createDataFrame([(w, int(x), len(g)) for w, g in long.items() for x in g], "word string, gram long, size int")
+        words = held.join(F.broadcast(of), "gram").groupBy("part", "word").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter("n = size")
+        bounds = words.groupBy("part").agg((F.count("*") * most + short).alias("bound"))
+    every = index.texts().select(F.col("_part").alias("part")).distinct()
+    known = every.join(bounds, "part", "left") if bounds is not None else every.withColumn("bound", F.lit(None).cast("long"))
+    known = scratch.written(known.select("part", F.coalesce("bound", F.lit(short)).alias("bound")), "bounds")
+    best, read, size, last = None, 0, first, (None, -1)
+    while True:
+        left = known.filter("bound > 0")
+        if last[0] is not None:
+            left = left.filter((F.col("bound") < last[0]) | ((F.col("bound") == last[0]) & (F.col("part") > last[1])))
+        rows = best.collect() if best is not None else []
+        if len(rows) == k:
+            left = left.filter(F.col("bound") >= rows[-1]["score"])
+        parts = left.orderBy(F.desc("bound"), "part").limit(size).collect()
+        if not parts:
+            break
+        last, read = (parts[-1]["bound"], parts[-1]["part"]), read + len(parts)
+        some = index.texts().filter(F.col("_part").isin([p["part"] for p in parts])).select("uid", score.alias("score")).filter("score > 0")
+        if rows:
+            some = some.unionByName(index.spark.createDataFrame([(r["uid"], r["score"]) for r in rows], "uid string, score long"))
+        found = some.select("uid", F.col("score").cast("long").alias("score")).orderBy(F.desc("score"), "uid").limit(k).collect()  # k rows
+        best = index.spark.createDataFrame([(r["uid"], r["score"], i) for i, r in enumerate(found)], "uid string, score long, rank int")
+        size = min(2 * size, PARTS)
+    return best if best is not None else index.spark.createDataFrame([], "uid string, score long, rank int"), Skipped(known.count(), read)
+
+
+def _gram_parts(part: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram, parts = [], []
+            for g, first, steps, width in zip(*[batch.column(c).to_pylist() for c in ("gram", "first", "steps", "width")]):
+                some = np.unique(unpacked(first, steps, width) // part)
+                gram.append(np.full(len(some), g, np.int64))
+                parts.append(some)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*gram, np.zeros(0, np.int64)])), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]).astype(np.int32))], names=["gram", "part"])
+
+    return run
+
+
 def _lists(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -381,7 +381,7 @@ _BONUS = " + ".join(f"CASE WHEN contains(b, '{w}') THEN 3 WHEN contains(x, '{w}'
 def anchor_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "part").select(
         F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("uid"), F.create_map(F.lit("name"), F.array("p_name")).alias("fm"), F.array("p_name").alias("aliases"), F.concat_ws(" ", "p_brand", "p_type").alias("summary"))
-    return score.anchors(rows, _WANTED)
+    return score.indexed_anchors(score.anchor_index(rows, scratch.path(spark, "anchors")), _WANTED)[0]
 
 
 @_query("SELECT 'Doc ' || doc_id AS uid, 'doc-' || doc_id AS slug FROM documents WHERE contains(lower('Doc ' || doc_id || '  ' || coalesce(text, '')), 'with')")

@@ -21,7 +21,8 @@ from ..functions import text as t
 from ..operators import context, graph, parse, score, stats
 from ..operators.trigrams import TrigramIndex
 from ..sources import notes as n
-from ..sources import sinks
+from ..sources import scratch, sinks
+from . import packing
 from .provider import Provider, rule_based
 
 
@@ -246,23 +247,30 @@ def map_chunks(rows: DataFrame, provider: Provider) -> DataFrame:
     return blocks.mapInPandas(run, "chunk long, summary string, traces string")
 
 
-def run_execute(spark: SparkSession, index: Index, dashboard: str, opportunity_id: str, provider: Provider = rule_based, output: str | None = None) -> dict:
-    """The roadmap of one opportunity of a dashboard (JSON text): anchors, one-hop crawl, map over chunks, reduce."""
+def lineage(mapped: DataFrame) -> DataFrame:
+    """chunk, pos and trace (a JSON object) of all traces of mapped chunks; what is no list of objects is left out."""
+    each = mapped.select("chunk", F.posexplode(F.from_json("traces", "array<string>")).alias("pos", "trace"))
+    return each.filter(F.startswith(F.ltrim("trace"), F.lit("{")))
+
+
+def run_execute(spark: SparkSession, index: Index, dashboard: str, opportunity_id: str, provider: Provider = rule_based, output: str | None = None,
+                listed: int = 10_000) -> dict:
+    """The roadmap of one opportunity of a dashboard (JSON text): anchors, one-hop crawl, map over chunks, reduce.
+
+    Summaries are reduced in tasks, level by level; of the lineage traces the first ``listed`` are shown, lineage() has all.
+    """
     chosen = n.select_opportunity(n.opportunities(spark.createDataFrame([(dashboard,)], "value string")), opportunity_id)
     terms = score.seed_terms(chosen).first()["terms"]
     wanted = spark.createDataFrame([(x,) for x in terms], "p string").select(F.explode(t.tokens(F.col("p"))).alias("w")).distinct().orderBy("w").collect()
     anchors = score.anchors(index.nodes, [r["w"] for r in wanted])
     numbered = context.chunks(graph.crawl(index.edges, anchors), [F.col("ord")])  # names alone, without their texts
-    mapped = [r.asDict() for r in map_chunks(numbered.join(index.nodes, "uid"), provider).orderBy("chunk").collect()]
-    traces = []
-    for r in mapped:
-        try:
-            traces += [x for x in json.loads(r["traces"]) if isinstance(x, dict)]
-        except (ValueError, TypeError):
-            continue
+    mapped = scratch.written(map_chunks(numbered.join(index.nodes, "uid"), provider), "mapped")
+    told = lineage(mapped)
+    traces = [json.loads(r["trace"]) for r in told.orderBy("chunk", "pos").limit(listed).collect()]
     system = "reduce\nWrite the roadmap in <final_roadmap> and the graph in <ui_thinking_graph> as JSON."
-    user = "\n\n".join(r["summary"] for r in mapped) or "NO VAULT NODES DISCOVERED."
-    answer = provider(system, _fit(system, user, budget.FINAL_TRUNCATED))
+    shorten = "map\nSummarise these summaries in <chunk_summary>."
+    user, _ = packing.reduced(mapped.select(F.col("chunk").alias("pos"), F.col("summary").alias("text")), shorten, lambda s, u: _tagged(provider(s, u), "chunk_summary", u), budget.characters() - len(system))
+    answer = provider(system, _fit(system, user or "NO VAULT NODES DISCOVERED.", budget.FINAL_TRUNCATED))
     roadmap, drawing = _tagged(answer, "final_roadmap", answer), _tagged(answer, "ui_thinking_graph", "{}")
     result = {"final_roadmap": roadmap, "ui_thinking_graph": drawing, "compiled_lineage_traces": traces}
     if output:

@@ -6,12 +6,14 @@ its own prompt, needs no network and gives the same answer each time.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -57,6 +59,33 @@ def with_retries(primary: Provider, fallback: Provider | None = None, tries: int
     return call
 
 
+def journaled(provider: Provider, folder: str) -> Provider:
+    """``provider`` with a journal of its answers in a folder that all executors share (a path or URI).
+
+    An answer is kept under the hash of its prompt as soon as it is there, and looked up before a call: a task that is
+    run again, or at the same time elsewhere, repeats no call that has ended.  The record is written beside its place and
+    moved there, so none is ever read half-written.
+    """
+    def call(system: str, user: str) -> str:
+        from pyarrow import fs
+
+        there, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        key = hashlib.sha256(f"{len(system)}:{system}{user}".encode()).hexdigest()
+        place = f"{root}/{key[:2]}/{key}"
+        if there.get_file_info(place).type == fs.FileType.File:
+            with there.open_input_stream(place) as f:
+                return f.read().decode()
+        answer = provider(system, user)
+        there.create_dir(f"{root}/{key[:2]}", recursive=True)
+        draft = f"{place}.{uuid.uuid4().hex}"
+        with there.open_output_stream(draft) as f:
+            f.write(answer.encode())
+        there.move(draft, place)
+        return answer
+
+    return call
+
+
 def chat(url: str, key: str, model: str, temperature: float = 1.0, max_tokens: int = 8000, timeout: float = 120.0) -> Provider:
     """A chat-completions endpoint."""
     def call(system: str, user: str) -> str:

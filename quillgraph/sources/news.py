@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import order
+from . import scratch
+
 SCHEMA = ("id BIGINT, headline STRING NOT NULL, source STRING, published_at TIMESTAMP, article_text STRING NOT NULL, summary STRING, "
           "category STRING, country_tag STRING, created_at TIMESTAMP")
 
@@ -14,17 +20,71 @@ def create_table(spark: SparkSession, name: str = "news_articles") -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({SCHEMA}) USING parquet PARTITIONED BY (country_tag)")
 
 
-def with_ids(rows: DataFrame, after: int = 0) -> DataFrame:
-    """rows with unique increasing ids above ``after``; numbers have gaps, so no task counts all rows."""
-    return rows.withColumn("id", F.monotonically_increasing_id() + F.lit(after + 1))
-
-
-def insert(rows: DataFrame, name: str = "news_articles") -> None:
-    spark = rows.sparkSession
-    last = spark.table(name).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    filled = with_ids(rows, last).withColumn("created_at", F.current_timestamp())
-    order = spark.table(name).columns  # a partitioned table has its partition column last
-    filled.select([F.col(c) if c in filled.columns else F.lit(None).alias(c) for c in order]).write.insertInto(name)
+class Log:
+    """What has been inserted: a folder beside the table with a record for each reserved block of ids and each batch.
+
+    A block is the writer's that creates its record first, so writers that run at once never share ids.  A batch's
+    blocks are recorded under its key before any row is written and its end afterwards, so a batch that is run again
+    takes the same ids and adds only what the table has not got.
+    """
+
+    BLOCK = 1 << 20
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+        self.spark, self.path = spark, spark._jvm.org.apache.hadoop.fs.Path
+        self.root = f"{told['Location'].rstrip('/')}_log"
+        self.fs = self.path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, kind: str) -> list[str]:
+        there = self.path(f"{self.root}/{kind}")
+        return [f.getPath().getName() for f in self.fs.listStatus(there)] if self.fs.exists(there) else []
+
+    def _create(self, name: str) -> bool:
+        return self.fs.createNewFile(self.path(f"{self.root}/{name}"))
+
+    def blocks(self, batch: str, rows: int, first: int) -> list[int]:
+        """The batch's blocks, as many as its rows need; new ones begin at ``first`` at the lowest."""
+        mine = sorted(int(n.split(".")[1]) for n in self._names("claims") if n.split(".")[0] == batch)
+        at = max([first, *(int(n) + 1 for n in self._names("blocks"))])
+        while len(mine) * self.BLOCK < rows:
+            if self._create(f"blocks/{at}"):
+                self._create(f"claims/{batch}.{at}")
+                mine.append(at)
+            at += 1
+        return mine
+
+    def ended(self, batch: str) -> bool:
+        return batch in self._names("batches")
+
+    def end(self, batch: str) -> None:
+        self._create(f"batches/{batch}")
+
+
+def insert(rows: DataFrame, name: str = "news_articles", batch: str | None = None) -> int:
+    """Append rows with unique ids; the number of rows that were added.
+
+    ``batch`` is a key of the caller's: a batch that ended is not inserted again, and one that broke off is completed.
+    Without a key every call is a batch of its own.  A batch has the same rows each time it is run.
+    """
+    spark, log = rows.sparkSession, Log(rows.sparkSession, name)
+    key = hashlib.sha256(batch.encode()).hexdigest() if batch is not None else uuid.uuid4().hex
+    if log.ended(key):
+        return 0
+    table = spark.table(name)
+    placed = order.numbered(rows, ["headline"], "_position")
+    again = any(n.startswith(key) for n in log._names("claims"))
+    first = (table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] >> 20) + 1 if not log._names("blocks") else 0
+    blocks = log.blocks(key, placed.count(), first)
+    start = F.element_at(F.array(*[F.lit(b * log.BLOCK) for b in blocks or [0]]), (F.col("_position") / log.BLOCK).cast("int") + 1)
+    filled = placed.withColumn("id", start + F.col("_position") % log.BLOCK).withColumn("created_at", F.current_timestamp()).drop("_position")
+    if again:
+        filled = filled.join(scratch.written(table.select("id"), "ids"), "id", "left_anti")
+    columns = table.columns  # a partitioned table has its partition column last
+    filled = scratch.written(filled.select([F.col(c) if c in filled.columns else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in columns]), "insert")
+    filled.write.insertInto(name)
+    log.end(key)
+    return filled.count()
 
 
 def without_country(table: DataFrame, country: str) -> DataFrame:
