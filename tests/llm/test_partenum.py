@@ -81,15 +81,27 @@ def test_linked_sets_share_a_signature(sets):
             lower, upper = sorted((bands.of(len(a)), bands.of(len(b))))
             assert upper - lower <= 1
             plan = bands.plan(upper, sets)
-            assert plan[0] * (plan[2] + 1) > bands.differences(upper)
+            assert (plan.parts - plan.spare) * (plan.left_out + 1) > bands.differences(upper)
             assert set(p.signatures(a, upper, plan).tolist()) & set(p.signatures(b, upper, plan).tolist())
             assert p.apart(p.odd_sketch(a), p.odd_sketch(b)) <= len(np.setxor1d(a, b))
 
 
 def test_larger_tables_take_choosier_signatures():
     bands = p.Bands()
-    rare = [n1 and (n2 - k2) / n2 / n1 for n1, n2, k2 in (bands.plan(20, n) for n in (10, 10**6, 10**9))]
-    assert rare == sorted(rare) and rare[0] < rare[-1]
+    plans = [bands.plan(20, n) for n in (10, 10**9, 10**12)]
+    share = [(x.cells - x.left_out) / x.cells / x.parts for x in plans]
+    assert share == sorted(share) and share[0] < share[-1] and plans[-1].left_out > 0
+
+
+def test_most_sets_give_no_empty_projections():
+    r, bands = np.random.default_rng(2), p.Bands()
+    for n in (60, 300, 2000):
+        band = bands.of(n)
+        plan = bands.plan(band, 1000)
+        nothing = set(p.signatures(np.zeros(0, np.uint64), band, plan).tolist())
+        assert len(nothing) == plan.signatures()  # a set of nothing has more empty parts than there are spare ones
+        given = [len(nothing & set(p.signatures(np.unique(r.integers(0, 1 << 63, n).astype(np.uint64)), band, plan).tolist())) > 0 for _ in range(200)]
+        assert sum(given) < 20
 
 
 def test_shingles_tell_sequences_apart():
