@@ -47,15 +47,20 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.nodes(table_notes(spark, sf_dir))
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes without their texts, written once, and edges: names, links and what else is asked read one table."""
+    nodes = scratch.written(_nodes(spark, sf_dir).drop("raw", "body", "body_preview", "sections"), "nodes")
+    return nodes, graph.resolve(graph.raw_links(nodes), graph.resolver(nodes))
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
-    return graph.resolve(graph.raw_links(nodes), graph.resolver(nodes))
+    return _graph(spark, sf_dir)[1]
 
 
 def _index(spark: SparkSession, sf_dir: str) -> pipelines.Index:
-    """Notes and edges without the lists of neighbours, nothing cached."""
+    """Notes and edges without the lists of neighbours."""
     files = table_notes(spark, sf_dir)
-    nodes = parse.nodes(files)
+    nodes = scratch.written(parse.nodes(files), "nodes")
     names = graph.resolver(nodes)
     return pipelines.Index(nodes, graph.resolve(graph.raw_links(nodes), names), names, files)
 
@@ -194,8 +199,7 @@ def adjacency_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT uid, coalesce(CAST(sum(o) AS BIGINT), 0) AS out_degree, coalesce(CAST(sum(i) AS BIGINT), 0) AS in_degree, coalesce(CAST(sum(o + i) AS BIGINT), 0) AS degree
     FROM note LEFT JOIN e USING (uid) GROUP BY uid ORDER BY degree DESC, uid LIMIT 100""")
 def degree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
-    return graph.top_degree(nodes, graph.resolve(graph.raw_links(nodes), graph.resolver(nodes)), score.FULL_SCAN)
+    return graph.top_degree(*_graph(spark, sf_dir), score.FULL_SCAN)
 
 
 @_query(f"WITH {RELATIONS} SELECT src FROM edge WHERE resolved AND src = dst")
@@ -205,8 +209,7 @@ def self_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {RELATIONS}, s AS (SELECT uid FROM note WHERE sector = 'BUILDING' OR entity_type = 'nation') SELECT src, dst FROM edge WHERE src IN (SELECT uid FROM s) AND dst IN (SELECT uid FROM s)")
 def subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
-    edges = graph.resolve(graph.raw_links(nodes), graph.resolver(nodes))
+    nodes, edges = _graph(spark, sf_dir)
     return graph.induced(edges, nodes.filter("sector = 'BUILDING' OR entity_type = 'nation'")).select("src", "dst")
 
 
@@ -340,8 +343,8 @@ def type_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(DISTINCT CASE WHEN entity_type = 'commodity' THEN lower(uid) END) AS commodities_tracked, count(DISTINCT nullif(lower(country), '')) AS countries_covered,
     count(DISTINCT nullif(lower(sector), '')) AS sectors_mapped FROM note""")
 def vault_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
-    return stats.vault_stats(nodes, graph.resolve(graph.raw_links(nodes), graph.resolver(nodes)), nodes.filter("sector = 'BUILDING'"))
+    nodes, edges = _graph(spark, sf_dir)
+    return stats.vault_stats(nodes, edges, nodes.filter("sector = 'BUILDING'"))
 
 
 @_query("SELECT max(ts) AS latest, count(*) AS n FROM events")
