@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,19 +17,46 @@ FOLDER_TYPES = {
 }
 
 
+def _files(spark: SparkSession, root: str, where: list[str], recursive: bool) -> DataFrame:
+    """Columns rel_path, file_name, content, size_bytes and mtime of the .md files at some paths below root."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).load(where)
+    base = root.rstrip("/").removeprefix("file://")
+    rel = F.regexp_replace(F.substring_index(t.url_unquote(F.col("path")), base, -1), "^/+", "")
+    return files.select(rel.alias("rel_path"), "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime")).select(
+        "rel_path", t.last_segment(F.col("rel_path")).alias("file_name"), "content", "size_bytes", "mtime")
+
+
+def _read(files: DataFrame) -> DataFrame:
+    raw = F.try_validate_utf8(F.col("content").cast("string"))
+    return files.withColumn("raw", raw).filter(F.col("raw").isNotNull()).select(
+        "rel_path", "file_name", F.regexp_replace("raw", "\r\n?", "\n").alias("raw"), "size_bytes", "mtime")
+
+
 def read_notes(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """One row for each .md file under root: rel_path, file_name, raw (line ends as \\n), size_bytes, mtime.
 
     Files that are no valid UTF-8 are left out, and so is all below folders whose names begin with '.' or '_'.  ``recursive`` false reads the top level only.
     """
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).load(root)
-        .select(t.url_unquote(F.col("path")).alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("raw"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
-    )
-    base = root.rstrip("/").removeprefix("file://")
-    rel = F.regexp_replace(F.substring_index(F.col("path"), base, -1), "^/+", "")
-    return files.filter(F.col("raw").isNotNull()).select(
-        rel.alias("rel_path"), t.last_segment(rel).alias("file_name"), F.regexp_replace("raw", "\r\n?", "\n").alias("raw"), "size_bytes", "mtime")
+    return _read(_files(spark, root, [root], recursive))
+
+
+def list_notes(spark: SparkSession, root: str) -> DataFrame:
+    """rel_path, file_name, size_bytes and mtime of all notes under root; no text is read."""
+    return _files(spark, root, [root], True).drop("content")
+
+
+def read_some(spark: SparkSession, root: str, most: int = 10_000) -> Callable[[DataFrame], DataFrame]:
+    """A reader of the notes of a table of paths (rel_path): of up to ``most`` paths these files alone, of more the
+    whole tree, joined."""
+    def read(wanted: DataFrame) -> DataFrame:
+        paths = [r[0] for r in wanted.select("rel_path").limit(most + 1).collect()]
+        if len(paths) > most:
+            return read_notes(spark, root).join(wanted.select("rel_path"), "rel_path", "left_semi")
+        if not paths:
+            return read_notes(spark, root).limit(0)
+        return _read(_files(spark, root, [f"{root.rstrip('/')}/{p}" for p in paths], False))
+
+    return read
 
 
 def folder_type(rel_path):

@@ -18,6 +18,7 @@ keys reads a few parts.  A version counts once its commit record is written; wha
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -134,10 +135,11 @@ class LiveGraph:
         """Rows that went (gone) and rows that came."""
         return before.exceptAll(after).withColumn("gone", F.lit(True)).unionByName(after.exceptAll(before).withColumn("gone", F.lit(False)))
 
-    def update(self, listing: DataFrame) -> Change:
+    def update(self, listing: DataFrame, texts: Callable[[DataFrame], DataFrame] | None = None) -> Change:
         """Bring the tables to the state of ``listing``, the columns of sources.notes.read_notes() for all notes there are.
 
-        Paths are compared by time and size; texts are read for new and changed ones alone.
+        Paths are compared by time and size.  With ``texts`` the listing needs no raw (sources.notes.list_notes()): it is
+        given the new and changed paths and reads these alone (sources.notes.read_some()).
         """
         version, kept = time.time_ns(), scratch.written
         old = self._heads(self._table("notes").select("rel_path", "uid", "mtime", "size_bytes", "gone", "version"))
@@ -150,7 +152,9 @@ class LiveGraph:
         if not any(counts):
             return Change(0, 0, 0, 0)
         uids = delta.select("uid").distinct()
-        fresh = listing.withColumn("uid", t.stem(F.col("file_name"))).join(delta.filter("not gone").select("rel_path"), "rel_path", "left_semi")
+        wanted = delta.filter("not gone").select("rel_path")
+        fresh = texts(wanted) if texts else listing.join(wanted, "rel_path", "left_semi")
+        fresh = fresh.withColumn("uid", t.stem(F.col("file_name")))
         read = parse.parsed(fresh, self.profile).withColumn("gone", F.lit(False))
         marks = delta.filter("gone").select("rel_path", "uid", "gone")
         read = kept(read.unionByName(marks, allowMissingColumns=True), "read")

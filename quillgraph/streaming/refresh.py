@@ -10,6 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as t
 from ..operators import parse
+from ..sources import notes
+from .live import Change, LiveGraph
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -28,3 +30,18 @@ def refresh(spark: SparkSession, root: str, checkpoint: str, merge: Callable[[Da
     that are there now, then stops.  The checkpoint makes a restart go on where the last one ended."""
     return note_stream(spark, root).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
         lambda batch, number: merge(parse.nodes(batch, profile), number)).start()
+
+
+def refresh_live(spark: SparkSession, root: str, live: LiveGraph) -> Change:
+    """Bring a live graph to the notes below root as they are now: new, changed, moved and deleted ones.  Texts are read
+    for new and changed notes alone."""
+    return live.update(notes.list_notes(spark, root), notes.read_some(spark, root))
+
+
+def follow(spark: SparkSession, root: str, checkpoint: str, live: LiveGraph) -> StreamingQuery:
+    """A stream that refreshes the live graph with every batch of new files, all that are there now, then stops.
+
+    Deletions alone start no batch; refresh_live() takes them up, and so does the next batch.
+    """
+    return note_stream(spark, root).select("rel_path").writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(
+        lambda batch, number: refresh_live(spark, root, live) and None).start()

@@ -5,7 +5,10 @@ import datetime
 import pytest
 
 from quillgraph.operators import graph, parse, stats
+from quillgraph.plans import pipelines
 from quillgraph.streaming.live import LiveGraph
+from quillgraph.streaming.refresh import follow, refresh_live
+from tests import vault
 
 SCHEMA = "rel_path string, file_name string, raw string, size_bytes long, mtime timestamp"
 DAY = datetime.datetime(2024, 1, 1)
@@ -91,6 +94,20 @@ def test_a_failed_attempt_is_never_read(spark, tmp_path, monkeypatch):
     same_as_rebuilt(spark, live, notes)
 
 
+def test_a_folder_of_notes_is_followed(spark, tmp_path):
+    root = vault.write(tmp_path / "notes")
+    live = LiveGraph(spark, str(tmp_path / "g"), parts=4)
+    follow(spark, root, str(tmp_path / "checkpoint"), live).awaitTermination(300)
+    rows = lambda df: sorted(map(str, df.select("src", "pos", "raw", "dst", "resolved").collect()))
+    assert rows(live.edges()) == rows(pipelines.build_index(spark, root).edges)
+    (tmp_path / "notes" / "Land" / "Commodities" / "Lithium.md").unlink()
+    (tmp_path / "notes" / "Land" / "Ghost Town.md").write_text("[[Acme Co]]")
+    change = refresh_live(spark, root, live)
+    spark.catalog.clearCache()  # the index of before
+    assert (change.read, change.deleted) == (2, 1)  # the file that is no UTF-8 is looked at each time
+    assert rows(live.edges()) == rows(pipelines.build_index(spark, root).edges)
+
+
 def test_fingerprints_tell_replacements(spark):
     rows = [(f"p{i}", i, i * 2) for i in range(50)]
     of = lambda r: tuple(stats.multiset_fingerprint(spark.createDataFrame(r, "path string, time long, size long"), "path", "time", "size").first())
