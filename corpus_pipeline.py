@@ -14,23 +14,38 @@ from quillgraph.llm.queries import DOMAINS, TOKENIZER, WEIGHTS, domain_labels
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the byte network rejects go."""
+    """Rows that the byte network rejects go.
+
+    It is fitted on labelled rows of docs; without any all rows score one half and stay.  Null texts are scored as empty
+    ones, rows of a null id like all others, repeated rows alike.  Further columns stay as they are.
+    """
     net = quality_cnn.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder("doc_id", 4) != 2)
     return quality_cnn.drop_low_quality(docs, net, least=0.5)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
+    """Of equal texts the row with the largest id stays.
+
+    Null and empty texts are one group.  Null ids lose to all others.  Rows that repeat an id and a text are one document
+    and share its decision: they all stay or all go.  Further columns stay as they are.
+    """
     return exact_dedup.drop_exact_copies(docs, keep="largest")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of close fingerprints stays; the first half of near_copies()."""
+    """One document of each group of close fingerprints stays; the first half of near_copies().
+
+    It is the one of the smallest id.  Texts without words have fingerprint zero and link like any other.  Rows that share
+    an id are one document; rows of a null id stay.  Further columns stay as they are.
+    """
     return simhash.drop_near_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: close fingerprints, or Jaccard similarity of five-word shingles of 0.8 or more."""
+    """One document of each near-duplicate group stays: close fingerprints, or Jaccard similarity of five-word shingles of 0.8 or more.
+
+    Nulls, repeated rows and further columns as in near().
+    """
     return jaccard.drop_similar(materialise(near(spark, docs, sf_dir), "close"), least=0.8, size=5)
 
 
@@ -47,7 +62,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_ids, ids and exact (decoding gives the text back)."""
+    """doc_id, n_ids, ids and exact (decoding gives the text back) for every row, repeated rows each.
+
+    Null and empty texts have no ids; null ids stay null; further columns go.
+    """
     return sentencepiece_codec.round_trip(docs, sentencepiece_codec.load(TOKENIZER))
 
 
