@@ -37,7 +37,7 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
 PAIR_COST = 0.6  #: of a chance meeting, relative to a signature
 OUTLIERS = 0.01  #: share of sets, about, that give their empty projections too
 BUCKET_BYTES = 16 << 20  #: of signatures and nodes that one task groups at once
-ROUNDS = 4  #: at most, of comparing with leaders
+ROUNDS = 1  #: at most, of comparing with leaders; each costs about as many small stages as the whole rest
 LEADERS = 2  #: sets of a run that the others are compared with first
 CACHE = 1 << 20  #: words whose hashes a task keeps
 

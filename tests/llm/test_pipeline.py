@@ -4,8 +4,8 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from quillgraph.llm import exact_dedup, quality_cnn, queries, sentencepiece_codec, simhash
-from quillgraph.llm.common import remainder
+from quillgraph.llm import exact_dedup, mixing, quality_cnn, queries, sentencepiece_codec, simhash
+from quillgraph.llm.common import materialise, remainder
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 from tests.test_catalog import DATA, TABLES, plain
 
@@ -70,6 +70,25 @@ def test_run(spark, folder):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "sentencepiece"]
 
 
+def test_domain_shares_of_the_run(spark, folder):
+    """run() keeps the rows that the rates draw; their expected tokens have the wanted shares, those kept are as near as chance."""
+    read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    docs = read("documents")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = materialise(stage(spark, docs, folder), name)
+    fitted = mixing.train(read("documents"), queries.domain_labels(read("labels")), queries.DOMAINS)
+    drawn = [r for r in mixing.rates(docs, fitted, queries.WEIGHTS, most=1.0).collect() if r["doc_id"] is not None]
+    kept = {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} - {None}
+    assert kept == {r["doc_id"] for r in drawn if r["copies"]}
+    mass, wanted, got, chance = ({n: sum(f(r, r["tokens"] * r[f"p_{n}"]) for r in drawn) for n in queries.DOMAINS} for f in (
+        lambda r, x: x, lambda r, x: x * r["rate"], lambda r, x: x * (r["doc_id"] in kept), lambda r, x: x * x * r["rate"] * (1 - r["rate"])))
+    heavy = max(queries.WEIGHTS, key=queries.WEIGHTS.get)
+    for n in queries.DOMAINS:
+        asked = wanted[heavy] * queries.WEIGHTS[n] / queries.WEIGHTS[heavy]
+        assert wanted[n] == pytest.approx(min(asked, mass[n]), rel=0.02) or mass[n] < asked
+        assert abs(got[n] - wanted[n]) <= 5 * chance[n] ** 0.5 + 1e-6 * mass[heavy]
+
+
 def test_stages_on_an_empty_table(spark, folder):
     empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
