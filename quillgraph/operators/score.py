@@ -96,7 +96,7 @@ def _anchor_texts() -> tuple[Column, Column]:
 
 
 def anchor_index(nodes: DataFrame, folder: str, part: int = 256) -> TrigramIndex:
-    """A trigram index for indexed_anchors(), in parts of ``part`` nodes."""
+    """A trigram index for indexed_anchors(), in parts of ``part`` nodes, or of more where there are many nodes."""
     bonus, block = _anchor_texts()
     rows = nodes.select("uid", bonus.alias("bonus"), block.alias("block"))
     return TrigramIndex.build(rows.withColumn("text", F.concat_ws("\n", "bonus", "block")), folder, part=part)

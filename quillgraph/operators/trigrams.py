@@ -30,7 +30,7 @@ WIDTH = 21  #: bits of a code point
 _MASK = (1 << WIDTH) - 1
 _POSTINGS = "_bucket int, gram long, first long, last long, n int, steps binary, width int"
 LISTS = 4  #: shortest lists that are intersected
-PARTS = 1000  #: most parts of the texts that a look-up names one by one
+PARTS = 1000  #: most parts of the texts that a look-up names one by one, and most that an index has
 
 
 def codes(text: str) -> np.ndarray:
@@ -71,12 +71,15 @@ class TrigramIndex:
         """Index ``rows`` by the lower-cased column ``text`` (null as empty) under ``uid``; other columns are kept with it.
 
         Rows of one uid share its number; rows without a uid are left out.  Texts shorter than three characters have no
-        lists and are found by no look-up of three characters or more, rightly.
+        lists and are found by no look-up of three characters or more, rightly.  A part is ``part`` numbers, or as many
+        more as leave PARTS parts: parts are folders, and whoever reads the texts lists them all.
         """
         low = rows.withColumn("_text", F.lower(F.coalesce(F.col(text), F.lit("")))).drop(text)
-        # names are numbered alone and texts join their numbers: whole texts are not sorted through the ranges
+        # names are numbered alone and texts join their numbers: whole texts are not sorted through the ranges.
+        # As files numbers are small enough for the planner to broadcast them, as rows they are not.
         names = order.numbered(low.select(uid).filter(F.col(uid).isNotNull()).distinct(), [uid], "_number")
-        placed = low.join(names, uid).withColumn("_part", F.floor(F.col("_number") / part).cast("int"))
+        part = max(part, -(-names.count() // PARTS))
+        placed = low.join(names.hint("merge"), uid).withColumn("_part", F.floor(F.col("_number") / part).cast("int"))
         index = cls(rows.sparkSession, folder, buckets, part, placed.schema)
         placed.repartitionByRange("_number").sortWithinPartitions("_part", "_number").write.partitionBy("_part").parquet(f"{folder}/texts")
         lists = index.texts().select("_number", "_text").mapInArrow(_lists(buckets), _POSTINGS)
@@ -141,7 +144,8 @@ def top_k(index: TrigramIndex, wanted: Sequence[str], score: Column, most: int,
         of = index.spark.createDataFrame([(w, int(x), len(g)) for w, g in long.items() for x in g], "word string, gram long, size int")
         words = held.join(F.broadcast(of), "gram").groupBy("part", "word").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter("n = size")
         bounds = words.groupBy("part").agg((F.count("*") * most + short).alias("bound"))
-    every = index.texts().select(F.col("_part").alias("part")).distinct()
+    texts = index.texts()  # listed once
+    every = texts.select(F.col("_part").alias("part")).distinct()
     known = every.join(bounds, "part", "left") if bounds is not None else every.withColumn("bound", F.lit(None).cast("long"))
     known = scratch.written(known.select("part", F.coalesce("bound", F.lit(short)).alias("bound")), "bounds")
     best, read, size, last = None, 0, first, (None, -1)
@@ -156,7 +160,7 @@ def top_k(index: TrigramIndex, wanted: Sequence[str], score: Column, most: int,
         if not parts:
             break
         last, read = (parts[-1]["bound"], parts[-1]["part"]), read + len(parts)
-        some = index.texts().filter(F.col("_part").isin([p["part"] for p in parts])).select("uid", score.alias("score")).filter("score > 0")
+        some = texts.filter(F.col("_part").isin([p["part"] for p in parts])).select("uid", score.alias("score")).filter("score > 0")
         if rows:
             some = some.unionByName(index.spark.createDataFrame([(r["uid"], r["score"]) for r in rows], "uid string, score long"))
         found = some.select("uid", F.col("score").cast("long").alias("score")).orderBy(F.desc("score"), "uid").limit(k).collect()  # k rows

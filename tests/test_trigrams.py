@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.operators import trigrams
 from quillgraph.plans import pipelines
@@ -48,6 +49,19 @@ def test_no_list_is_one_row(spark, tmp_path):
     assert index.containing("common 1234").count() == 11
 
 
+def test_parts_grow_with_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trigrams, "PARTS", 8)
+    rows = spark.range(1000).selectExpr("concat('u', lpad(id, 4, '0')) AS uid", "concat('text ', id) AS text")
+    index = trigrams.TrigramIndex.build(rows, str(tmp_path / "i"), part=10)
+    listed = []
+    texts = trigrams.TrigramIndex.texts
+    monkeypatch.setattr(trigrams.TrigramIndex, "texts", lambda self: listed.append(1) or texts(self))
+    found, skipped = trigrams.top_k(index, ["text", "77"], F.when(F.contains("_text", F.lit("77")), 2).otherwise(1), 1, 3, first=1)
+    assert len(list((tmp_path / "i" / "texts").glob("_part=*"))) == skipped.parts == 8 and len(listed) == 1
+    assert [tuple(r) for r in found.orderBy("rank").collect()] == [("u0077", 2, 0), ("u0177", 2, 1), ("u0277", 2, 2)]
+    assert sorted(r["uid"] for r in index.containing("text 77").collect()) == ["u0077", *(f"u{i:04d}" for i in range(770, 780))]
+
+
 def test_lists_come_back():
     r = np.random.default_rng(1)
     for top in (100, 60000, 10**8, 10**15):
