@@ -79,8 +79,17 @@ class LiveGraph:
         return F.pmod(F.xxhash64(key), F.lit(self.parts)).cast("int")
 
     def _append(self, name: str, rows: DataFrame, version: int) -> None:
+        """Rows go to their parts' tasks first, else every task leaves a file in every part; a large part takes several tasks."""
         rows = rows.select(*self.schemas[name].fieldNames()).withColumn("version", F.lit(version)).withColumn("part", self._part(_KEYS[name]))
-        rows.write.mode("append").partitionBy("version", "part").parquet(f"{self.folder}/{name}")
+        rows.hint("rebalance", "part").write.mode("append").partitionBy("version", "part").parquet(f"{self.folder}/{name}")
+
+    def _kept(self, name: str, rows: DataFrame, version: int) -> DataFrame:
+        """Rows appended under a version that has not been committed, read back: later steps need no other copy of them."""
+        self._append(name, rows, version)
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/version={version}")
+        if not there.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(there):
+            return self.spark.createDataFrame([], self.schemas[name])
+        return self.spark.read.schema(self.schemas[name]).parquet(there.toString()).select(*self.schemas[name].fieldNames())  # without part
 
     def _of(self, name: str, keys: DataFrame) -> DataFrame:
         """Committed rows of some keys (one column named as the table's): the parts they lie in are pruned at the scan."""
@@ -132,8 +141,9 @@ class LiveGraph:
 
     @staticmethod
     def _moved(before: DataFrame, after: DataFrame) -> DataFrame:
-        """Rows that went (gone) and rows that came."""
-        return before.exceptAll(after).withColumn("gone", F.lit(True)).unionByName(after.exceptAll(before).withColumn("gone", F.lit(False)))
+        """Rows that went (gone) and rows that came; neither side repeats a row."""
+        both = before.withColumn("_n", F.lit(-1)).unionByName(after.withColumn("_n", F.lit(1)))
+        return both.groupBy(*before.columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0").withColumn("gone", F.col("_n") < 0).drop("_n")
 
     def update(self, listing: DataFrame, texts: Callable[[DataFrame], DataFrame] | None = None) -> Change:
         """Bring the tables to the state of ``listing``, the columns of sources.notes.read_notes() for all notes there are.
@@ -157,22 +167,22 @@ class LiveGraph:
         fresh = fresh.withColumn("uid", t.stem(F.col("file_name")))
         read = parse.parsed(fresh, self.profile).withColumn("gone", F.lit(False))
         marks = delta.filter("gone").select("rel_path", "uid", "gone")
-        read = kept(read.unionByName(marks, allowMissingColumns=True), "read")
+        read = self._kept("notes", read.unionByName(marks, allowMissingColumns=True), version)
         known = self._heads(self._of("notes", uids))
         before = kept(self._winners(known).select("uid", "rel_path", "aliases", "raw_links"), "before")
         staying = known.join(delta.select("rel_path"), "rel_path", "left_anti")
         after = kept(self._winners(staying.select(*self.node_type.fieldNames()).unionByName(read.filter("not gone").drop("gone"))).select("uid", "rel_path", "aliases", "raw_links"), "after")
         # names that mean another note now
-        claims = kept(self._moved(self._claimed(before), self._claimed(after)), "claims")
+        claims = self._kept("claims", self._moved(self._claimed(before), self._claimed(after)), version)
         asked = kept(claims.select("canonical").distinct(), "asked")
         held = self._latest(self._of("claims", asked).drop("part"), "canonical", "rel_path", "pos", "uid")
         held = self._latest(held.unionByName(claims.withColumn("version", F.lit(version))), "canonical", "rel_path", "pos", "uid").filter(~F.col("gone"))
         meant = held.groupBy("canonical").agg(F.max_by("uid", F.struct("rel_path", "pos")).alias("uid"))
         was = self._latest(self._of("names", asked), "canonical").select("canonical", F.col("uid").alias("was"))
         names = asked.join(meant, "canonical", "left").join(was, "canonical", "left").filter(~F.col("uid").eqNullSafe(F.col("was")))
-        names = kept(names.select("canonical", "uid"), "names")
+        names = self._kept("names", names.select("canonical", "uid"), version)
         # sources whose edges can differ
-        links = kept(self._moved(self._linked(before), self._linked(after)), "links")
+        self._append("links", self._moved(self._linked(before), self._linked(after)), version)
         linking = self._of("links", names.select("canonical")).groupBy("canonical", "src").agg(F.max_by("gone", "version").alias("gone"))
         sources = kept(linking.filter("not gone").select("src").unionByName(uids.select(F.col("uid").alias("src"))).distinct(), "sources")
         others = sources.join(uids.select(F.col("uid").alias("src")), "src", "left_anti").select(F.col("src").alias("uid"))
@@ -181,7 +191,7 @@ class LiveGraph:
         by = raw.select(t.canonical(F.col("raw")).alias("canonical")).distinct()
         table = self._latest(self._of("names", by).select("canonical", "uid", "version").unionByName(
             names.join(by, "canonical", "left_semi").withColumn("version", F.lit(version))), "canonical").filter("uid is not null").select("canonical", "uid")
-        edges = kept(graph.resolve(raw, table), "edges")
+        edges = self._kept("edges", graph.resolve(raw, table), version)
         marked = sources.join(edges.select("src").distinct(), "src", "left_anti").withColumns({
             "pos": F.lit(_NO_EDGE), "raw": F.lit(None).cast("string"), "dst": F.lit(None).cast("string"), "resolved": F.lit(False)})
         past = self._latest(self._of("edges", sources), "src").filter(F.col("pos") != _NO_EDGE)
@@ -189,7 +199,7 @@ class LiveGraph:
             side.select(F.col(end).alias("uid"), F.lit(sign * (end == "src")).alias("out_degree"), F.lit(sign * (end == "dst")).alias("in_degree"))
             for rows, sign in ((past, -1), (edges, 1)) for end, side in (("src", rows), ("dst", rows.filter("resolved")))]
         moved = reduce(DataFrame.unionByName, ends).groupBy("uid").agg(F.sum("out_degree").alias("out_degree"), F.sum("in_degree").alias("in_degree"))
-        for name, rows in (("notes", read), ("claims", claims), ("names", names), ("links", links), ("edges", edges.unionByName(marked)), ("degrees", moved.filter("out_degree <> 0 or in_degree <> 0"))):
-            self._append(name, rows, version)
+        self._append("edges", marked, version)
+        self._append("degrees", moved.filter("out_degree <> 0 or in_degree <> 0"), version)
         self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
         return Change(counts[0], counts[1], names.count(), sources.count())

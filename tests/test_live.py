@@ -74,6 +74,17 @@ def test_work_follows_the_change(spark, tmp_path):
     same_as_rebuilt(spark, again, notes)
 
 
+def test_an_update_leaves_few_files(spark, tmp_path):
+    """However many tasks have the rows, a part of a version is one file until it is large, and each table is written once."""
+    notes = {f"N/n{i}.md": (f"[[n{i + 1}]] [[hub]]", 0) for i in range(400)} | {"N/hub.md": ("the hub", 0)}
+    live = LiveGraph(spark, str(tmp_path / "g"), parts=4)
+    live.update(listing(spark, notes).repartition(24))
+    for table in ("notes", "claims", "names", "links", "degrees"):
+        assert all(len(list(part.glob("*.parquet"))) == 1 for part in (tmp_path / "g" / table).glob("version=*/part=*"))
+    assert all(len(list(part.glob("*.parquet"))) <= 2 for part in (tmp_path / "g" / "edges").glob("version=*/part=*"))  # edges, and marks of notes without any
+    same_as_rebuilt(spark, live, notes)
+
+
 def test_a_failed_attempt_is_never_read(spark, tmp_path, monkeypatch):
     live = LiveGraph(spark, str(tmp_path / "g"), parts=4)
     live.update(listing(spark, START))
