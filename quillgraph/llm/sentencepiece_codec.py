@@ -56,16 +56,19 @@ class Model:
     converged: int = 0  # commits by converging paths so far
 
     def __post_init__(self) -> None:
-        self.reach: dict[str, int] = {}  # of the last two characters: the longest piece that ends in them
+        ends: dict[str, set[int]] = {}  # of the last two or three characters: the lengths of pieces that end in them
         for piece in self.scores:
-            if len(piece) > self.reach.get(piece[-2:], 1):
-                self.reach[piece[-2:]] = len(piece)
+            for tail in {piece[-2:], piece[-3:]}:
+                ends.setdefault(tail, {1}).add(len(piece))
+        short = {tail: {n for n in found if n <= 2} for tail, found in ends.items()}
+        self.ends = {tail: tuple(sorted(found | short.get(tail[-2:], set()) if len(tail) == 3 else short[tail], reverse=True)) for tail, found in ends.items()}
         self._pairs, self._held = {piece: {} for piece in self.scores}, 0
         self.unseen = min(self.scores.values(), default=0.0) - 10  # the score of an unknown character
         self.begun = {piece[:i] for piece in self.scores for i in range(1, len(piece))}  # what a longer piece may go on from
         self.inside = {piece[i:i + 2] for piece in self.scores for i in range(len(piece) - 1)}  # neighbours within a piece
         both = lambda c: (SPACE, " ") if c == SPACE else (c,)
         self.inside_raw = {x + y for a, b in self.inside for x in both(a) for y in both(b)}  # as texts can write them
+        self.loose = {x for x, y in self.inside_raw if _AHEAD.match(y)}  # what some look-ahead goes on
         self.shown = [n.replace(SPACE, " ") for n in self.names]
         self.special = np.zeros(max([len(self.names), self.unknown + 1]), bool)  # ids that stand for no text of their own
         self.special[[*self.bytes_, *self.silent, self.unknown]] = True
@@ -150,7 +153,7 @@ def viterbi(model: Model, text: str, before: str = "", final: bool = True, close
     not committed at its end is not given out.  After a ``closed`` text comes a character that goes on no piece: the end is
     the only boundary that survives it.
     """
-    width, known, bpe, pairs, reach, begun = model.longest, model.scores, model.bpe, model._pairs, model.reach, model.begun
+    width, known, bpe, pairs, ends, begun = model.longest, model.scores, model.bpe, model._pairs, model.ends, model.begun
     base = 0  # the committed boundary
     arrive: list[str] = [before]  # pieces arriving at base, base + 1, ...
     weight: list[float] = [0.0]  # of the best paths there (unigram)
@@ -158,8 +161,10 @@ def viterbi(model: Model, text: str, before: str = "", final: bool = True, close
     short = not final and len(text) <= SHORT  # what survives is asked at the end alone
     for i in range(1, len(text) + 1):
         if bpe:
-            first = i - reach.get(text[i - 2:i], 1) if i > 1 else 0
-            for j in range(i - 1, (first if first > base else base) - 1, -1):  # short pieces are the more frequent
+            for size in (ends.get(text[i - 3:i]) if i > 2 else None) or (ends.get(text[i - 2:i]) if i > 1 else None) or (1,):
+                j = i - size
+                if j < base:
+                    continue
                 piece = text[j:i]
                 follows = pairs.get(piece)
                 if follows is not None:
@@ -205,6 +210,27 @@ def viterbi(model: Model, text: str, before: str = "", final: bool = True, close
         yield _trace(arrive, len(arrive) - 1)
 
 
+def _whole(model: Model, text: str) -> list[str]:
+    """Pieces of an escaped closed text of a BPE model, no piece before it: viterbi() without what it asks of longer ones."""
+    known, ends, arrive = model._pairs, model.ends, [""]
+    model.converged += 1
+    for i in range(1, len(text) + 1):
+        for size in (ends.get(text[i - 3:i]) if i > 2 else None) or (ends.get(text[i - 2:i]) if i > 1 else None) or (1,):
+            if size > i:
+                continue
+            piece = text[i - size:i]
+            follows = known.get(piece)
+            if follows is not None:
+                last = arrive[i - size]
+                valid = follows.get(last)
+                if valid or (valid is None and _valid(model, last, piece)):
+                    arrive.append(piece)
+                    break
+        else:
+            arrive.append(text[i - 1])  # an unknown character
+    return _trace(arrive, len(text))
+
+
 def _meeting(arrive: list[str], base: int, paths: set[int]) -> int:
     """The last boundary through which the paths of all these boundaries go."""
     while len(paths) > 1 and (end := max(paths)) > base:
@@ -236,6 +262,8 @@ def _ids(model: Model, parts: Iterable[list[str]]) -> array:
 
 
 _AHEAD = re.compile(r"[ !-/:-@\[-`{-~]")  #: where a window ends: a character that seldom goes on a piece, so that paths converge before it
+_WINDOWS = re.compile(r"(?s).[^ !-/:-@\[-`{-~]*")
+BLOCK = 4096  #: characters that are cut into windows at once
 
 
 def _transition(model: Model, state: str, window: str, final: bool, closed: bool) -> tuple[array, int, str]:
@@ -257,8 +285,32 @@ def stream(model: Model, text: str, window: int = 1 << 15, remember: int = 400_0
     """Ids of a text, given out ``window`` or a few more at once.  At most ``remember`` transitions are kept."""
     memory, joins, out, held = model._memory, not model.bytes_, array("i"), -1
     lead, base, state, n, ahead = " " if model.dummy_prefix and text else "", 0, "", len(text), _AHEAD.search
-    inside = model.inside_raw
+    inside, loose, windows, k, at = model.inside_raw, model.loose, [], 0, 0
     while base < n:
+        if not (state or lead or joins):
+            # windows whose look-ahead no piece holds together with them commit whole and leave no state: a run of them at once
+            while at < base and k < len(windows):
+                at += len(windows[k])
+                k += 1
+            if at <= base and k >= len(windows) - 1:
+                windows, k, at = _WINDOWS.findall(text, base, base + BLOCK), 0, base  # the last one's end is not known
+            while at == base and k < len(windows) - 1:
+                some, then = windows[k], windows[k + 1][0]
+                if some[-1] in loose and some[-1] + then in inside:
+                    break
+                hit = memory.get(some)
+                if hit is None:
+                    if len(some) >= SHORT:
+                        break
+                    if len(memory) >= remember:
+                        memory.clear()
+                    hit = memory[some] = (_ids(model, [_whole(model, some.replace(" ", SPACE))]), len(some), "") if model.bpe else _transition(model, "", some + then, False, True)
+                out += hit[0]
+                base = at = at + len(some)
+                k += 1
+            if len(out) >= window:
+                yield out
+                out = array("i")
         met = ahead(text, base if lead else base + 1)
         end = met.end() if met else n
         while True:

@@ -65,6 +65,17 @@ def test_a_transition_does_not_depend_on_what_follows_a_closed_window():
         assert c.encode(fresh, text) == LIBRARY.encode(text)
 
 
+def test_runs_of_windows_give_the_models_ids(monkeypatch):
+    """Wherever the blocks are cut, with windows kept from other texts, and without asking where each window ends."""
+    r = random.Random(5)
+    words = ["the", "mine", "(a)", "--", " ", "...", "été", "▁", "x" * 70, "\n", "0123", "e.g.,", "tionbleer"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(60))) for _ in range(80)]
+    for block in (2, 7, 4096):
+        monkeypatch.setattr(c, "BLOCK", block)
+        model = c.load(PATH)
+        assert all(c.encode(model, x) == LIBRARY.encode(x) for x in texts + texts[::-1])
+
+
 def test_unknown_characters_without_bytes_join_across_windows():
     names = ["▁", "a", "b", "ab", ","]
     model = c.Model(names, {n: i for i, n in enumerate(names)}, {n: -1.0 - i for i, n in enumerate(names)}, [], 99, frozenset(), False, False, 2)
