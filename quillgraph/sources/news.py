@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,12 @@ class Log:
         return [f.getPath().getName() for f in self.fs.listStatus(there)] if self.fs.exists(there) else []
 
     def _create(self, name: str) -> bool:
-        return self.fs.createNewFile(self.path(f"{self.root}/{name}"))
+        try:
+            return self.fs.createNewFile(self.path(f"{self.root}/{name}"))
+        except Py4JJavaError as e:  # another writer's came between the look and the creation
+            if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+                return False
+            raise
 
     def blocks(self, batch: str, rows: int, first: int) -> list[int]:
         """The batch's blocks, as many as its rows need; new ones begin at ``first`` at the lowest."""
