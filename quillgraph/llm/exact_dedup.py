@@ -234,5 +234,6 @@ def drop_exact_copies(docs: DataFrame, keep: str = "largest", id_col: str = "doc
     A row is told by its id and its text, so rows that share an id but not a text are decided on one by one.
     """
     gone = exact_groups(docs, keep, id_col, text_col, budget).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_digest")).distinct()
-    digest = F.sha2(F.translate(F.coalesce(docs[text_col], F.lit("")), ascii_uppercase, ascii_lowercase), 256)
+    latin = F.decode(F.coalesce(docs[text_col], F.lit("")).cast("binary"), "ISO-8859-1")  # byte by byte: translate() rewrites bytes that are no UTF-8
+    digest = F.sha2(F.encode(F.translate(latin, ascii_uppercase, ascii_lowercase), "ISO-8859-1"), 256)
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (digest == gone["_digest"]), "left_anti")

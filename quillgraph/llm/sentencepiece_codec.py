@@ -16,11 +16,13 @@ path is right if every two neighbouring pieces, merged again from their characte
 they are; exactly one piece arrives validly at every boundary, and the path is the one that merging would give.
 
 The result is that of the model itself: ids equal those of its reference encoder, unknown characters fall back to
-bytes where the model has them, and decoding gives the text back (but for U+2581, which stands for a space).
+bytes where the model has them, and decoding gives the text back (but for U+2581, which stands for a space).  A byte that
+belongs to no valid UTF-8 character, which Spark's strings may hold, is read as U+FFFD, as the reference encoder reads it.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
@@ -388,6 +390,20 @@ def _utf8(held: bytearray) -> str:
     return bytes(held).decode("utf-8", errors="replace")
 
 
+codecs.register_error("quillgraph.each_byte", lambda e: ("\ufffd", e.start + 1))
+
+
+def characters(column: pa.Array) -> tuple[list[str], list[bool]]:
+    """Texts of a column, every byte outside a valid character as U+FFFD; whether each had none of these."""
+    try:
+        found = column.to_pylist()
+        return found, [True] * len(found)
+    except UnicodeDecodeError:
+        raw = column.cast(pa.binary()).to_pylist()
+        found = [b.decode("utf-8", "quillgraph.each_byte") for b in raw]
+        return found, [t.encode() == b for t, b in zip(found, raw)]
+
+
 def encoded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and ids (array of int) for every row; null and empty texts have no ids, an empty table no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -395,7 +411,7 @@ def encoded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 2 << 20):
-                found = [encode_ids(sent.value, t) for t in part.column("body").to_pylist()]
+                found = [encode_ids(sent.value, t) for t in characters(part.column("body"))[0]]
                 yield pa.RecordBatch.from_arrays([part.column("id"), _lists(found)], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -421,15 +437,18 @@ def decoded(rows: DataFrame, model: Model, id_col: str = "doc_id", ids_col: str
 
 
 def round_trip(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_ids, ids and exact (decoding the ids gives the text) for every row; nulls as in encoded()."""
+    """id_col, n_ids, ids and exact (decoding the ids gives the text) for every row; nulls as in encoded().
+
+    A text that is no valid UTF-8 is not exact.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 2 << 20):
-                bodies = part.column("body").to_pylist()
+                bodies, valid = characters(part.column("body"))
                 found = [encode_ids(sent.value, t) for t in bodies]
-                exact = [decode(sent.value, ids) == t for ids, t in zip(found, bodies)]
+                exact = [fine and decode(sent.value, ids) == t for ids, t, fine in zip(found, bodies, valid)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(map(len, found), pa.int64()), _lists(found), pa.array(exact)], names=["id", "n_ids", "ids", "exact"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -443,6 +462,6 @@ def encoded_lengths(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 2 << 20):
-                yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, stream(sent.value, t))) for t in part.column("body").to_pylist()], pa.int64())], names=["length"])
+                yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, stream(sent.value, t))) for t in characters(part.column("body"))[0]], pa.int64())], names=["length"])
 
     return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("body")).mapInArrow(run, "length long")

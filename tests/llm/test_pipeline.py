@@ -70,6 +70,25 @@ def test_run(spark, folder):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "sentencepiece"]
 
 
+def test_run_over_bytes_that_are_no_characters(spark, tmp_path):
+    """Texts that are no valid UTF-8 go through all stages: of equal ones one stays, unequal ones stay, all are encoded."""
+    r, good = random.Random(4), {}
+    for i in range(0, 60, 3):
+        body = words(r, 60).encode()
+        good |= {i: b"\xff" + body[:100] + b"\xe2\x82" + body[100:], i + 1: b"\xff" + body[:100].upper() + b"\xe2\x82" + body[100:], i + 2: words(r, 60).encode()}
+    docs = spark.createDataFrame([(i, bytearray(b)) for i, b in good.items()], "doc_id long, text binary").selectExpr("doc_id", "cast(text AS string) AS text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")  # all alike: no stage but exact_dedup drops rows
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.exact(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(x["doc_id"] for x in kept.select("doc_id").collect()) == [i for i in range(60) if i % 3]
+    out, model = {x["doc_id"]: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}, sentencepiece_codec.load(queries.TOKENIZER)
+    assert sorted(out) == [i for i in range(60) if i % 3]
+    for i, x in out.items():
+        text = sentencepiece_codec.decode(model, x["ids"])
+        assert x["exact"] == (i % 3 == 2) and text.replace("\ufffd", "") == good[i].decode(errors="ignore")
+
+
 def test_domain_shares_of_the_run(spark, folder):
     """run() keeps the rows that the rates draw; their expected tokens have the wanted shares, those kept are as near as chance."""
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")

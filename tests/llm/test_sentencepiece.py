@@ -122,3 +122,15 @@ def test_tables(spark):
     back = c.decoded(c.encoded(docs, MODEL), MODEL).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in back) == sorted((i or 0, t or "") for i, t in rows)
     assert c.encoded(docs.limit(0), MODEL).count() == 0
+
+
+def test_bytes_that_are_no_characters_get_the_models_ids(spark):
+    """Spark's strings may hold any bytes: cut and overlong characters, surrogates, bytes that begin nothing."""
+    whole, cut = "valid €".encode(), b"\xff cut \xe2\x82 and \xed\xa0\x80, \xc0\xaf and \xf0\x9f\x98 at the end \xc3"
+    rows = spark.createDataFrame([(1, bytearray(cut)), (2, bytearray(whole)), (3, None)], "doc_id long, text binary")
+    docs = rows.coalesce(1).selectExpr("doc_id", "cast(text AS string) AS text")
+    got = {r["doc_id"]: r for r in c.round_trip(docs, MODEL).collect()}
+    assert [got[i]["ids"] for i in (1, 2, 3)] == [LIBRARY.encode(cut), LIBRARY.encode(whole), []]
+    assert [got[i]["exact"] for i in (1, 2, 3)] == [False, True, True]
+    assert {r["doc_id"]: r["ids"] for r in c.encoded(docs, MODEL).collect()} == {i: r["ids"] for i, r in got.items()}
+    assert sorted(r["length"] for r in c.encoded_lengths(docs, MODEL).collect()) == sorted(r["n_ids"] for r in got.values())
